@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, packing
+from . import bpe, digest, packing, quality, warc
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
+    "op4_warc": warc.op4_warc,
+    "op6_digest": digest.op6_digest,
     "op7_bpe": bpe.op7_bpe,
+    "op10_quality": quality.op10_quality,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_warc": warc.SQL,
+}
