@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, digest, packing, quality, warc
+from . import bpe, digest, packing, quality, suffix, warc
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op4_warc": warc.op4_warc,
     "op6_digest": digest.op6_digest,
     "op7_bpe": bpe.op7_bpe,
+    "op8_suffix": suffix.op8_suffix,
     "op10_quality": quality.op10_quality,
 }
 
