@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, digest, packing, quality, suffix, warc
+from . import bpe, digest, jaccard, lattice, packing, quality, suffix, warc
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op4_warc": warc.op4_warc,
+    "op5_jaccard": jaccard.op5_jaccard,
     "op6_digest": digest.op6_digest,
     "op7_bpe": bpe.op7_bpe,
     "op8_suffix": suffix.op8_suffix,
+    "op9_lattice": lattice.op9_lattice,
     "op10_quality": quality.op10_quality,
 }
 
