@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, digest, jaccard, lattice, packing, quality, suffix, warc
+from . import bpe, digest, jaccard, lattice, packing, pii, quality, suffix, warc
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
+    "op3_pii": pii.op3_pii,
     "op4_warc": warc.op4_warc,
     "op5_jaccard": jaccard.op5_jaccard,
     "op6_digest": digest.op6_digest,
