@@ -56,3 +56,18 @@ def written(df: DataFrame, name: str, *partition: str) -> DataFrame:
 def crc_of(col: str) -> Column:
     """crc32 of the id's decimal text, as the held-out splits define it (null id: of the empty text)."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))
+
+
+def replaced(batch, column: str, values: list):
+    """The record batch with one column's values replaced."""
+    import pyarrow as pa
+
+    at = batch.schema.get_field_index(column)
+    return batch.set_column(at, batch.schema.field(at), pa.array(values, batch.schema.field(at).type))
+
+
+def with_length(df: DataFrame, text_col: str, length_col: str = "n_chars") -> DataFrame:
+    """Set the length column anew, where there is one, after the text has changed."""
+    if length_col not in df.columns:
+        return df
+    return df.withColumn(length_col, F.length(text_col).cast(df.schema[length_col].dataType))

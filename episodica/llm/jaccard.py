@@ -310,6 +310,13 @@ def linked_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col
     return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
 
+def representatives(docs: DataFrame, words: int = 5, percent: int = 80, text_col: str = "text") -> DataFrame:
+    """One row of each component, and every row without shingles; all columns of docs."""
+    rows = docs.select("*", F.monotonically_increasing_id().alias("_rid"))
+    found = linked_components(rows.select("_rid", text_col), words, percent, "_rid", text_col)
+    return rows.join(found.where("component_id = _rid").select("_rid"), "_rid", "left_semi").drop("_rid")
+
+
 def _meetings(named: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a > b) of components with entries in one list that sizes and positions do not rule out.
 

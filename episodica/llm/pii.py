@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, with_length
 
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -212,6 +212,13 @@ def masked(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
+def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs, all rows and columns, with every span of the text masked."""
+    found = label(docs.select(F.struct("*").alias("row"), F.col(text_col)), "row", text_col)
+    text = F.when(F.size("spans") > 0, masked(F.col("t"), F.col("spans"))).otherwise(F.col("id")[text_col])
+    return with_length(found.select(*[(text if c == text_col else F.col("id")[c]).alias(c) for c in docs.columns]), text_col)
+
+
 def _of_kind(i: int):
     return lambda x: x["k"] == i
 

@@ -21,7 +21,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import WORD, small_batches, table
+from .common import WORD, replaced, small_batches, table, with_length
 
 # The symbol characters and base rule of the contract.
 SYMBOLS = "#*$%&|<>"
@@ -129,5 +129,17 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, {fields}").withColumnRenamed("id", id_col)
 
 
+def clean(docs: DataFrame, text_col: str = "text", keep_share: float = 0.5) -> DataFrame:
+    """The kept rows of docs, all columns, with the failing lines removed from the text."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            judged = [measure(t, keep_share)[-2:] for t in b.column(text_col).to_pylist()]
+            yield replaced(b, text_col, [t for _, t in judged]).filter(pa.array([k for k, _ in judged], pa.bool_()))
+
+    return with_length(docs.mapInArrow(run, docs.schema), text_col)
+
+
 def op10_quality(spark, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), with_text=False)

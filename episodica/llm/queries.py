@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, digest, jaccard, lattice, packing, pii, quality, suffix, warc
+from . import bpe, digest, jaccard, lattice, packing, pii, quality, suffix, toxicity, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_packing": packing.op2_packing,
     "op3_pii": pii.op3_pii,
     "op4_warc": warc.op4_warc,

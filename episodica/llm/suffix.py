@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from .common import replaced, small_batches, table, with_length, written
 
 LENGTH, GRAM = 200, 40
 #: Text that a task gathers before it collapses equal blocks; bytes put in suffix order at once.
@@ -315,7 +315,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", id_
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """docs with rid, a number for each row (the same on every scan of the same files), and ord, the row's place in id order."""
-    return docs.select("*", F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("ord"))
+    return docs.select(F.col(id_col), F.col(text_col), F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("ord"))
 
 
 def _squeeze(batches):
@@ -372,5 +372,32 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", id
     return packed.join(spans, "rid", "left").select("id", "z", "spans").mapInArrow(apply, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("id", id_col)
 
 
+def kept_text(text: str, spans: list[dict] | None, length: int) -> str:
+    """The text without the removed runs; a character stays if any of its bytes does."""
+    data = text.encode()
+    runs = covered(len(data), spans, length)
+    whole = []
+    for a, b in runs:
+        while a < b and data[a] & 0xC0 == 0x80:
+            a += 1
+        while b > a and b < len(data) and data[b] & 0xC0 == 0x80:
+            b -= 1
+        whole.append((a, b))
+    return kept(data, whole).decode()
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all rows and columns, with the repeats removed from the text."""
+    spans = removed_spans(docs, length, keep, id_col, text_col).withColumnsRenamed({"rid": "_rid", "spans": "_spans"})
+    rows = docs.select("*", F.monotonically_increasing_id().alias("_rid"))
+
+    def apply(batches):
+        for b in batches:
+            texts = [kept_text(t, s, length) if t and s else t for t, s in zip(b.column(text_col).to_pylist(), b.column("_spans").to_pylist())]
+            yield replaced(b, text_col, texts).select(docs.columns)
+
+    return with_length(rows.join(spans, "_rid", "left").drop("_rid").mapInArrow(apply, docs.schema), text_col)
+
+
 def op8_suffix(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
