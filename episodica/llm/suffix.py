@@ -391,10 +391,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first",
     spans = removed_spans(docs, length, keep, id_col, text_col).withColumnsRenamed({"rid": "_rid", "spans": "_spans"})
     rows = docs.select("*", F.monotonically_increasing_id().alias("_rid"))
 
+    names = docs.columns
+
     def apply(batches):
         for b in batches:
             texts = [kept_text(t, s, length) if t and s else t for t, s in zip(b.column(text_col).to_pylist(), b.column("_spans").to_pylist())]
-            yield replaced(b, text_col, texts).select(docs.columns)
+            yield replaced(b, text_col, texts).select(names)
 
     return with_length(rows.join(spans, "_rid", "left").drop("_rid").mapInArrow(apply, docs.schema), text_col)
 
