@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "event_profile"
+FLAGSHIP = "first_crossing"
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
 
