@@ -34,6 +34,10 @@ CHUNK_BYTES = 24 << 20
 FREQUENT, FREQUENT_MOST = 3, 1 << 19
 #: Leads of a list that an entry is tried against before it leads a block of its own.
 LEADS = 8
+#: Orders in which lists are read: a set meets leads of so many different orders, so large groups of near copies join early.
+ORDERS = 4
+#: Rounds in which components that may link are tried by single members before all members are.
+ROUNDS = 4
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -176,7 +180,9 @@ def entries(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
     found = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(index, kind)
-    return written(found.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(lists, kind), "lists", "kind").select(*names)
+    order = F.xxhash64("cid", F.pmod("key", F.lit(ORDERS)))
+    dealt = found.repartition("key").sortWithinPartitions("key", order, "cid")
+    return written(dealt.mapInArrow(lists, kind), "lists", "kind").select(*names)
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, words: int, text_col: str) -> DataFrame:
@@ -266,6 +272,7 @@ def linked_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col
     leaders = meets.join(settled, ["a", "b"], "left_anti")
     met = written(checked(leaders, texts, words), "leaders")
     direct = met.where(linked).select("a", "b")
+    merged = _joined(comp, direct)
 
     # answers derived from the leaders': what the distances cannot rule out is checked between the members
     apart = met.where(~linked).unionByName(first.where(~linked).join(meets, ["a", "b"], "left_semi"))
@@ -283,31 +290,61 @@ def linked_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col
         .withColumn("d", F.expr("1 - common / total"))
         .where(F.col("d") - F.coalesce("ra", F.lit(0.0)) - F.coalesce("rb", F.lit(0.0)) <= gap)
         .where("ra is not null or rb is not null")
-        .select("a", "b", "d")
     )
+    close = _apart(close, merged).select("a", "b", "d")
     close = written(close, "close")
     own = open_lists.join(far.select(F.col("node").alias("cid"), "d"), "cid", "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
-    x = own.select("key", *(F.col(c).alias(f"{c}1") for c in ("cid", "n", "pos", "comp", "d")))
-    y = own.select("key", *(F.col(c).alias(f"{c}2") for c in ("cid", "n", "pos", "comp", "d")))
+    involved = close.select(F.explode(F.array("a", "b")).alias("comp")).distinct()
+    own = written(own.join(involved, "comp", "left_semi"), "members")
+    # first one member for each component and list, another one in each round; then, for what is still apart, all
+    left = close.count()
+    for turn in range(ROUNDS + 1):
+        if not left:
+            break
+        now = close.select(F.explode(F.array("a", "b")).alias("comp")).distinct()
+        members = own.join(now, "comp", "left_semi")
+        if turn < ROUNDS:
+            members = members.groupBy("key", "comp").agg(F.min_by(F.struct("cid", "n", "pos", "d"), F.xxhash64("cid", "key", F.lit(turn))).alias("m")).select("key", "comp", "m.*")
+        tried = written(checked(_expanded(close, members, percent), texts, words), "checked")
+        merged = _joined(merged, tried.where(linked).select("a", "b"))
+        close = written(_apart(close, merged).select("a", "b", "d"), "close")
+        left = close.count()
+    comp = merged
+
+    d = found.where("kind = 'd'").select("id", "n", "cid")
+    d = d.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("id", "n", F.coalesce("comp", "cid").alias("comp"))
+    least = d.where("n > 0").groupBy("comp").agg(F.min("id").alias("least"))
+    out = d.join(least, "comp", "left")
+    return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+
+
+def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that the components so far keep apart."""
+    a = comp.select(F.col("node").alias("a"), F.col("comp").alias("_ca"))
+    b = comp.select(F.col("node").alias("b"), F.col("comp").alias("_cb"))
+    return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).drop("_ca", "_cb")
+
+
+def _expanded(close: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of members of two components that meet in a list and that sizes, positions and distances allow."""
+    x = members.select("key", *(F.col(c).alias(f"{c}1") for c in ("cid", "n", "pos", "comp", "d")))
+    y = members.select("key", *(F.col(c).alias(f"{c}2") for c in ("cid", "n", "pos", "comp", "d")))
     common = "(1 + least(n1 - pos1 - 1, n2 - pos2 - 1))"
-    deeper = (
+    return (
         close.join(x, close["a"] == x["comp1"])
         .join(y, (F.col("b") == F.col("comp2")) & (x["key"] == y["key"]))
-        .where(F.col("d") - F.col("d1") - F.col("d2") <= gap)
+        .where(F.col("d") - F.col("d1") - F.col("d2") <= 1 - percent / 100 + 1e-9)
         .where(f"100 * least(n1, n2) >= {percent} * greatest(n1, n2) and 100 * {common} >= {percent} * (n1 + n2 - {common})")
         .select(F.greatest("cid1", "cid2").alias("a"), F.least("cid1", "cid2").alias("b"))
         .distinct()
     )
-    inner = checked(deeper, texts, words).where(linked).select("a", "b")
-    more = written(direct.unionByName(inner), "more")
-    if not more.isEmpty():
-        comp = written(components(more.unionByName(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")))), "components")
 
-    d = found.where("kind = 'd'").select("id", "n", "cid")
-    d = d.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("id", "n", F.coalesce("comp", "cid").alias("comp"))
-    least = d.where("n > 0").groupBy("comp").agg(F.min("id").alias("least"))
-    out = d.join(least, "comp", "left")
-    return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+
+def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links between their nodes."""
+    if links.isEmpty():
+        return comp
+    return written(components(links.unionByName(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")))), "components")
 
 
 def representatives(docs: DataFrame, words: int = 5, percent: int = 80, text_col: str = "text") -> DataFrame:
