@@ -1,3 +1,3 @@
 """Queries over the reference's own operators; importing a module registers its queries."""
 
-from . import vectors, windows  # noqa: F401
+from . import stats, vectors, windows  # noqa: F401
