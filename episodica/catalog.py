@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "first_crossing"
+FLAGSHIP = "intrinsic_guard"
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
 
