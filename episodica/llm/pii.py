@@ -83,10 +83,16 @@ def luhn(d: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add) % 10 == 0
 
 
+def _octet(p: Column) -> Column:
+    """Is a digit string 255 at most? Compared as text, for it may be of any length."""
+    z = F.ltrim(p, F.lit("0"))
+    return (F.length(z) < 3) | ((F.length(z) == 3) & (z <= "255"))
+
+
 def base_spans(text: Column) -> dict[str, Column]:
     """Base spans of each kind, as arrays of (s, e, m)."""
     email = positions(text, EMAIL, F.contains(text, F.lit("@")))
-    ip = F.filter(positions(text, IP, F.contains(text, F.lit("."))), lambda x: F.forall(F.split(x["m"], r"\."), lambda p: F.length(F.ltrim(p, F.lit("0"))) <= F.when(F.ltrim(p, F.lit("0")).cast("int") <= 255, 3).otherwise(0)))
+    ip = F.filter(positions(text, IP, F.contains(text, F.lit("."))), lambda x: F.forall(F.split(x["m"], r"\."), _octet))
     card = F.filter(positions(text, CARD_RUN), lambda x: F.length(digits(x["m"])).between(14, 19) & luhn(digits(x["m"])))
     phone = F.filter(positions(text, PHONE, F.contains(text, F.lit("+"))), lambda x: F.length(digits(x["m"])).between(10, 15))
     return {"email": email, "ip": ip, "card": card, "phone": phone}
