@@ -26,10 +26,8 @@ def quota_topk(df: DataFrame, first: str, second: str, ident: str, k: int) -> Da
 
 def pareto(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rows that no other row beats in one measure without losing in the other; equal rows all stay."""
-    by = Window.orderBy(F.desc(x)).rangeBetween(Window.unboundedPreceding, 0)
     best = df.groupBy(x).agg(F.max(y).alias("_y"))
     prior = F.max("_y").over(Window.orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, -1))
-    del by
     keep = best.withColumn("_prior", prior).where(F.col("_prior").isNull() | (F.col("_y") > F.col("_prior"))).select(x, F.col("_y").alias(y))
     return df.join(keep, [x, y], "left_semi")
 

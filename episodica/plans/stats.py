@@ -211,7 +211,7 @@ def linear_quantiles(spark, d):
 def median_mad(spark, d):
     e = table(spark, d, "events").select(F.col("event_type").alias("k"), "value")
     m = e.groupBy("k").agg(F.median("value").alias("m"))
-    return e.join(F.broadcast(m), "k").groupBy("k").agg(r6(F.first("m"), "median"), r6(F.median(F.abs(F.col("value") - F.col("m"))), "mad"))  # one row for each event type
+    return e.join(m, "k").groupBy("k").agg(r6(F.first("m"), "median"), r6(F.median(F.abs(F.col("value") - F.col("m"))), "mad"))
 
 
 @register("robust_scaling", f"WITH s AS (SELECT event_type AS k, median(value) AS m, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS i FROM events GROUP BY event_type) SELECT event_id, {s6('greatest(least((value - m) / greatest(i, 1e-9), 8), -8)', 'z')} FROM events JOIN s ON event_type = k")
@@ -219,7 +219,7 @@ def robust_scaling(spark, d):
     e = table(spark, d, "events").select("event_id", F.col("event_type").alias("k"), "value")
     s = e.groupBy("k").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p"))
     z = (F.col("value") - F.col("p")[1]) / F.greatest(F.col("p")[2] - F.col("p")[0], F.lit(1e-9))
-    return e.join(F.broadcast(s), "k").select("event_id", r6(L.clipped(z, -8.0, 8.0), "z"))  # one row for each event type
+    return e.join(s, "k").select("event_id", r6(L.clipped(z, -8.0, 8.0), "z"))
 
 
 @register("self_baseline", f"WITH {EV}, b AS (SELECT ep, median(x) FILTER (q < 5) AS b FROM ev GROUP BY ep) SELECT ep, q, {s6('x / greatest(abs(b), 1e-5)', 'ratio')} FROM ev JOIN b USING (ep)")
