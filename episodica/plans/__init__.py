@@ -1,3 +1,3 @@
 """Queries over the reference's own operators; importing a module registers its queries."""
 
-from . import guards, models, stats, vectors, windows  # noqa: F401
+from . import guards, models, more, stats, vectors, windows  # noqa: F401
