@@ -17,11 +17,18 @@ def per_pool_topk(df: DataFrame, pool: list[str], score: str, ident: str, k: int
 
 
 def quota_topk(df: DataFrame, first: str, second: str, ident: str, k: int) -> DataFrame:
-    """Half from the first list, the rest from the second, doubles once; what is missing comes by the better of both ranks."""
-    w = lambda c: Window.orderBy(F.desc(c), ident)
-    r = df.withColumn("_a", F.row_number().over(w(first))).withColumn("_b", F.row_number().over(w(second)))
+    """(ident, priority): half from the first list, the rest from the second, doubles once; what is missing comes by the better of both ranks.
+
+    Ranks beyond 2 k never count, so both lists are cut by a top-k before they are numbered.
+    """
+
+    def top(c: str, name: str) -> DataFrame:
+        w = Window.orderBy(F.desc(c), ident)  # over 2 k rows
+        return df.orderBy(F.desc(c), ident).limit(2 * k).select(ident, F.row_number().over(w).alias(name))
+
+    r = top(first, "_a").join(top(second, "_b"), ident, "full_outer")
     own = F.when(F.col("_a") <= k // 2, F.col("_a")).when(F.col("_b") <= k - k // 2, F.col("_b") + k).otherwise(F.least("_a", "_b") + 3 * k)
-    return r.withColumn("priority", own).orderBy("priority", ident).limit(k).drop("_a", "_b")
+    return r.select(ident, own.alias("priority")).orderBy("priority", ident).limit(k)
 
 
 def pareto(df: DataFrame, x: str, y: str) -> DataFrame:

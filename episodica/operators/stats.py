@@ -14,18 +14,37 @@ def average_rank(x: str, *group: str) -> Column:
     return F.rank().over(g.orderBy(x)) + (F.count("*").over((Window.partitionBy(*group, x)) if group else Window.partitionBy(x)) - 1) / 2.0
 
 
+#: Ranges that an ordered pass over all rows is dealt into.
+RANGES = 64
+
+
+def range_of(df: DataFrame, x: str, ranges: int = RANGES) -> Column:
+    """Number of the value's range; the bounds (ranges - 1 numbers) are approximate quantiles, read once."""
+    cuts = [i / ranges for i in range(1, ranges)]
+    bounds = df.agg(F.percentile_approx(x, cuts, 2000)).first()[0] or []
+    at = F.lit(0)
+    for b in sorted(set(bounds)):
+        at = at + F.when(F.col(x) >= b, 1).otherwise(0)
+    return at
+
+
 def value_counts_auc(df: DataFrame, x: str, y: str, *group: str) -> DataFrame:
     """Mann-Whitney U and its pairs, for each group (groups lacking a class are dropped).
 
     Rows are first counted by value, so the ordered pass is over distinct values, and a hot group shrinks before it.
+    Without groups the ordered pass runs in ranges of values: each adds the negatives of the ranges below it.
     """
-    by = list(group) or [F.lit(1).alias("_all")]
-    v = df.groupBy(*by, x).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).alias("n"))
-    keys = list(group) or ["_all"]
+    v = df.groupBy(*group, x).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).alias("n"))
+    keys = list(group) or ["_range"]
+    if not group:
+        v = v.withColumn("_range", range_of(df, x))
     below = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     u = v.withColumn("_u", F.col("p") * (below + F.col("n") / 2.0))
-    out = u.groupBy(*keys).agg(F.sum("_u").alias("u"), F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg")).where("n_pos > 0 and n_neg > 0")
-    return out if group else out.drop("_all")
+    out = u.groupBy(*keys).agg(F.sum("_u").alias("u"), F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
+    if not group:
+        before = F.coalesce(F.sum("n_neg").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over the ranges
+        out = out.withColumn("u", F.col("u") + F.col("n_pos") * before).agg(F.sum("u").alias("u"), F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"))
+    return out.where("n_pos > 0 and n_neg > 0")
 
 
 def auc(df: DataFrame, x: str, y: str) -> DataFrame:
