@@ -26,20 +26,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, ascii_lower, crc_of, small_batches, table, written
+from .common import crc_of, small_batches, table, written
 
 #: Text of a block, discount of a training word's count, weight of the file's scores against the expected counts.
 BLOCK_BYTES, DISCOUNT, PRIOR = 24 << 20, 0.75, 1000.0
 MARK = "▁"
-_OTHER = frozenset("\x1c\x1d\x1e\x1f\x85\xa0")
+#: Words sorted together, so that they share the recursion of their prefixes; letters up to which expected counts stay in linear space.
+SORTED_WORDS, LINEAR_LETTERS = 200_000, 100
 
 
-def words_of(text: str) -> list[str]:
-    """Words of a text with A-Z in lower case."""
-    text = ascii_lower(text)
-    if text.isascii() and not _OTHER.intersection(text):
-        return text.split()
-    return WORD.findall(text)
+def words_of(text: str) -> list[bytes]:
+    """Words of a text with A-Z in lower case, in UTF-8: bytes know the six ASCII white-space characters only."""
+    return text.encode().lower().split()
 
 
 def vocabulary() -> str:
@@ -103,6 +101,30 @@ class Lattice:
         """Natural log of the word's probability, over all its segmentations."""
         return self.forward(self.arcs(MARK + word))[-1]
 
+    def new_arcs(self, s: str, end: int) -> list[tuple[int, str]]:
+        """(start, piece) of the pieces that end at a place; an empty piece for a letter spelled in bytes."""
+        weights = self.weights
+        own = [(start, s[start:end]) for start in range(max(0, end - self.longest), end) if s[start:end] in weights]
+        if not own or own[-1][0] != end - 1:
+            own.append((end - 1, ""))
+        return own
+
+    def log_probabilities(self, words: list[str]) -> list[float]:
+        """log_probability of sorted words; what a word shares with the one before is not computed again."""
+        get, starts, before, alpha, out = self.weights.__getitem__, self.starts, "", [0.0], []
+        for word in words:
+            s = MARK + word
+            shared, most = 0, min(len(before), len(s))
+            while shared < most and before[shared] == s[shared]:
+                shared += 1
+            del alpha[shared + 1 :]
+            for end in range(shared + 1, len(s) + 1):
+                terms = [alpha[start] + (get(piece) if piece else sum(self.weights.get(b, starts) for b in self.spelled(s[start]))) for start, piece in self.new_arcs(s, end)]
+                alpha.append(self.total(terms))
+            out.append(alpha[-1])
+            before = s
+        return out
+
     def expect(self, word: str, count: float, into: dict[str, float]) -> None:
         """Add the expected number of each piece in count occurrences of the word."""
         s = MARK + word
@@ -118,11 +140,49 @@ class Lattice:
                 reach[start].append(b + w)
                 share = count * math.exp(alpha[start] + w + b - alpha[n])
                 piece = s[start:end]
-                if piece in self.weights:
-                    into[piece] += share
-                else:
-                    for p in self.spelled(piece):
-                        into[p] += share
+                for p in [piece] if piece in self.weights else self.spelled(piece):
+                    into[p] += share
+
+    def expect_all(self, rows: list[tuple[str, int]], into: dict[str, float]) -> None:
+        """Expected pieces of sorted (word, count) rows, in one walk of their trie.
+
+        A node's forward sum is shared by all words through it. On the way back a node hands on, over each arc, the
+        summed count / probability of the words below it, so every arc of the trie is looked at once for all words.
+        """
+        linear = {k: math.exp(v) for k, v in self.weights.items()}
+        low = math.exp(self.starts)
+        before, alpha, arcs, below = "", [1.0], [[]], [0.0]  # of the nodes on the present path
+
+        def back(to: int) -> None:
+            while len(alpha) > to + 1:
+                b = below.pop()
+                for start, piece, w in arcs.pop():
+                    below[start] += w * b
+                    share = alpha[start] * w * b
+                    if piece in linear:
+                        into[piece] += share
+                    else:
+                        for p in self.spelled(piece):
+                            into[p] += share
+                alpha.pop()
+
+        for word, count in rows:
+            if len(word) > LINEAR_LETTERS:
+                self.expect(word, count, into)
+                continue
+            s = MARK + word
+            shared, most = 0, min(len(before), len(s))
+            while shared < most and before[shared] == s[shared]:
+                shared += 1
+            back(shared)
+            for end in range(shared + 1, len(s) + 1):
+                own = [(start, piece, linear[piece]) if piece else (start, s[start:end], math.prod(linear.get(b, low) for b in self.spelled(s[start]))) for start, piece in self.new_arcs(s, end)]
+                arcs.append(own)
+                alpha.append(sum([alpha[start] * w for start, _, w in own]))
+                below.append(0.0)
+            below[-1] += count / alpha[-1]
+            before = s
+        back(0)
 
 
 def blocks_of(docs: DataFrame, held: F.Column, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
@@ -139,13 +199,11 @@ def blocks_of(docs: DataFrame, held: F.Column, id_col: str, text_col: str, block
             flat = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
             train = np.repeat(~np.array(out, bool), np.array(sizes, np.int64))
             c = np.bincount(flat[train], minlength=n)
-            blank = pa.nulls(n, pa.binary())
             words = list(index)
             for k in range(0, n, 50_000):
                 m = min(50_000, n - k)
-                yield pa.record_batch([pa.array(["w"] * m), pa.array(np.full(m, block)), pa.array(np.arange(k, k + m)), pa.array(words[k : k + m], pa.string()), pa.array(c[k : k + m].astype(np.int64)), *[pa.nulls(m, t) for t in types[5:]]], names=names)
-            del blank
-            yield pa.record_batch([pa.array(["d"]), pa.array([block], pa.int64()), pa.array([-1], pa.int64()), pa.nulls(1, pa.string()), pa.array([n], pa.int64()), pa.array([ids], types[5]), pa.array([out], types[6]), pa.array([sizes], types[7]), pa.array([z.compress(flat.astype(np.int32).tobytes())], pa.binary())], names=names)
+                yield pa.record_batch([pa.array(["w"] * m), pa.array(np.full(m, block)), pa.array(np.arange(k, k + m)), pa.array(words[k : k + m], pa.binary()), pa.array(c[k : k + m].astype(np.int64)), *[pa.nulls(m, t) for t in types[5:]]], names=names)
+            yield pa.record_batch([pa.array(["d"]), pa.array([block], pa.int64()), pa.array([-1], pa.int64()), pa.nulls(1, pa.binary()), pa.array([n], pa.int64()), pa.array([ids], types[5]), pa.array([out], types[6]), pa.array([sizes], types[7]), pa.array([z.compress(flat.astype(np.int32).tobytes())], pa.binary())], names=names)
 
         for b in batches:
             for key, is_held, text in zip(*(c.to_pylist() for c in b.columns)):
@@ -164,8 +222,8 @@ def blocks_of(docs: DataFrame, held: F.Column, id_col: str, text_col: str, block
 
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["kind", "block", "at", "word", "c", "ids", "held", "sizes", "numbers"]
-    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(_arrow(docs.schema[id_col].dataType)), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
-    found = docs.select(id_col, held.alias("held"), text_col).mapInArrow(cut, f"kind string, block long, at long, word string, c long, ids array<{kind}>, held array<boolean>, sizes array<long>, numbers binary")
+    types = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(_arrow(docs.schema[id_col].dataType)), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
+    found = docs.select(id_col, held.alias("held"), text_col).mapInArrow(cut, f"kind string, block long, at long, word binary, c long, ids array<{kind}>, held array<boolean>, sizes array<long>, numbers binary")
     return written(found, "blocks", "kind")
 
 
@@ -175,15 +233,53 @@ def _arrow(kind):
     return to_arrow_type(kind)
 
 
+def _sorted_runs(batches):
+    """Words (decoded) and counts of several batches at a time, in order of the words."""
+    held, size = [], 0
+    for b in batches:
+        held += zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+        size += b.num_rows
+        if size >= SORTED_WORDS:
+            held.sort()
+            yield [w.decode() for w, _ in held], [c for _, c in held]
+            held, size = [], 0
+    if held:
+        held.sort()
+        yield [w.decode() for w, _ in held], [c for _, c in held]
+
+
+def _packed(batches):
+    """Rows of (block, at, n, lat) as one row of packed arrays for each block, some millions at a time."""
+    held, size = [], 0
+
+    def flush():
+        cols = [np.concatenate(c) for c in zip(*held)]
+        by = np.argsort(cols[0], kind="stable")
+        block = cols[0][by]
+        cut = np.flatnonzero(np.diff(block)) + 1
+        packed = [[x.tobytes() for x in np.split(c[by], cut)] for c in cols[1:]]
+        for i, k in enumerate(block[np.append(0, cut)]):
+            yield pa.record_batch([pa.array([k], pa.int64()), *(pa.array([x[i]], pa.binary()) for x in packed)], names=["block", "at", "n", "lat"])
+
+    for b in batches:
+        if b.num_rows:
+            held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+            size += b.num_rows
+        if size > 3_000_000:
+            yield from flush()
+            held, size = [], 0
+    if held:
+        yield from flush()
+
+
 def fitted(counts: DataFrame, start: dict[str, float], prior: float = PRIOR) -> dict[str, float]:
     """Piece weights after one round of expected counts over all training words."""
     shared = counts.sparkSession.sparkContext.broadcast(start)  # the vocabulary file's pieces
 
     def expect(batches):
         lattice, into = Lattice(shared.value), defaultdict(float)
-        for b in batches:
-            for word, c in zip(*(x.to_pylist() for x in b.columns)):
-                lattice.expect(word, c, into)
+        for words, counts_ in _sorted_runs(batches):
+            lattice.expect_all(list(zip(words, counts_)), into)
         yield pa.record_batch([pa.array(list(into), pa.string()), pa.array(list(into.values()), pa.float64())], names=["piece", "n"])
 
     found = counts.where("c > 0").select("word", "c").mapInArrow(expect, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()  # a row for each piece at most
@@ -206,20 +302,23 @@ def score(docs: DataFrame, held: F.Column, path: str, id_col: str = "doc_id", te
 
     def weigh(batches):
         lattice = Lattice(weights.value)
-        for b in batches:
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([lattice.log_probability(w) for w in b.column(0).to_pylist()], pa.float64())], names=["word", "n", "lat"])
-
-    scored = counts.select("word", "c").mapInArrow(weigh, "word string, n long, lat double")
-    known = words.select("block", "at", "word").join(scored, "word").select("block", "at", F.col("n").alias("c"), "lat")
-    whole = blocks.where("kind = 'd'").select("block", "at", "c", F.lit(None).cast("double").alias("lat"), "ids", "held", "sizes", "numbers")
-    both = whole.unionByName(known, allowMissingColumns=True)
+        for words_, counts_ in _sorted_runs(batches):
+            lat = lattice.log_probabilities(words_)
+            for k in range(0, len(words_), 20_000):
+                part = slice(k, k + 20_000)
+                yield pa.record_batch([pa.array([w.encode() for w in words_[part]], pa.binary()), pa.array(counts_[part], pa.int64()), pa.array(lat[part], pa.float64())], names=["word", "n", "lat"])
+
+    scored = counts.select("word", "c").mapInArrow(weigh, "word binary, n long, lat double")
+    known = words.select("block", "at", "word").join(scored, "word").select("block", "at", "n", "lat").mapInArrow(_packed, "block long, at binary, n binary, lat binary")
+    whole = blocks.where("kind = 'd'").select("block", "c", "ids", "held", "sizes", "numbers")
+    parts = known.groupBy("block").agg(F.collect_list(F.struct("at", "n", "lat")).alias("parts"))  # one for each task and block at most
     rest = discount * v_words / n if n else 0.5
     log_rest = math.log(rest) if rest else -math.inf
     end_base = math.log10((ends + 1) / (n + v + 1))
     end_own = math.log10(ends / n) if ends else math.log10(0.5)
 
     def finish(batches):
-        z, now, doc, c, lat = zstandard.ZstdDecompressor(), None, None, None, None
+        z, doc, c, lat = zstandard.ZstdDecompressor(), None, None, None
 
         def done():
             sizes = np.array(doc[2], np.int64)
@@ -228,8 +327,8 @@ def score(docs: DataFrame, held: F.Column, path: str, id_col: str = "doc_id", te
             with np.errstate(divide="ignore"):
                 own = np.logaddexp(np.log(np.maximum(c - discount, 0) / max(n, 1)), log_rest + lat) / math.log(10)
             cuts = np.concatenate([[0], np.cumsum(sizes)])
-            sums = [np.concatenate([[0], np.cumsum(x[flat])]) if exact else None for x, exact in ((c > 0, True),)]
-            known_ = sums[0][cuts[1:]] - sums[0][cuts[:-1]] + (ends > 0)
+            seen = np.concatenate([[0], np.cumsum((c > 0)[flat])])
+            known_ = seen[cuts[1:]] - seen[cuts[:-1]] + (ends > 0)
             owner = np.repeat(np.arange(len(sizes)), sizes)
             b_score = np.bincount(owner, base[flat], len(sizes)) + end_base
             o_score = np.bincount(owner, own[flat], len(sizes)) + end_own
@@ -237,27 +336,19 @@ def score(docs: DataFrame, held: F.Column, path: str, id_col: str = "doc_id", te
             yield pa.record_batch([pa.array(doc[0], out_type), pa.array(doc[1], pa.bool_()), pa.array(sizes + 1), pa.array(known_.astype(np.int64)), pa.array(np.full(m, n, np.int64)), pa.array(b_score), pa.array(o_score)], names=names)
 
         for b in batches:
-            block = b.column(0).to_numpy()
-            for k in np.unique(block):  # rows are in order of block
-                lo, hi = np.searchsorted(block, k), np.searchsorted(block, k, "right")
-                part = b.slice(lo, hi - lo)
-                if k != now:
-                    if doc is not None:
-                        yield from done()
-                    now = k
-                    doc = tuple(part.column(i)[0].as_py() for i in range(4, 8))
-                    c, lat = np.zeros(part.column(2)[0].as_py(), np.int64), np.zeros(part.column(2)[0].as_py())
-                    part = part.slice(1)
-                at = part.column(1).to_numpy()
-                c[at], lat[at] = part.column(2).to_numpy(), part.column(3).to_numpy(zero_copy_only=False)
-        if doc is not None:
-            yield from done()
+            for row in b.to_pylist():
+                doc = (row["ids"], row["held"], row["sizes"], row["numbers"])
+                c, lat = np.zeros(row["c"], np.int64), np.zeros(row["c"])
+                for part in row["parts"] or ():
+                    at = np.frombuffer(part["at"], np.int64)
+                    c[at], lat[at] = np.frombuffer(part["n"], np.int64), np.frombuffer(part["lat"], np.float64)
+                yield from done()
 
     kind = docs.schema[id_col].dataType.simpleString()
     out_type = _arrow(docs.schema[id_col].dataType)
     names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    dealt = both.repartition("block").sortWithinPartitions("block", "at")
-    return dealt.mapInArrow(finish, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))  # a row is a block
+    return whole.join(parts, "block", "left").mapInArrow(finish, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
 
 
 def op9_lattice(spark, sf_dir: str) -> DataFrame:
