@@ -13,6 +13,7 @@ Repeated rows are encoded row by row; an empty table gives an empty one; other c
 
 from __future__ import annotations
 
+import gc
 import json
 import unicodedata
 from array import array
@@ -31,8 +32,8 @@ END = "</w>"
 #: Control characters that str.split takes for white space and the vocabulary's normalizer does not.
 ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
 UNICODE_SPACE = regex.compile(r"[\x09-\x0d\x20\x85\xa0  -     　]+")
-#: Distinct words kept in each of the two generations of a worker's cache.
-CACHE_WORDS = 300_000
+#: Entries of each of the two generations of a worker's caches: encoded chunks (with their decoding, fewer) and words.
+CACHE_CHUNKS, CACHE_DECODED, CACHE_WORDS = 600_000, 300_000, 400_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -69,8 +70,9 @@ class WordBpe:
         self._own: dict[int, bool] = {}
         self._spines: dict[tuple[int, bool], list[tuple[int, float]]] = {}
         self.words: dict[str, bytes] = {}
-        self.young: dict[str, tuple[bytes, bytes]] = {}
-        self.old: dict[str, tuple[bytes, bytes]] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.young: dict = {}  # chunk -> ids, or (ids, decoding)
+        self.old: dict = {}
 
     def spine(self, token: int, right: bool) -> list[tuple[int, float]]:
         """Tokens that stand at one edge of a token while it is merged, each with the rank of the merge that consumes it."""
@@ -117,39 +119,48 @@ class WordBpe:
             self._own[token] = found
         return found
 
-    def last_token(self, word: str, end: int, final: bool, state: list[int]) -> tuple[int, int]:
-        """Last token of word[:end] and its letters, from the states of the shorter prefixes; one suffix only fits."""
-        get, known, tail = self.vocab.get, self._pairs.get, END if final else ""
-        for n in range(1, min(end - 1, self.longest) + 1):
-            t = get(word[end - n : end] + tail)
-            if t is not None:
-                fits = known(state[end - n] << 20 | t)
-                if fits or fits is None and self.adjacent(state[end - n], t):
-                    return t, n
-        t = get(word[:end] + tail)
-        if t is None or not self.survives(t):
-            raise ValueError(f"a letter of {word!r} is not in the vocabulary")
-        return t, end
-
     def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
-        """Encodings of distinct words (in the byte-level alphabet), by depth-first walk of their trie."""
+        """Encodings of distinct words (in the byte-level alphabet), by depth-first walk of their trie.
+
+        Each node finds the last token of its prefix from those of the prefixes before it: of the suffixes that are
+        tokens exactly one stays beside what comes before. The last token grown by the new letter is tried first.
+        """
+        get, known, adjacent, survives, longest = self.vocab.get, self._pairs.get, self.adjacent, self.survives, self.longest
         before, state, size = "", [0], [0]  # of each prefix length of the last word: last token, its letters
         for word in sorted(words):
             shared, most, whole = 0, min(len(before), len(word) - 1, len(state) - 1), len(word)
             while shared < most and before[shared] == word[shared]:
                 shared += 1
             del state[shared + 1 :], size[shared + 1 :]
-            for end in range(shared + 1, whole):
-                t, n = self.last_token(word, end, False, state)
+            for end in range(shared + 1, whole + 1):
+                tail = END if end == whole else ""
+                grown = size[end - 1] + 1
+                n, step = grown, 0
+                while True:
+                    t = get(word[end - n : end] + tail) if tail else get(word[end - n : end])
+                    if t is not None:
+                        if n == end:
+                            if survives(t):
+                                break
+                        else:
+                            fits = known(state[end - n] << 20 | t)
+                            if fits or fits is None and adjacent(state[end - n], t):
+                                break
+                    step += 1
+                    n = step if step < grown else step + 1
+                    if n > end or n > longest:
+                        raise ValueError(f"a letter of {word!r} is not in the vocabulary")
                 state.append(t)
                 size.append(n)
-            t, n = self.last_token(word, whole, True, state)
-            ids, at = [t], whole - n
+            ids, at = [], whole
             while at:
                 ids.append(state[at])
                 at -= size[at]
             ids.reverse()
             yield word, ids
+            # the final node is of the word with its end mark: no longer word may go on from it
+            state.pop()
+            size.pop()
             before = word
 
     def normal(self, text: str) -> list[str]:
@@ -185,26 +196,31 @@ class WordBpe:
     def learn(self, chunks: set[str]) -> None:
         """Encode chunks that no generation of the cache has."""
         parts: dict[str, list[str]] = {}
+        young, decoding = self.young, self.decoding
         for c in chunks:
             if c.startswith("\0\0") and c[2:] in self.special:
-                i = self.special[c[2:]]
-                self.young[c] = (array("I", [i]).tobytes(), c[2:].encode())
+                ids = array("I", [self.special[c[2:]]]).tobytes()
+                young[c] = (ids, c[2:].encode()) if decoding else ids
             else:
                 parts[c] = self.parts(c)
-        words = self.words
-        if len(words) > CACHE_WORDS:
-            words.clear()
-        for word, found in self.encode_words({p for ps in parts.values() for p in ps}.difference(words)):
+        if len(self.words) > CACHE_WORDS:
+            self.old_words, self.words = self.words, {}
+        words, old = self.words, self.old_words
+        fresh = set().union(*parts.values()).difference(words)
+        for w in [w for w in fresh if w in old]:
+            words[w] = old[w]
+            fresh.discard(w)
+        for word, found in self.encode_words(fresh):
             words[word] = array("I", found).tobytes()
-        names, young, decoding = self.names, self.young, self.decoding
+        names = self.names
         for c, ps in parts.items():
             ids = words[ps[0]] if len(ps) == 1 else b"".join([words[p] for p in ps])
-            young[c] = (ids, " ".join([names[i] for i in array("I", ids)]).encode() if decoding else b"")
+            young[c] = (ids, " ".join([names[i] for i in array("I", ids)]).encode()) if decoding else ids
 
-    def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
-        """For each text its ids (little-endian unsigned 32-bit) and its decoding (UTF-8)."""
+    def prepared(self, texts: list[str | None]) -> list[list[str]]:
+        """The texts' chunks, all of them in the young generation of the cache."""
         split = [self.chunks(t) if t else [] for t in texts]
-        if len(self.young) > CACHE_WORDS:
+        if len(self.young) > (CACHE_DECODED if self.decoding else CACHE_CHUNKS):
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
         missing = set().union(*split).difference(young)
@@ -212,10 +228,22 @@ class WordBpe:
             young[c] = old[c]
             missing.discard(c)
         self.learn(missing)
+        return split
+
+    def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
+        """For each text its ids (little-endian unsigned 32-bit) and its decoding (UTF-8)."""
+        split = self.prepared(texts)
         for cs in split:
-            got = [young[c] for c in cs]
+            got = [self.young[c] for c in cs]
             yield b"".join([g[0] for g in got]), b" ".join([g[1] for g in got if g[1]])
 
+    def ids_batch(self, texts: list[str | None]) -> Iterator[bytes]:
+        """For each text its ids alone; for an encoder without decoding."""
+        split = self.prepared(texts)
+        get = self.young.__getitem__
+        for cs in split:
+            yield b"".join(map(get, cs))
+
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join(self.names[i] for i in ids)
 
@@ -226,6 +254,7 @@ _LOADED: dict[tuple[str, bool], WordBpe] = {}
 def encoder(path: str, decoding: bool = True) -> WordBpe:
     """The worker's encoder for a vocabulary file; without decoding, decodings stay empty."""
     if (path, decoding) not in _LOADED:
+        gc.set_threshold(200_000, 50, 1000)  # the caches are large and hold no cycles
         _LOADED[path, decoding] = WordBpe(path, decoding)
     return _LOADED[path, decoding]
 

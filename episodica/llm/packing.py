@@ -65,7 +65,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
         code = encoder(path, decoding=False)
         for b in batches:
             keys, piece, start, ids = [], [], [], []
-            for k, (coded, _) in enumerate(code.encode_batch(b.column(1).to_pylist())):
+            for k, coded in enumerate(code.ids_batch(b.column(1).to_pylist())):
                 coded += end
                 for at in range(0, len(coded), step):
                     keys.append(k)
