@@ -22,6 +22,8 @@ from .common import small_batches, table, written
 
 #: Tokens of a sequence, open bins of a packer, and pieces that one packer gets on average.
 CAPACITY, OPEN_BINS, PIECES_PER_PACKER = 2048, 1024, 60_000
+#: Pieces that a packer takes at a time, longest first.
+LOOK_AHEAD = 4096
 
 
 class BestFit:
@@ -95,9 +97,25 @@ def assign(cut: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
         from pyspark import TaskContext
 
         base, packer = TaskContext.get().partitionId() << 40, BestFit(capacity, open_bins)
+        held, size = [], 0
+
+        def placed():
+            rows_ = pa.Table.from_batches(held).combine_chunks()
+            lengths = rows_.column(length_at).to_pylist()
+            at: list = [None] * len(lengths)
+            for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):  # the long ones first
+                at[i] = packer.place(lengths[i])
+            out = rows_.append_column("sequence_id", pa.array([base + s for s, _ in at], pa.int64())).append_column("offset", pa.array([o for _, o in at], pa.int64()))
+            yield from out.to_batches()
+
         for b in batches:
-            placed = [packer.place(n) for n in b.column(length_at).to_pylist()]
-            yield pa.record_batch([*b.columns[: len(fields)], pa.array([base + s for s, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())], names=[*fields, "sequence_id", "offset"])
+            held.append(b)
+            size += b.num_rows
+            if size >= LOOK_AHEAD:
+                yield from placed()
+                held, size = [], 0
+        if size:
+            yield from placed()
 
     # the order within a packer is fixed by the rows alone; hashing mixes lengths, which is what best fit wants
     mixed = rows.withColumn("_deal", F.xxhash64(fields[0], "piece", "start", "length"))
