@@ -31,8 +31,8 @@ from .common import crc_of, small_batches, table, written
 #: Text of a block, discount of a training word's count, weight of the file's scores against the expected counts.
 BLOCK_BYTES, DISCOUNT, PRIOR = 24 << 20, 0.75, 1000.0
 MARK = "▁"
-#: Words sorted together, so that they share the recursion of their prefixes; letters up to which expected counts stay in linear space.
-SORTED_WORDS, LINEAR_LETTERS = 200_000, 100
+#: Words sorted together, so that they share the recursion of their prefixes; log below which a forward sum is rescaled.
+SORTED_WORDS, RESCALED = 200_000, -230.0
 
 
 def words_of(text: str) -> list[bytes]:
@@ -148,10 +148,13 @@ class Lattice:
 
         A node's forward sum is shared by all words through it. On the way back a node hands on, over each arc, the
         summed count / probability of the words below it, so every arc of the trie is looked at once for all words.
+        Forward sums are linear, times exp(scale) of their node: where one would fall below exp(RESCALED), and where
+        the scales of its arcs' starts differ, it is summed in log space. An arc's weight takes up the difference.
         """
         linear = {k: math.exp(v) for k, v in self.weights.items()}
-        low = math.exp(self.starts)
+        low, least = math.exp(self.starts), math.exp(RESCALED)
         before, alpha, arcs, below = "", [1.0], [[]], [0.0]  # of the nodes on the present path
+        scale, since = [0.0], [0]  # log of a node's unit, and the first node from which on it is the same
 
         def back(to: int) -> None:
             while len(alpha) > to + 1:
@@ -165,20 +168,33 @@ class Lattice:
                         for p in self.spelled(piece):
                             into[p] += share
                 alpha.pop()
+                scale.pop()
+                since.pop()
+
+        def rescaled(s: str, own: list[tuple[int, str]]) -> tuple[float, float, list]:
+            logs = [self.weights[piece] if piece else sum(self.weights.get(b, self.starts) for b in self.spelled(s[start])) for start, piece in own]
+            total = self.total([math.log(alpha[start]) + scale[start] + w for (start, _), w in zip(own, logs)])
+            unit = scale[-1] if abs(total - scale[-1]) < -RESCALED else total
+            return math.exp(total - unit), unit, [(start, piece or s[start], math.exp(w + scale[start] - unit)) for (start, piece), w in zip(own, logs)]
 
         for word, count in rows:
-            if len(word) > LINEAR_LETTERS:
-                self.expect(word, count, into)
-                continue
             s = MARK + word
             shared, most = 0, min(len(before), len(s))
             while shared < most and before[shared] == s[shared]:
                 shared += 1
             back(shared)
             for end in range(shared + 1, len(s) + 1):
-                own = [(start, piece, linear[piece]) if piece else (start, s[start:end], math.prod(linear.get(b, low) for b in self.spelled(s[start]))) for start, piece in self.new_arcs(s, end)]
+                found, unit, first, a = self.new_arcs(s, end), scale[-1], since[-1], 0.0
+                if first <= found[0][0]:
+                    own = [(start, piece, linear[piece]) if piece else (start, s[start:end], math.prod(linear.get(b, low) for b in self.spelled(s[start]))) for start, piece in found]
+                    a = sum([alpha[start] * w for start, _, w in own])
+                if a < least:
+                    a, unit, own = rescaled(s, found)
+                    first = first if unit == scale[-1] else end
                 arcs.append(own)
-                alpha.append(sum([alpha[start] * w for start, _, w in own]))
+                alpha.append(a)
+                scale.append(unit)
+                since.append(first)
                 below.append(0.0)
             below[-1] += count / alpha[-1]
             before = s

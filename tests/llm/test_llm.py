@@ -315,6 +315,27 @@ def test_lattice_sums_all_segmentations():
     assert dict(all_) == pytest.approx(dict(one))
 
 
+#: Words whose probability leaves the range of floats, or nearly so.
+FAINT = ["人工智能" * 17 + "人", "สวัสดีครับ" * 9, "😀" * 60, "😀" * 14, "0123456789abcdef" * 4, "9f86d081884c7d65" * 7, "😀" * 30 + "the" + "😀" * 30 + "nation", "z" * 3000]
+
+
+def test_expected_counts_of_faint_words():
+    m = lattice.Lattice(lattice.file_weights(lattice.vocabulary()))
+    rows = [(w, k + 1) for k, w in enumerate(sorted({*FAINT, "😀" * 59 + "a", "the", "nation"}))]
+    one, all_ = defaultdict(float), defaultdict(float)
+    for w, c in rows:
+        m.expect(w, c, one)
+    m.expect_all(rows, all_)
+    assert dict(all_) == pytest.approx(dict(one), rel=1e-6, abs=1e-9)
+
+
+def test_scores_with_faint_training_words(spark):
+    df = spark.createDataFrame([(k, f"plain words {w}") for k, w in enumerate(FAINT)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lattice.score(df, crc_of("doc_id") < 0, lattice.vocabulary()).collect()}
+    assert sorted(got) == list(range(len(FAINT)))
+    assert all(not r["held_out"] and math.isfinite(r["score"]) for r in got.values())
+
+
 def test_base_scores(docs, rows):
     low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
     toks = {i: [*WORD.findall(low(t)), "\n"] for i, t in rows}
