@@ -10,8 +10,8 @@ The classifier is fitted to at most `sample_rows` labelled rows, those of least
 counts every training text. Labels, language, source and id are no features.
 
 Edge cases: null, empty and unlabelled texts get a score; without any feature it is the share of toxic rows (0.5 if no
-row is labelled). A document with several labels counts as toxic if one says so. Very long tokens are read in pieces of
-bounded length. Repeated rows get equal scores. An empty table gives an empty one. Other columns are ignored.
+row is labelled). A document with several labels counts as toxic if one says so. Tokens of any length are decoded
+whole. Repeated rows get equal scores. An empty table gives an empty one. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +40,6 @@ COST_LEET, COST_DROP, COST_REPEAT = -1.5, -1.0, -0.7
 ALPHABET = "\0abcdefghijklmnopqrstuvwxyzàâäáãçéèêëíìîïñóòôöõúùûüßœæ"
 CODE = {c: i for i, c in enumerate(ALPHABET)}
 SIZE = len(ALPHABET) + 1  # the last is any other letter
-LONGEST = 64
 _MAP = np.zeros(0x250, np.int64)
 for _c, _i in CODE.items():
     _MAP[ord(_c)] = _i
@@ -74,9 +73,9 @@ class CharModel:
     def restore(self, token: str) -> str:
         """Likeliest word behind a token, by Viterbi over its character lattice."""
         code, log = CODE, self.log
-        # state: (last letter but one, last letter); value: (log probability, text)
-        states = {(0, 0): (0.0, "")}
-        for i, ch in enumerate(token[:LONGEST]):
+        # state: (last letter but one, last letter); value: (log probability, (text before, last letter))
+        states: dict = {(0, 0): (0.0, None)}
+        for i, ch in enumerate(token):
             options = [(ch, 0.0)] if ch.isalpha() else [(ch, -6.0)]
             options += [(x, COST_LEET) for x in LEET.get(ch, "")]
             drop = COST_DROP if ch in SEPARATORS and 0 < i < len(token) - 1 else -8.0 if not ch.isalnum() else None
@@ -86,20 +85,23 @@ class CharModel:
                     k = code.get(x, SIZE - 1)
                     s = score + cost + log[a][b][k]
                     if (b, k) not in after or after[b, k][0] < s:
-                        after[b, k] = (s, text + x)
+                        after[b, k] = (s, (text, x))
                 # nothing: a separator, or the letter before once more
                 none = drop if drop is not None else None
-                if text and i and text[-1] == ch:
+                if text and i and text[1] == ch:
                     none = COST_REPEAT
-                elif text and ch in LEET and text[-1] in LEET[ch]:
+                elif text and ch in LEET and text[1] in LEET[ch]:
                     none = COST_LEET + COST_REPEAT
                 if none is not None:
                     s = score + none
                     if (a, b) not in after or after[a, b][0] < s:
                         after[a, b] = (s, text)
             states = after
-        best = max(states.items(), key=lambda kv: kv[1][0] + self.log[kv[0][0]][kv[0][1]][0])
-        return best[1][1] + token[LONGEST:]
+        text, out = max(states.items(), key=lambda kv: kv[1][0] + self.log[kv[0][0]][kv[0][1]][0])[1][1], []
+        while text:
+            text, x = text
+            out.append(x)
+        return "".join(reversed(out))
 
 
 def tokens(text: str) -> list[str]:

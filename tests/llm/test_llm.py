@@ -361,6 +361,12 @@ def test_deobfuscation():
     assert any("idiot" in toxicity.readings(t, m) for t in toxicity.tokens("you i d i o t"))
 
 
+def test_long_tokens_are_decoded_whole():
+    m = toxicity.CharModel(toxicity.trigrams("idiot moron stupid trash hello worthless loser " * 50))
+    assert m.restore("st" + "u" * 70 + "pid") == "stupid"
+    assert "=stupid" in toxicity.features("st" + "u" * 5000 + "p1d", m)
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(8)
     bad = ["vile", "nasty"]
