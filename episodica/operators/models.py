@@ -18,24 +18,46 @@ from ..runtime import ship
 
 def effective_rank(m: np.ndarray) -> tuple[float, float]:
     """Exponential of the entropy of the normalised singular values; stable rank."""
-    s = np.linalg.svd(m, compute_uv=False)
+    return ranks_of(np.linalg.svd(m, compute_uv=False))
+
+
+def ranks_of(s: np.ndarray) -> tuple[float, float]:
+    """Effective and stable rank from singular values, largest first."""
     p = s / max(s.sum(), 1e-300)
     return float(np.exp(-(p * np.log(np.maximum(p, 1e-12))).sum())), float((s**2).sum() / max(s[0] ** 2, 1e-300))
 
 
-def group_ranks(df: DataFrame, group: str, vector: str, order: str, most: int) -> DataFrame:
-    """Ranks of the matrix of a group's first vectors in order (at most `most`, so a group stays bounded)."""
-    from pyspark.sql import Window
-
+def group_ranks(df: DataFrame, group: str, vector: str, held: int = 1000) -> DataFrame:
+    """Ranks of the matrix of all of a group's vectors, from its sum of outer products: partial sums of fixed size from each task."""
     ship(df.sparkSession)
-    small = df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("_r") <= most)
+
+    def add(frames):
+        sums: dict = {}
+
+        def flush():
+            yield pd.DataFrame({"g": list(sums), "n": [n for n, _ in sums.values()], "o": [o.ravel().tolist() for _, o in sums.values()]})
+            sums.clear()
+
+        for f in frames:
+            for g, part in f.groupby(group, dropna=False, sort=False):
+                x = np.stack(part[vector].map(np.asarray))
+                n, o = sums.get(g, (0, 0.0))
+                sums[g] = (n + len(x), o + x.T @ x)
+            if len(sums) > held:
+                yield from flush()
+        if sums:
+            yield from flush()
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        e, s = effective_rank(np.stack(pdf.sort_values("_r")[vector].map(np.asarray)))
-        return pd.DataFrame([(key[0], len(pdf), e, s)], columns=["g", "n", "effective", "stable"])
+        n, d = int(pdf.n.iloc[0]), math.isqrt(len(pdf))
+        o = pdf.sort_values("i")["v"].to_numpy().reshape(d, d)
+        s = np.sqrt(np.maximum(np.linalg.eigvalsh(o)[::-1], 0.0))[: min(n, d)]  # the others are zero but for rounding
+        return pd.DataFrame([(key[0], n, *ranks_of(s))], columns=["g", "n", "effective", "stable"])
 
     kind = df.schema[group].dataType.simpleString()
-    return small.select(group, "_r", vector).groupBy(group).applyInPandas(run, f"g {kind}, n int, effective double, stable double").withColumnRenamed("g", group)
+    parts = df.select(group, vector).where(F.col(vector).isNotNull()).mapInPandas(add, f"g {kind}, n long, o array<double>")
+    tall = parts.select("g", "n", F.posexplode("o").alias("i", "v")).groupBy("g", "i").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    return tall.groupBy("g").applyInPandas(run, f"g {kind}, n int, effective double, stable double").withColumnRenamed("g", group)
 
 
 def moments(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:

@@ -15,7 +15,7 @@ from .common import embeddings, events, r6, table
 
 @register("effective_rank")
 def effective_rank(spark, d):
-    r = M.group_ranks(embeddings(spark, d), "label", "v", "vec_id", 11)
+    r = M.group_ranks(embeddings(spark, d), "label", "v")
     return r.select("label", "n", r6("effective", "effective"), r6("stable", "stable"))
 
 

@@ -43,3 +43,17 @@ def test_same_rows_as_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_gives_rows(spark, name):
     assert catalog.queries()[name](spark, SF).count() > 0
+
+
+def test_effective_rank_is_of_whole_groups(spark, duck):
+    import numpy as np
+
+    from episodica.operators.models import effective_rank
+
+    got = {r["label"]: r for r in catalog.queries()["effective_rank"](spark, SF).collect()}
+    groups = duck.sql("SELECT label, list(embedding ORDER BY vec_id) FROM embeddings GROUP BY label").fetchall()
+    assert len(got) == len(groups) and max(len(vs) for _, vs in groups) > 11
+    for label, vs in groups:
+        e, s = effective_rank(np.array(vs, float))
+        assert got[label]["n"] == len(vs)
+        assert (got[label]["effective"], got[label]["stable"]) == pytest.approx((e, s), abs=2e-5)
