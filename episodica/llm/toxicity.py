@@ -2,10 +2,16 @@
 
 A token that may be disguised is read as a lattice: each character may stand for itself, for the letters that it is
 used for in leetspeak, for nothing (separators inside a word), or repeat the letter before. Viterbi decoding under a
-character trigram model, counted over all training texts, finds the likeliest word. Spelled-out words (single letters
-with separators) are joined first. Tokens whose lattice has one path are their own decoding. The restored text is
+character trigram model, counted over all training texts, finds the likeliest word. Tokens whose lattice has one path
+are their own decoding. Spelled-out words (single letters with separators) are also read joined. The restored text is
 scored by a logistic model over words and word beginnings.
 
+White space is in the lattice too: it is dropped, or is a word boundary that the model scores. It is open where both
+sides are single letters (or signs used for letters), and where the model, given the two letters on either side, takes
+the joined letters to be likelier than the boundary. Tokens with open space between them are decoded in one, and each
+restored word is read. Elsewhere the boundary wins for certain: with two letters or more in each word, what a space is
+depends on no other space.
+
 The classifier is fitted to at most `sample_rows` labelled rows, those of least hash of their id; the character model
 counts every training text. Labels, language, source and id are no features.
 
@@ -35,8 +41,8 @@ SEPARATORS = ".-_*~'"
 EDGE = ".,;:!?\"'()[]{}<>*#%&$|…«»“”‘’-_~"
 SPELLED = re.compile(r"(?<!\w)[^\W_](?:[ .\-_*~]{1,3}[^\W_](?!\w)){2,}")
 SUSPECT = re.compile(r"[0-9@$!|+(€£.\-_*~']|(.)\1\1")
-#: Costs (natural log) of a substitution, a dropped separator and a dropped repeat.
-COST_LEET, COST_DROP, COST_REPEAT = -1.5, -1.0, -0.7
+#: Costs (natural log) of a substitution, a dropped separator (or space between lone letters), a dropped repeat and any other dropped space.
+COST_LEET, COST_DROP, COST_REPEAT, COST_SPACE = -1.5, -1.0, -0.7, -3.0
 ALPHABET = "\0abcdefghijklmnopqrstuvwxyzàâäáãçéèêëíìîïñóòôöõúùûüßœæ"
 CODE = {c: i for i, c in enumerate(ALPHABET)}
 SIZE = len(ALPHABET) + 1  # the last is any other letter
@@ -46,6 +52,15 @@ for _c, _i in CODE.items():
     if len(_c.upper()) == 1 and ord(_c.upper()) < 0x250:
         _MAP[ord(_c.upper())] = _i
 
+#: Letters that characters are used for, the first and the last of each, by code.
+_SIGNS = [np.zeros(0x20AD, np.int64), np.zeros(0x20AD, np.int64)]
+for _signs, _at in zip(_SIGNS, (0, -1)):
+    _signs[: len(_MAP)] = _MAP
+    for _c, _x in LEET.items():
+        _signs[ord(_c)] = CODE[_x[_at]]
+_IS_SEPARATOR = np.zeros(0x20AD, bool)
+_IS_SEPARATOR[[ord(_c) for _c in SEPARATORS]] = True
+
 
 def trigrams(text: str) -> np.ndarray:
     """Counts of letter trigrams; whatever is no letter is one boundary."""
@@ -68,7 +83,8 @@ class CharModel:
         p1 = (c1 + 1) / (c1.sum() + SIZE)
         p2 = (c2 + 5 * p1) / (c2.sum(1, keepdims=True) + 5)
         p3 = (c3 + 5 * p2[None]) / (c3.sum(2, keepdims=True) + 5)
-        self.log = np.log(p3).tolist()
+        self.table = np.log(p3)
+        self.log = self.table.tolist()
 
     def restore(self, token: str) -> str:
         """Likeliest word behind a token, by Viterbi over its character lattice."""
@@ -76,13 +92,13 @@ class CharModel:
         # state: (last letter but one, last letter); value: (log probability, (text before, last letter))
         states: dict = {(0, 0): (0.0, None)}
         for i, ch in enumerate(token):
-            options = [(ch, 0.0)] if ch.isalpha() else [(ch, -6.0)]
+            options = [(ch, 0.0)] if ch.isalpha() else [(ch, 0.0 if ch in " \n" else -6.0)]
             options += [(x, COST_LEET) for x in LEET.get(ch, "")]
-            drop = COST_DROP if ch in SEPARATORS and 0 < i < len(token) - 1 else -8.0 if not ch.isalnum() else None
+            drop = COST_SPACE if ch == "\n" else COST_DROP if (ch in SEPARATORS or ch == " ") and 0 < i < len(token) - 1 else -8.0 if not ch.isalnum() else None
             after: dict = {}
             for (a, b), (score, text) in states.items():
                 for x, cost in options:
-                    k = code.get(x, SIZE - 1)
+                    k = 0 if x in " \n" else code.get(x, SIZE - 1)
                     s = score + cost + log[a][b][k]
                     if (b, k) not in after or after[b, k][0] < s:
                         after[b, k] = (s, (text, x))
@@ -113,6 +129,46 @@ def tokens(text: str) -> list[str]:
     return out
 
 
+def open_spans(text: str, model: CharModel) -> set[str]:
+    """Tokens with open white space between them: a space between lone letters, a line feed elsewhere. None without letters."""
+    words = text.lower().split()
+    if len(words) < 2:
+        return set()
+    low = " ".join(words)
+    u = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+    gap = np.flatnonzero(u == 32)
+    known, small = u < 0x20AD, np.minimum(u, 0x20AC)
+    is_open = np.zeros(len(gap), bool)
+    t = model.table
+    for signs in _SIGNS if "1" in low or "|" in low else _SIGNS[:1]:
+        x = np.where(known, signs[small], 0)
+        x = np.concatenate([[0], x, [0]])  # a boundary on either side
+        a, b, c, d = x[gap - 1], x[gap], x[gap + 2], x[gap + 3]
+        is_open |= (b > 0) & (c > 0) & (COST_SPACE + t[a, b, c] + t[b, c, d] > t[a, b, 0] + t[b, 0, c] + t[0, c, d])
+    starts = np.append(0, gap + 1)
+    letter = (x[1:-1] > 0) | (u >= len(_MAP))
+    sizes = np.add.reduceat((~np.where(known, _IS_SEPARATOR[small], False) & (u != 32)).astype(np.int64), starts)
+    alone = (sizes == 1) & (np.add.reduceat(letter.astype(np.int64), starts) == 1)
+    lone = alone[1:] & alone[:-1]
+    is_open |= lone
+    at = np.flatnonzero(is_open)
+    if not len(at):
+        return set()
+    cut = np.flatnonzero(np.diff(at) > 1) + 1
+    first, last = at[np.append(0, cut)], at[np.append(cut - 1, len(at) - 1)] + 1
+    marks = np.where(lone, " ", "\n").tolist()
+    found = {words[i] + "".join([marks[k] + words[k + 1] for k in range(i, j)]) for i, j in zip(first.tolist(), last.tolist())}
+    return {s for s in found if any(map(str.isalpha, s))}
+
+
+def words_of_span(span: str, model: CharModel) -> set[str]:
+    """Restored words of tokens with open white space, with and without the marks around them."""
+    found: set[str] = set()
+    for s in {span, span.rstrip(".,;:?!\"')]}>").lstrip("\"'([{<")}:
+        found.update(w.strip(EDGE) for w in model.restore(s).split())
+    return found
+
+
 def readings(token: str, model: CharModel) -> set[str]:
     """The token's plain reading, and its restored one if its lattice has more than one path."""
     core = token.strip(EDGE)
@@ -124,9 +180,9 @@ def readings(token: str, model: CharModel) -> set[str]:
 
 
 def features(token: str, model: CharModel) -> set[str]:
-    """Words (with = before them) and word beginnings of three to eight letters."""
+    """Words (with = before them) and word beginnings of three to eight letters, of a token or a span of them."""
     out = set()
-    for w in readings(token, model):
+    for w in words_of_span(token, model) if " " in token or "\n" in token else readings(token, model):
         if len(w) > 1:
             out.add("=" + w)
             out.update(w[:k] for k in range(3, min(8, len(w)) + 1))
@@ -183,7 +239,7 @@ class Scorer:
         cache, index = self.cache, self.index
         if len(cache) > 400_000:
             cache.clear()
-        for t in set(tokens(text)):
+        for t in {*tokens(text), *open_spans(text, self.model)}:
             hit = cache.get(t)
             if hit is None:
                 hit = cache[t] = tuple([index[f] for f in features(t, self.model) if f in index])
@@ -215,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id", text_
             for y, text in zip(*(c.to_pylist() for c in b.columns)):
                 size[y] += 1
                 own: set[str] = set()
-                for t in set(tokens(text or "")):
+                for t in {*tokens(text or ""), *open_spans(text or "", model)}:
                     if t not in seen:
                         seen[t] = features(t, model)
                     own |= seen[t]

@@ -367,6 +367,15 @@ def test_long_tokens_are_decoded_whole():
     assert "=stupid" in toxicity.features("st" + "u" * 5000 + "p1d", m)
 
 
+def test_spaces_are_in_the_lattice():
+    m = toxicity.CharModel(toxicity.trigrams("you are an idiot and a shit ass . he is stupid trash . what a fuck . hello there my worthless friend . my ass , your ass . " * 50))
+    found = lambda t: {f for x in {*toxicity.tokens(t), *toxicity.open_spans(t, m)} for f in toxicity.features(x, m)}
+    for text, word in (("s h ! t", "shit"), ("a $ $", "ass"), ("an id iot", "idiot"), ("f uck", "fuck"), ("y o u i d i o t", "idiot"), ("he is s t u p 1 d", "stupid"), ("y o u  a r e  t r @ s h", "trash"), ("s. h. !. t", "shit"), ("sh ! t", "shit"), ("y o u i d i o t " * 40, "idiot")):
+        assert "=" + word in found(text), text
+    for plain in ("hello there my friend", "one", "", " \n", "1 2 3 4", "| | |", "-- - --"):
+        assert not toxicity.open_spans(plain, m), plain
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(8)
     bad = ["vile", "nasty"]
