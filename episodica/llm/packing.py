@@ -1,7 +1,8 @@
 """Best-fit packing with bounded space: token sequences of documents into rows of fixed capacity.
 
-Pieces are dealt over partitions in number to the input; in each, an online best-fit packer keeps a fixed number of
-open bins. Their free spaces are the set bits of one integer, so the tightest bin that takes a piece is the lowest
+Pieces are dealt over partitions in number to the input; in each, a best-fit packer takes LOOK_AHEAD pieces or
+somewhat more at a time, longest first (best fit decreasing within the look-ahead), and keeps a fixed number of open
+bins. Their free spaces are the set bits of one integer, so the tightest bin that takes a piece is the lowest
 bit at or above its length; when one bin too many is open, the fullest (the lowest bit) closes.
 
 Edge cases: a null or empty text is its end token alone, one piece of length 1. A document over the capacity is cut
