@@ -28,10 +28,10 @@ def mahalanobis_density(spark, d):
 def pca_whitening(spark, d):
     e = embeddings(spark, d)
     mean, w, _ = M.principal_components(e, "v")
-    first = F.array(*[F.lit(float(x)) for x in w[:, 0]])
     from ..functions import vectors as V
 
-    return e.select("vec_id", r6(V.dot("v", first) - float(mean @ w[:, 0]), "first_component"))
+    parts = [r6(V.dot("v", F.array(*[F.lit(float(x)) for x in w[:, k]])) - float(mean @ w[:, k]), "c") for k in range(w.shape[1])]
+    return e.select("vec_id", F.array(*parts).alias("components")).select("vec_id", F.col("components")[0].alias("first_component"), "components")
 
 
 @register("ridge_autoregression")

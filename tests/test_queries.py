@@ -57,3 +57,13 @@ def test_effective_rank_is_of_whole_groups(spark, duck):
         e, s = effective_rank(np.array(vs, float))
         assert got[label]["n"] == len(vs)
         assert (got[label]["effective"], got[label]["stable"]) == pytest.approx((e, s), abs=2e-5)
+
+
+def test_pca_whitening_gives_all_components(spark, duck):
+    import numpy as np
+
+    rows = catalog.queries()["pca_whitening"](spark, SF).collect()
+    x = np.array([r["components"] for r in rows])
+    assert x.shape[1] > 1 and len(rows) == duck.sql("SELECT count(*) FROM embeddings").fetchall()[0][0]
+    assert np.allclose(x.T @ x / len(x), np.eye(x.shape[1]), atol=1e-4) and np.allclose(x.mean(0), 0, atol=1e-5)
+    assert [r["first_component"] for r in rows] == x[:, 0].tolist()
