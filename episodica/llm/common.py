@@ -53,6 +53,11 @@ def written(df: DataFrame, name: str, *partition: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def with_rid(docs: DataFrame, name: str) -> DataFrame:
+    """docs, written once to the shared folder with a number for each row, so that every later scan gives the same numbers."""
+    return written(docs.select("*", F.monotonically_increasing_id().alias(name)), "rows")
+
+
 def crc_of(col: str) -> Column:
     """crc32 of the id's decimal text, as the held-out splits define it (null id: of the empty text)."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))

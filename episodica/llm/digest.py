@@ -108,7 +108,7 @@ def _compared(text: str, following: str, own: str, other: str) -> tuple:
 def compared_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's digest against that of its edited text and of the next document, in descending id order.
 
-    Compressed texts are dealt by id range; each task walks its sorted range. A task's first and last document are put
+    Compressed texts are dealt by ranges of id and text hash (so rows of one id may lie in several tasks); each task walks its sorted range. A task's first and last document are put
     out with their texts, as the neighbours of other tasks' documents; these few rows (two for each partition) are
     then matched in one more small step.
     """
@@ -149,28 +149,29 @@ def compared_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     def close(batches):
-        z, last, first, head = zstandard.ZstdDecompressor(), None, None, None
-        pending = []
+        z, last, head = zstandard.ZstdDecompressor(), None, None
         plain = lambda x: z.decompress(x, max_output_size=max(1, zstandard.frame_content_size(x))).decode()
-        for b in batches:  # in order of partition, first document before last
+
+        def pair(a, b):
+            text, following = plain(a["z"]), plain(b["z"])
+            return _rows([(a["id"], a["part"], None, None, *_compared(text, following, fingerprint(text), fingerprint(following)))])
+
+        for b in batches:  # in order of partition, first document before last; two are held at a time, and the very first
             for row in b.to_pylist():
                 if row["edge"] == 0:
                     head = head or row
                     if last:
-                        pending.append((last, row))
+                        yield from pair(last, row)
                 else:
                     last = row
         if last:
-            pending.append((last, head))
-        for a, b in pending:
-            text, following = plain(a["z"]), plain(b["z"])
-            yield from _rows([(a["id"], a["part"], None, None, *_compared(text, following, fingerprint(text), fingerprint(following)))])
+            yield from pair(last, head)
 
     schema = f"id {kind}, part int, edge int, z binary, {_OUT}"
     packed = docs.select(id_col, text_col).mapInArrow(squeeze, f"id {kind}, z binary, tie long")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("id").desc_nulls_last(), F.col("tie").desc()]
-    walked = written(packed.repartitionByRange(n, order[0]).sortWithinPartitions(*order).select("id", "z").mapInArrow(walk, schema), "digest")
+    walked = written(packed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("id", "z").mapInArrow(walk, schema), "digest")
     edges = walked.where("edge is not null").select(*names).coalesce(1).sortWithinPartitions("part", "edge").mapInArrow(close, schema)
     return walked.where("edge is null").unionByName(edges).select(F.col("id").alias(id_col), *_NAMES)
 

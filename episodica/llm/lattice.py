@@ -33,6 +33,8 @@ BLOCK_BYTES, DISCOUNT, PRIOR = 24 << 20, 0.75, 1000.0
 MARK = "▁"
 #: Words sorted together, so that they share the recursion of their prefixes; log below which a forward sum is rescaled.
 SORTED_WORDS, RESCALED = 200_000, -230.0
+#: Distinct words of a task that scores them.
+WORDS_OF_TASK = 100_000
 
 
 def words_of(text: str) -> list[bytes]:
@@ -311,7 +313,9 @@ def score(docs: DataFrame, held: F.Column, path: str, id_col: str = "doc_id", te
     blocks = blocks_of(docs, held, id_col, text_col, block_bytes)
     words = blocks.where("kind = 'w'").select("block", "at", "word", "c")
     counts = written(words.groupBy("word").agg(F.sum("c").alias("c")), "counts")
-    n_words, v_words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+    n_words, v_words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.count("*")).first()
+    # even tasks in number to the distinct words, each of a range of words, which share prefixes
+    counts = counts.repartitionByRange(max(1, -(-distinct // WORDS_OF_TASK)), "word")
     ends = docs.select(F.count(F.when(~held, 1))).first()[0]
     n, v = n_words + ends, v_words + (ends > 0)
     weights = spark.sparkContext.broadcast(fitted(counts, file_weights(path)))

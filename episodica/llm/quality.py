@@ -2,10 +2,13 @@
 
 Base counts follow the word and line definitions of `measure`. A line without a word is kept and counts for nothing.
 A line fails
-- punctuation: marks (symbols, exclamation) beyond a share of its word characters, nearly all words in capitals, or a
-  line of many words without any sentence end;
-- navigation: separators between most of its words, or several short menu words and no sentence end;
-- boilerplate: stock phrases of sites and scripts, or a line already seen in the document.
+- punctuation: marks (symbols, exclamation) beyond a share of its word characters, nine of ten words or more in
+  capitals (lines of five words or more), or a line of many words without any sentence end;
+- navigation: separators between most of its words, or a line without a sentence end of which half the words or more
+  (two at least) are menu words;
+- boilerplate: a stock phrase of sites and scripts for every STOCK_WORDS words or fewer of the line, or a line already
+  seen in the document.
+Menu words and stock phrases are in English, German, French and Spanish.
 The document is rejected if the lines left hold less than `keep_share` of its word characters, or if it fails the base
 rule (too few words, or repeated windows over half of them).
 
@@ -28,15 +31,25 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: White space that str.split takes and the word definition does not.
 _OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
-_EDGE = " \t\n\x0b\x0c\r"
+_TRIM = ".,;:!?()[]|>/«»‹›•·"
 SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)\]]*(?:\s|$)")
 SEPARATORS = re.compile(r"(?:^|\s)(?:[|»›•·>/]|::|->)(?=\s|$)")
-BOILERPLATE = re.compile(
-    r"javascript|lorem ipsum|cookie|all rights reserved|privacy policy|terms of (?:use|service)|click here|sign (?:in|up)\b|log ?in\b|subscribe|licensed under|copyright|\{\s*\}|function\s*\(", re.I
+# Stock phrases and menu words.
+STOCK_PHRASES = (
+    "javascript", "lorem ipsum", "cookie", "copyright", "licensed under", r"\{\s*\}", r"function\s*\(",
+    "all rights reserved", "privacy policy", "terms of (?:use|service)", "click here", r"sign (?:in|up)\b", r"log ?in\b", "subscribe",
+    "alle rechte vorbehalten", "datenschutz", "impressum", "nutzungsbedingungen", "klicken sie hier", "newsletter abonnieren",
+    "tous droits réservés", "politique de confidentialité", "conditions d['’]utilisation", "mentions légales", "cliquez ici", "abonnez-vous",
+    "todos los derechos reservados", "política de privacidad", "condiciones de uso", "aviso legal", "haga clic", "haz clic", "suscríbete",
+)
+MENU_WORDS = frozenset(
+    "home about contact search menu sitemap faq help next previous startseite kontakt suche hilfe weiter zurück accueil recherche plan aide suivant précédent inicio contacto buscar ayuda siguiente anterior".split()
 )
-
-#: A substring of each stock phrase, for a quick look at a whole text.
-_STOCK = ("javascript", "lorem", "cookie", "rights", "privacy", "terms of", "click", "sign ", "log", "subscribe", "licensed", "copyright", "{", "function")
+#: A line fails with a stock phrase for so many words or fewer.
+STOCK_WORDS = 40
+BOILERPLATE = re.compile("|".join(STOCK_PHRASES), re.I)
+#: A substring of each stock phrase, for a quick look at a whole text in lower case.
+_STOCK = ("javascript", "lorem", "cookie", "copyright", "licensed", "{", "function", "rights", "privacy", "terms of", "click", "sign ", "log", "subscribe", "rechte", "datenschutz", "impressum", "nutzungs", "klicken", "newsletter", "droits", "confidentialit", "conditions d", "mentions", "cliquez", "abonnez", "derechos", "privacidad", "condiciones", "aviso", "clic", "suscr")
 
 
 def words_of(text: str) -> list[str]:
@@ -62,12 +75,13 @@ def repeated(words: list[str]) -> int:
     return total
 
 
-def line_fails(line: str, n: int, chars: int, seen: set[str], stock: bool) -> str | None:
-    """The rule that a line of n words and chars word characters fails, if any; stock: stock phrases are worth a look."""
+def line_fails(line: str, words: list[str], chars: int, seen: set[str], stock: bool) -> str | None:
+    """The rule that a line of some words with chars characters fails, if any; stock: stock phrases are worth a look."""
+    n = len(words)
     marks = sum(map(line.count, SYMBOLS))
     if marks > 0.1 * chars or line.count("!") > max(3, 0.3 * n):
         return "punctuation"
-    if n >= 5 and line.isupper():
+    if n >= 5 and 10 * sum(map(str.isupper, words)) >= 9 * n:
         return "punctuation"
     if n >= 60 and not SENTENCE_END.search(line):
         return "punctuation"
@@ -75,7 +89,11 @@ def line_fails(line: str, n: int, chars: int, seen: set[str], stock: bool) -> st
         apart = len(SEPARATORS.findall(line))
         if apart >= 2 and 3 * apart >= n - apart:
             return "navigation"
-    if line in seen or stock and n < 40 and BOILERPLATE.search(line):
+    if 2 <= n <= 2 * len(MENU_WORDS) and not SENTENCE_END.search(line):
+        menu = len({w.strip(_TRIM).lower() for w in words} & MENU_WORDS)  # no line has more of them than there are
+        if menu >= 2 and 2 * menu >= n:
+            return "navigation"
+    if line in seen or stock and n <= STOCK_WORDS * len(BOILERPLATE.findall(line)):
         return "boilerplate"
     return None
 
@@ -88,20 +106,20 @@ def measure(text: str | None, keep_share: float = 0.5) -> tuple:
     for line in lines:
         own = split(line)
         words += own
-        sizes.append((len(own), len("".join(own))))
+        sizes.append((own, len("".join(own))))
     n, chars = len(words), sum([c for _, c in sizes])
-    full = [x for x, (k, _) in zip(lines, sizes) if k]
+    full = [x for x, (own, _) in zip(lines, sizes) if own]
     dup = len(full) - len(set(full))
     again = repeated(words)
     failed = n < MIN_WORDS or 100 * again > MAX_REPEAT_PERCENT * n
     low = text.lower()
     stock = any([k in low for k in _STOCK])
     clean, left, seen = [], 0, set()
-    for line, (k, c) in zip(lines, sizes):
-        if not k:
+    for line, (own, c) in zip(lines, sizes):
+        if not own:
             clean.append(line)
             continue
-        if line_fails(line, k, c, seen, stock) is None:
+        if line_fails(line, own, c, seen, stock) is None:
             clean.append(line)
             left += c
         seen.add(line)

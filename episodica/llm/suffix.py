@@ -10,7 +10,10 @@ keep="none" marks each window that also starts elsewhere; keep="first" marks tho
 copy in order of (id, row, position) stays. Null ids come last.
 
 A fingerprint whose differing blocks are many is split by the bytes that all windows of a few neighbouring starts have
-in common, so one very common passage with ever different surroundings does not meet in one task.
+in common. Where more than CROWD windows' surroundings still share a split (the inside and the borders of a very common
+passage), the windows are told apart one by one: equal ones (by md5) are counted, and the first found, in a grouped
+aggregation. So no task holds more than CROWD contexts of one key. Equal blocks are told by 64-bit hashes of their
+content under the 64-bit hash of their anchor.
 
 Edge cases: null text is empty; texts shorter than `length` have no window and nothing removed. Matches never cross
 documents; a repeat inside one document counts. Repeated rows are rows of their own. An empty table gives an empty
@@ -27,13 +30,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import replaced, small_batches, table, with_length, written
+from .common import replaced, small_batches, table, with_length, with_rid, written
 
 LENGTH, GRAM = 200, 40
 #: Text that a task gathers before it collapses equal blocks; bytes put in suffix order at once.
 CHUNK_BYTES, ORDER_BYTES = 24 << 20, 4 << 20
 #: Differing blocks of one fingerprint from which it is split, and window starts of such a split.
 HOT_BLOCKS, HOT_STARTS = 512, 8
+#: Contexts of a split key above which its windows are told apart one by one.
+CROWD = 4096
 SEGMENT = 1 << 19
 _POS = np.uint64((1 << 20) - 1)
 _LAST = np.iinfo(np.int64).max
@@ -188,11 +193,11 @@ def _collapse(cols: list[np.ndarray], both: bool) -> tuple[np.ndarray, ...]:
     return new, many, per
 
 
-def removed_spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rid, spans): for each row with repeats the window starts (first, last) that repeat; rid numbers the rows of docs."""
-    spark = docs.sparkSession
+def removed_spans(numbered: DataFrame, length: int = LENGTH, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
+    """(rid, spans): for each row with repeats the window starts (first, last) that repeat. numbered: rows with their number _rid, the same on every scan."""
+    spark = numbered.sparkSession
     small_batches(spark)
-    rows = numbered(docs, id_col, text_col)
+    rows = numbered.select(F.col(text_col), F.col("_rid").alias("rid"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("ord"))
 
     def find(batches):
         held, size = [], 0
@@ -286,6 +291,12 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", id_
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 4 + [pa.binary()])], names=names)
 
     contexts = packed.join(wanted, "rid").select("rid", "z", "w").mapInArrow(cut_out, "key long, ord long, rid long, first long, context binary")
+    contexts = written(contexts, "contexts")
+    crowded = written(contexts.groupBy("key").count().where(F.col("count") > crowd).select("key"), "crowded")
+    alone = None
+    if not crowded.isEmpty():
+        alone = _single_windows(contexts.join(crowded, "key", "left_semi"), length, keep)
+        contexts = contexts.join(crowded, "key", "left_anti")
 
     def order(batches):
         held, size, key = [], 0, None
@@ -309,13 +320,21 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", id_
         if held:
             yield from run()
 
+    contexts = contexts.select("key", "ord", "rid", "first", "context")
     ordered = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(order, "rid long, first long, last long")
-    return sure.unionByName(ordered).groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    found = sure.unionByName(ordered)
+    return (found.unionByName(alone) if alone else found).groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
-def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with rid, a number for each row (the same on every scan of the same files), and ord, the row's place in id order."""
-    return docs.select(F.col(id_col), F.col(text_col), F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("ord"))
+def _single_windows(contexts: DataFrame, length: int, keep: str) -> DataFrame:
+    """(rid, first, last) of the windows of contexts that repeat, found window by window: equal ones are counted in part before they meet."""
+    at = F.explode(F.sequence(F.lit(0), F.octet_length("context") - length)).alias("i")
+    windows = contexts.select("ord", "rid", "first", "context", at).select(F.expr(f"md5(substring(context, i + 1, {length}))").alias("w"), F.struct("ord", "rid", (F.col("first") + F.col("i")).alias("first")).alias("x"))
+    many = windows.groupBy("w").agg(F.count("*").alias("c"), F.min("x").alias("least")).where("c > 1")
+    again = windows.join(many, "w")
+    if keep == "first":
+        again = again.where("x <> least")
+    return again.select("x.rid", "x.first", F.col("x.first").alias("last"))
 
 
 def _squeeze(batches):
@@ -349,8 +368,8 @@ def kept(data: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept BINARY) of each row: its bytes without the removed runs."""
-    spans = removed_spans(docs, length, keep, id_col, text_col)
-    rows = numbered(docs, id_col, text_col)
+    rows = with_rid(docs.select(id_col, text_col), "_rid")
+    spans = removed_spans(rows, length, keep, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def squeeze(batches):
@@ -368,7 +387,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", id
                 out.append((len(data), sum(e - s for s, e in runs), len(runs), kept(data, runs)))
             yield pa.record_batch([b.column(0), *(pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 4, [pa.int64()] * 3 + [pa.binary()]))], names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    packed = rows.select("rid", F.col(id_col).alias("id"), text_col).mapInArrow(squeeze, f"rid long, id {kind}, z binary")
+    packed = rows.select(F.col("_rid").alias("rid"), F.col(id_col).alias("id"), text_col).mapInArrow(squeeze, f"rid long, id {kind}, z binary")
     return packed.join(spans, "rid", "left").select("id", "z", "spans").mapInArrow(apply, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("id", id_col)
 
 
@@ -388,8 +407,8 @@ def kept_text(text: str, spans: list[dict] | None, length: int) -> str:
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all rows and columns, with the repeats removed from the text."""
-    spans = removed_spans(docs, length, keep, id_col, text_col).withColumnsRenamed({"rid": "_rid", "spans": "_spans"})
-    rows = docs.select("*", F.monotonically_increasing_id().alias("_rid"))
+    rows = with_rid(docs, "_rid")
+    spans = removed_spans(rows, length, keep, id_col, text_col).withColumnsRenamed({"rid": "_rid", "spans": "_spans"})
 
     names = docs.columns
 

@@ -12,8 +12,9 @@ the joined letters to be likelier than the boundary. Tokens with open space betw
 restored word is read. Elsewhere the boundary wins for certain: with two letters or more in each word, what a space is
 depends on no other space.
 
-The classifier is fitted to at most `sample_rows` labelled rows, those of least hash of their id; the character model
-counts every training text. Labels, language, source and id are no features.
+The classifier is fitted to at most `sample_rows` labelled rows, those of least hash of their id (of rows that share an
+id, to one text), over the `FEATURES_MOST` features that tell toxic rows of that sample apart most surely; the character
+model counts every training text. Labels, language, source and id are no features.
 
 Edge cases: null, empty and unlabelled texts get a score; without any feature it is the share of toxic rows (0.5 if no
 row is labelled). A document with several labels counts as toxic if one says so. Tokens of any length are decoded
@@ -260,7 +261,8 @@ def fit(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id", text_
     chosen = labels.where(train & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("y")).orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
     # sample_rows rows of an id and a label: small enough to send to every task
     sample = F.broadcast(chosen.select(F.col(id_col).alias("_id"), F.col("y").cast("int").alias("y")))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("t")).join(sample, "_id").select("y", "t")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("t")).join(sample, "_id")
+    rows = rows.groupBy("_id").agg(F.max("y").alias("y"), F.min("t").alias("t")).select("y", "t")  # one row of an id, however often it occurs
     shared = spark.sparkContext.broadcast(counts)
 
     def tally(batches):

@@ -2,8 +2,11 @@
 
 The writer makes one gzip member per record and one archive per task in the shared folder; only archives that the
 written manifest lists count, so a repeated task leaves no double record. The reader deals byte ranges of the archives
-over tasks: a task scans its range for the gzip magic, validates a candidate by decoding the start of its member to a
-WARC version line, and owns the records that start inside the range, reading past its end for the last of them.
+over tasks: a task scans its range for the gzip magic, validates a candidate by decoding its member's WARC header block
+(version line and Content-Length), and owns the records that start inside the range, reading past its end for the last
+of them. What lies between one record's end and the next record's start, or between the last record and the file's
+end, is damage: read_archives raises on it, or with damaged="rows" gives a row of what was skipped (headers with
+x-damaged, the offset, and its bytes as payload).
 
 Edge cases: a null payload is the empty payload. Equal payloads of at least min_bytes bytes have one response, the row
 with the smallest id; rows that repeat this id and payload are responses too, rows without an id only if no row has
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 import zlib
@@ -33,6 +37,8 @@ HEAD = MAGIC + b"\0\0\0\0\0\0\xff"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes of a reader's range, and of one read.
 RANGE_BYTES, READ_BYTES = 4 << 20, 1 << 20
+#: Bytes of a look for the gzip magic or into a record, and of a record's header block at most.
+SCAN_BYTES, HEADER_BYTES = 32 << 10, 64 << 10
 
 
 def digest(payload: bytes) -> str:
@@ -112,55 +118,99 @@ def write_archives(marked: DataFrame, date: str = "1970-01-01T00:00:00Z") -> Dat
     return written(marked.mapInArrow(run, "path string, size long"), "warc-manifest")
 
 
-def read_range(store, path: str, start: int, end: int, size: int) -> Iterator[bytes]:
-    """Decompressed records whose member starts in [start, end)."""
-    with store.open_input_file(path) as f:
-        base, data, pos = start, b"", start
-
-        def upto(n: int) -> None:
-            """Have the bytes from pos to n, as far as the file goes."""
-            nonlocal base, data
-            if pos > base:
-                data, base = data[pos - base :], pos
-            have = base + len(data)
-            if n > have:
-                data += f.read_at(min(max(n - have, READ_BYTES), size - have), have)
-
-        while pos < end:
-            upto(min(pos + READ_BYTES, size))
-            at = data.find(MAGIC, pos - base)
-            if at < 0:
-                pos = max(pos + 1, base + len(data) - len(MAGIC) + 1)
-                if base + len(data) >= size:
-                    return
-                continue
-            pos = base + at
-            if pos >= end:
-                return
-            upto(min(pos + 4096, size))
-            try:
-                if not zlib.decompressobj(31).decompress(data[pos - base :][:4096], 16).startswith(b"WARC/1."):
-                    raise zlib.error
-                z, out, used = zlib.decompressobj(31), [], pos
-                while not z.eof:
-                    upto_at = used - base
-                    piece = data[upto_at : upto_at + READ_BYTES]
-                    if not piece:
-                        piece = f.read_at(min(READ_BYTES, size - used), used) if used < size else b""
-                        if not piece:
-                            raise zlib.error
-                    out.append(z.decompress(piece))
-                    used += len(piece) - len(z.unused_data)
-            except zlib.error:
-                pos += 1  # not a record's start
-                continue
-            yield b"".join(out)
-            if used - base > len(data):
-                base, data = used, b""
-            pos = used
-
-
-def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+class Damaged(ValueError):
+    """Bytes of an archive that belong to no record."""
+
+
+def head_of(data: bytes) -> int | None:
+    """Length of the block that a member's WARC header announces; None if its start decodes to no header."""
+    z, out = zlib.decompressobj(31), b""
+    try:
+        while b"\r\n\r\n" not in out and not z.eof and len(out) < HEADER_BYTES:
+            piece = z.decompress(data, 4096)
+            data = z.unconsumed_tail
+            if not piece and not data:
+                break
+            out += piece
+            if not b"WARC/1."[: len(out)] == out[:7]:
+                return None
+    except zlib.error:
+        return None
+    head, end, _ = out.partition(b"\r\n\r\n")
+    found = re.search(rb"\r\ncontent-length:[ \t]*([0-9]+)", head, re.I) if end else None
+    return int(found[1]) if found else None
+
+
+class Window:
+    """Reads of a file through its last READ_BYTES or more."""
+
+    def __init__(self, f, size: int):
+        self.f, self.size, self.base, self.data = f, size, 0, b""
+
+    def read_at(self, n: int, at: int) -> bytes:
+        if at < self.base or at + n > self.base + len(self.data):
+            self.base, self.data = at, self.f.read_at(min(max(n, READ_BYTES), self.size - at), at)
+        return self.data[at - self.base : at - self.base + n]
+
+
+def whole(f, at: int, size: int) -> tuple[int, int, bytes] | None:
+    """(start, end, record) of the member that starts at a place; None if there is no whole one."""
+    expected = head_of(f.read_at(min(HEADER_BYTES, size - at), at))
+    if expected is None:
+        return None
+    z, out, used = zlib.decompressobj(31), [], at
+    try:
+        while not z.eof:
+            piece = f.read_at(min(SCAN_BYTES, size - used), used) if used < size else b""
+            if not piece:
+                return None
+            out.append(z.decompress(piece))
+            used += len(piece) - len(z.unused_data)
+    except zlib.error:
+        return None
+    data = b"".join(out)
+    return (at, used, data) if len(data) - data.find(b"\r\n\r\n") - 4 >= expected else None
+
+
+def next_record(f, pos: int, end: int, size: int) -> tuple[int, int, bytes] | None:
+    """The first whole record that starts in [pos, end)."""
+    base, data = pos, b""
+    while pos < end:
+        if pos + len(MAGIC) > base + len(data):
+            base, data = pos, f.read_at(min(SCAN_BYTES, size - pos), pos)
+        at = data.find(MAGIC, pos - base)
+        if at < 0:
+            if base + len(data) >= size:
+                return None
+            pos, data = base + len(data) - len(MAGIC) + 1, b""
+            base = pos
+            continue
+        pos = base + at
+        if pos >= end:
+            return None
+        if found := whole(f, pos, size):
+            return found
+        pos += 1  # not a record's start
+    return None
+
+
+def read_range(store, path: str, start: int, end: int, size: int) -> Iterator[tuple[int, int, bytes | None]]:
+    """(start, end, record) of the members that start in [start, end), and with None for the record the stretches that follow one of them, or the file's start, and belong to none."""
+    with store.open_input_file(path) as file:
+        f = Window(file, size)
+        pos, after = start, 0 if start == 0 else None  # after: where a record must start, or the file end
+        while found := next_record(f, pos, end, size):
+            if after is not None and found[0] > after:
+                yield after, found[0], None
+            yield found
+            pos = after = found[1]
+        if after is not None and after < size:
+            following = next_record(f, after, size, size)
+            if (to := following[0] if following else size) > after:
+                yield after, to, None
+
+
+def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES, damaged: str = "raise") -> DataFrame:
     """(headers MAP, payload BINARY) of every record in the listed archives."""
     spark = manifest.sparkSession
     small_batches(spark, 256)
@@ -172,8 +222,14 @@ def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFr
             for path, size, start in zip(*(c.to_pylist() for c in b.columns)):
                 store, root = filesystem(path)
                 heads, bodies, held = [], [], 0
-                for raw in read_range(store, root, start, min(size, start + range_bytes), size):
-                    fields, payload = parse(raw)
+                for at, to, raw in read_range(store, root, start, min(size, start + range_bytes), size):
+                    if raw is None:
+                        if damaged == "raise":
+                            raise Damaged(f"{path}: bytes {at} to {to} are no record's")
+                        with store.open_input_file(root) as f:
+                            fields, payload = {"x-damaged": str(at)}, f.read_at(to - at, at)
+                    else:
+                        fields, payload = parse(raw)
                     heads.append(list(fields.items()))
                     bodies.append(payload)
                     held += len(payload)
