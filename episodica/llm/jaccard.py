@@ -1,17 +1,19 @@
 """Exact components of documents linked by word-shingle Jaccard similarity.
 
 Shingle sets are ordered by (frequency of the frequent shingles, hash), and each puts the prefix that any linked
-partner must meet into inverted lists. Equal sets are one class. Lists are read in blocks: a block has a lead set, and
+partner must meet into inverted lists. Equal word sequences are one class. Lists are read in blocks: a block has a lead set, and
 entries whose size and position cannot reach the threshold with it skip to the next block. Every entry is checked
 against its block's lead only; checked links give first components. What is left are pairs of components that meet in
-a list. Their leaders are checked, and the answers of all other members are derived from the leaders' and from each
-member's distance to its own leader (Jaccard distance is a metric): only if these leave a link possible are the members
-themselves paired by size and position and checked. No pair is lost, and no group is expanded into all its pairs.
+a list. Sizes, positions and parity sketches of the sets (whose bits differ in no more places than the sets do) rule
+out most of them. The leaders of the others are checked, and the answers of all other members are derived from the
+leaders' and from each member's distance to its own leader (Jaccard distance is a metric): only if these leave a link
+possible are the members themselves paired by size and position and checked. No pair is lost, and no group is expanded
+into all its pairs. Lists of more than LIST_MOST entries are dealt over a grid of tasks, each of which holds two parts.
 
 Edge cases: words are lower-cased in A-Z; a text with fewer words than a shingle is one shingle; null, empty and blank
 texts have no shingle and link with nothing. A component's id is its smallest document id (null if it has none); rows
 with a null id or repeated rows link as any other. An empty table gives an empty one. Other columns are ignored.
-Shingles and sets are told apart by 64-bit hashes.
+Shingles and word sequences are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from .common import small_batches, table, with_rid, written
 from .suffix import _BYTE, _plain, mix, powers
 
 #: Text gathered by a task before equal sets are collapsed and frequent shingles counted.
@@ -36,29 +38,60 @@ FREQUENT, FREQUENT_MOST = 3, 1 << 19
 LEADS = 8
 #: Orders in which lists are read: a set meets leads of so many different orders, so large groups of near copies join early.
 ORDERS = 4
+#: Entries of a list that one task holds; longer lists are dealt over the cells of a grid.
+LIST_MOST = 4096
+#: Bytes of sets that a task keeps while it checks pairs.
+CACHE_BYTES = 32 << 20
 #: Rounds in which components that may link are tried by single members before all members are.
 ROUNDS = 4
 
 
-def shingles(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's word shingles."""
-    parts = text.encode().lower().split() if text else []
-    if not parts:
+def normal(text: str | None) -> bytes:
+    """The text's words with A-Z in lower case, one space between two of them, in UTF-8."""
+    return b" ".join(text.encode().lower().split()) if text else b""
+
+
+def shingles(data: bytes, words: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles of a normal text."""
+    if not data:
         return np.zeros(0, np.uint64)
-    data = np.frombuffer(b" ".join(parts), np.uint8)
-    n = len(data)
+    codes = np.frombuffer(data, np.uint8)
+    n = len(codes)
     up, down = powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[:n], out=sums[1:])
-    gaps = np.flatnonzero(data == 32)
+    np.cumsum(_BYTE[codes] * up[:n], out=sums[1:])
+    gaps = np.flatnonzero(codes == 32)
     start, end = np.append(0, gaps + 1), np.append(gaps, n)
     k = min(words, len(start))
     start, end = start[: len(start) - k + 1], end[k - 1 :]
     return np.unique(mix((sums[end] - sums[start]) * down[start]))
 
 
-def set_id(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def text_id(data: bytes) -> int:
+    """Number of a normal text, by which its set goes."""
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of the shingles of each of 512 hash classes, or of a multiple of them for larger sets.
+
+    Sketches of two sets differ in no more bits than the sets do in shingles; a longer one folds to half its length.
+    """
+    bits = 512 << max(0, (len(s) - 1).bit_length() - 9)
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """The sketches as rows of 64-bit words, all as long as the shortest."""
+    rows, least = [np.frombuffer(x, np.uint64) for x in sketches], min(map(len, sketches)) // 8
+    return np.stack([np.bitwise_xor.reduce(r.reshape(-1, least), 0) for r in rows])
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ, the longer one folded."""
+    if len(a) != len(b):
+        return int(np.bitwise_count(np.bitwise_xor(*folded([a, b]))).sum())
+    return (int.from_bytes(a) ^ int.from_bytes(b)).bit_count()
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -88,9 +121,10 @@ def frequent_shingles(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
 
         for b in batches:
             for text in b.column(0).to_pylist():
-                s = shingles(text, words)
-                if len(s) and (key := set_id(s)) not in seen:
+                data = normal(text)
+                if data and (key := text_id(data)) not in seen:
                     seen.add(key)
+                    s = shingles(data, words)
                     held.append(s)
                     size += 8 * len(s)
                     if size > 2 * CHUNK_BYTES:
@@ -105,35 +139,44 @@ def frequent_shingles(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
 
 
 def entries(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(kind, key, cid, n, pos, id, lead): the documents (d), the entries of lists of two sets or more (l), and pairs to check (p)."""
+    """(kind, key, cid, n, pos, id, lead, sketch): the documents (d, with the set's sketch), the entries of lists of two sets or more (l), and pairs to check (p)."""
     spark = docs.sparkSession
     often = frequent_shingles(docs, text_col, words)
     by_hash = np.argsort(often)
     shared = spark.sparkContext.broadcast((often[by_hash], by_hash.astype(np.int64)))  # at most FREQUENT_MOST
-    names = ["kind", "key", "cid", "n", "pos", "id", "lead"]
-    kind = "kind string, key long, cid long, n long, pos long, id long, lead long"
-    types = [pa.string(), *[pa.int64()] * 6]
+    names = ["kind", "key", "cid", "n", "pos", "id", "lead", "sketch"]
+    kind = "kind string, key long, cid long, n long, pos long, id long, lead long, sketch binary"
+    types = [pa.string(), *[pa.int64()] * 6, pa.binary()]
 
     def rows_of(cols):
         n = len(cols[1])
-        return pa.record_batch([pa.array([cols[0]] * n, pa.string())] + [pa.nulls(n, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in cols[1:]], names=names)
+        return pa.record_batch([pa.array([cols[0]] * n, pa.string())] + [pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in zip(cols[1:], types[1:])], names=names)
 
     def index(batches):
         hashes, ranks = shared.value
-        seen, size = set(), 0
+        seen: dict = {}  # text -> size and sketch of its set
+        size = 0
         for b in batches:
-            keys, cids, ns, ids, entry = [], [], [], [], []
+            cids, ns, ids, sketches, entry = [], [], [], [], []
             for key, text in zip(*(c.to_pylist() for c in b.columns)):
-                s = shingles(text, words)
-                n, cid = len(s), set_id(s)
+                data = normal(text)
+                cid = text_id(data)
+                known = seen.get(cid)
+                if known is None:
+                    s = shingles(data, words)
+                    n = len(s)
+                    size += len(data)
+                    if size > CHUNK_BYTES:
+                        seen, size = {}, 0
+                    known = seen[cid] = (n, sketch(s) if n else None)
+                    fresh = n > 0
+                else:
+                    fresh = False
                 ids.append(key)
                 cids.append(cid)
-                ns.append(n)
-                if n and cid not in seen:
-                    seen.add(cid)
-                    size += len(text)
-                    if size > CHUNK_BYTES:
-                        seen, size = {cid}, 0
+                ns.append(known[0])
+                sketches.append(known[1])
+                if fresh:
                     weight = np.zeros(n, np.int64)
                     if len(hashes):
                         at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
@@ -142,10 +185,10 @@ def entries(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
                     first = s[np.lexsort((s, weight))[:p]]
                     entry.append((first.view(np.int64), np.full(p, cid), np.full(p, n), np.arange(p)))
             spread = [c ^ (k or 0) * 0x9E3779B1 for c, k in zip(cids, ids)]  # the documents themselves may lie anywhere
-            yield rows_of(["d", [((x + (1 << 63)) % (1 << 64)) - (1 << 63) for x in spread], cids, ns, None, ids, None])
+            yield rows_of(["d", [((x + (1 << 63)) % (1 << 64)) - (1 << 63) for x in spread], cids, ns, None, ids, None, sketches])
             if entry:
                 e = [np.concatenate(c) for c in zip(*entry)]
-                yield rows_of(["l", *e, None, None])
+                yield rows_of(["l", *e, None, None, None])
 
     def lists(batches):
         key, held, leads, last = None, None, [], None
@@ -155,7 +198,7 @@ def entries(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
                 if row[0] == "d":
                     out.append(row)
                 else:
-                    _, k, cid, n, pos, _, _ = row
+                    _, k, cid, n, pos, *_ = row
                     if k != key:
                         key, held, leads, last = k, row, [(cid, n, pos)], cid
                         continue
@@ -168,7 +211,7 @@ def entries(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
                     out.append(row)
                     for c, m, q in leads:
                         if reachable(n, pos, m, q, percent):
-                            out.append(("p", k, cid, None, None, None, c))
+                            out.append(("p", k, cid, None, None, None, c, None))
                             break
                     else:
                         if len(leads) < LEADS:
@@ -182,23 +225,23 @@ def entries(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     found = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(index, kind)
     order = F.xxhash64("cid", F.pmod("key", F.lit(ORDERS)))
     dealt = found.repartition("key").sortWithinPartitions("key", order, "cid")
-    return written(dealt.mapInArrow(lists, kind), "lists", "kind").select(*names)
+    return written(dealt.mapInArrow(lists, kind), "lists")
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame, words: int, text_col: str) -> DataFrame:
-    """(cid, z): one compressed text for each wanted set."""
+def texts_of(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
+    """(cid, z): each wanted normal text, compressed."""
 
     def pack(batches):
         z, seen = zstandard.ZstdCompressor(level=3), set()
         for b in batches:
             out = []
             for text in b.column(0).to_pylist():
-                s = shingles(text, words)
-                if len(s) and (cid := set_id(s)) not in seen:
+                data = normal(text)
+                if data and (cid := text_id(data)) not in seen:
                     if len(seen) > 200_000:
                         seen.clear()
                     seen.add(cid)
-                    out.append((cid, z.compress(text.encode())))
+                    out.append((cid, z.compress(data)))
             yield pa.record_batch([pa.array([c for c, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["cid", "z"])
 
     packed = docs.select(text_col).mapInArrow(pack, "cid long, z binary")
@@ -211,14 +254,16 @@ def checked(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     b = texts.select(F.col("cid").alias("b"), F.col("z").alias("zb"))
 
     def run(batches):
-        z, cache = zstandard.ZstdDecompressor(), OrderedDict()
+        z, cache, size = zstandard.ZstdDecompressor(), OrderedDict(), 0
 
         def get(cid, zipped):
+            nonlocal size
             s = cache.get(cid)
             if s is None:
-                s = cache[cid] = shingles(_plain(z, zipped).decode(), words)
-                if len(cache) > 2000:
-                    cache.popitem(last=False)
+                s = cache[cid] = shingles(_plain(z, zipped), words)
+                size += s.nbytes + 200
+                while size > CACHE_BYTES and len(cache) > 1:
+                    size -= cache.popitem(last=False)[1].nbytes + 200
             return s
 
         for batch in batches:
@@ -258,7 +303,7 @@ def linked_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col
     lists = found.where("kind = 'l'").select("key", "cid", "n", "pos")
     linked = F.expr(f"100 * common >= {percent} * total")
 
-    texts = texts_of(docs, lists.select("cid").distinct(), words, text_col)
+    texts = texts_of(docs, lists.select("cid").distinct(), text_col)
     pairs = found.where("kind = 'p'").select(F.greatest("cid", "lead").alias("a"), F.least("cid", "lead").alias("b")).distinct()
     first = written(checked(pairs, texts, words), "checked")
     comp = written(components(first.where(linked)), "components")
@@ -267,7 +312,8 @@ def linked_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col
     named = lists.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     open_lists = written(named.join(mixed, "key"), "open")
-    meets = _meetings(open_lists, percent)
+    sketches = found.where("kind = 'd'").select("cid", "sketch").join(open_lists.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"])
+    meets = _meetings(open_lists, sketches, percent)
     settled = first.where(~linked).select("a", "b")
     leaders = meets.join(settled, ["a", "b"], "left_anti")
     met = written(checked(leaders, texts, words), "leaders")
@@ -349,41 +395,80 @@ def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
 
 def representatives(docs: DataFrame, words: int = 5, percent: int = 80, text_col: str = "text") -> DataFrame:
     """One row of each component, and every row without shingles; all columns of docs."""
-    rows = docs.select("*", F.monotonically_increasing_id().alias("_rid"))
+    rows = with_rid(docs, "_rid")
     found = linked_components(rows.select("_rid", text_col), words, percent, "_rid", text_col)
     return rows.join(found.where("component_id = _rid").select("_rid"), "_rid", "left_semi").drop("_rid")
 
 
-def _meetings(named: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a > b) of components with entries in one list that sizes and positions do not rule out.
+def _meetings(named: DataFrame, sketches: DataFrame, percent: int, list_most: int = LIST_MOST) -> DataFrame:
+    """Distinct pairs (a > b) of components with entries in one list that sizes, positions and sketches do not rule out.
 
-    A list is read by size; entries under the reach of the one looked at are skipped for good.
+    A list is read by size; entries under the reach of the ones looked at are skipped for good. The entries of a long
+    list fall into parts, and a cell of its grid gets two of them, or one.
     """
+    fields = ["key", "row", "col", "part", "n", "pos", "comp", "sketch"]
+
+    def pairs(rows, block):
+        """(a, b) of the later rows of a list (of the same cell) with those before them and among themselves."""
+        both = block + rows
+        if len(both) <= 48:
+            for i in range(len(block), len(both)):
+                n, pos, comp, part, bits, across = both[i]
+                for m, q, other, of, other_bits, _ in both[:i]:
+                    if other == comp or across and of == part:
+                        continue
+                    need, most = -(-percent * (n + m) // (100 + percent)), min(n - pos, m - q)
+                    if most >= need and 100 * m >= percent * n and apart(bits, other_bits) <= n + m - 2 * need:
+                        yield max(comp, other), min(comp, other)
+            return
+        n, pos, comp, part = (np.array(c, np.int64) for c in list(zip(*both))[:4])
+        words, old = folded([r[4] for r in both]), len(block)
+        for i in range(old, len(both)):
+            total = n[:i] + n[i]
+            need = -(-percent * total // (100 + percent))  # least intersection
+            most = np.minimum(n[:i] - pos[:i], n[i] - pos[i])  # if this is their first common entry
+            fits = (most >= need) & (100 * n[:i] >= percent * n[i]) & (comp[:i] != comp[i])
+            if rows[i - old][5]:  # a cell of two parts: pairs across them alone
+                fits &= part[:i] != part[i]
+            at = np.flatnonzero(fits)
+            if len(at):
+                differ = np.bitwise_count(words[at] ^ words[i]).sum(1).astype(np.int64)
+                at = at[differ <= total[at] - 2 * need[at]]
+                yield from zip(np.maximum(comp[at], comp[i]).tolist(), np.minimum(comp[at], comp[i]).tolist())
 
     def run(batches):
-        key, block, made = None, [], set()
+        cell, block, rows, made = None, [], [], set()
+
+        def looked_at():
+            nonlocal block, rows
+            if rows:
+                made.update(pairs(rows, block))
+                block += rows
+                least = percent * block[-1][0]
+                block = [r for r in block if 100 * r[0] >= least]
+                rows = []
+
         for b in batches:
-            for k, n, pos, comp in zip(*(c.to_pylist() for c in b.columns)):
-                if k != key:
-                    key, block = k, []
+            for k, r, c, part, n, pos, comp, bits in zip(*(x.to_pylist() for x in b.columns)):
+                if (k, r, c) != cell:
+                    looked_at()
+                    cell, block = (k, r, c), []
+                if len(rows) >= 1024 or rows and 100 * rows[0][0] < percent * n:  # of like sizes, as their sketches are folded to one
+                    looked_at()
+                rows.append((n, pos, comp, part, bits, r != c))
                 if len(made) > 200_000:
                     yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*made)], names=["a", "b"])
-                    made = set()
-                skip = 0
-                while skip < len(block) and 100 * block[skip][0] < percent * n:
-                    skip += 1
-                if skip:
-                    del block[:skip]
-                for m, q, other in block:
-                    if other != comp and reachable(n, pos, m, q, percent):
-                        made.add((max(comp, other), min(comp, other)))
-                if (n, pos, comp) not in block[-1:]:
-                    block.append((n, pos, comp))
+                    made.clear()
+        looked_at()
         if made:
             yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*made)], names=["a", "b"])
 
-    dealt = named.select("key", "n", "pos", "comp").distinct().repartition("key").sortWithinPartitions("key", "n", "pos", "comp")
-    return written(dealt.mapInArrow(run, "a long, b long").distinct(), "meetings")
+    each = named.select("key", "cid", "n", "pos", "comp")
+    parts = each.groupBy("key").count().select("key", F.expr(f"cast((count - 1) div {list_most} + 1 as int)").alias("parts"))
+    dealt = each.join(parts, "key").join(sketches, "cid").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("part", "other").alias("row"), F.greatest("part", "other").alias("col"), *fields[3:])
+    sorted_ = cells.repartition("key", "row", "col").sortWithinPartitions("key", "row", "col", "n", "pos", "comp")
+    return written(sorted_.select(*fields).mapInArrow(run, "a long, b long").distinct(), "meetings")
 
 
 def op5_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -129,6 +129,56 @@ def test_quality_keeps_clean_text_and_rejects_junk():
     assert not quality.measure(" | ".join(f"menu{k}" for k in range(90)))[6]
 
 
+def test_line_rules():
+    fails = lambda x: quality.line_fails(x, x.split(), len("".join(x.split())), set(), True)
+    plain = "a quiet line of words that says little about anything at all and ends here."
+    for line, rule in (
+        (plain, None),
+        ("word#% other$$", "punctuation"),
+        ("no! no! no! no! no!", "punctuation"),
+        ("NEARLY ALL OF THIS LINE STANDS IN CAPITALS, BUT one.", "punctuation"),
+        ("Only THREE OF THESE words stand in capitals here.", None),
+        ("w " * 59 + "w.", None),
+        ("w " * 60, "punctuation"),
+        ("one » two » three » four", "navigation"),
+        ("Home About Contact", "navigation"),
+        ("Startseite | Kontakt", "navigation"),
+        ("Accueil Recherche Plan du site", "navigation"),
+        ("Home is where the heart is.", None),
+        ("she went home to search for help with the next thing and then came back again", None),
+        ("Todos los derechos reservados.", "boilerplate"),
+        ("w " * 37 + "all rights reserved.", "boilerplate"),
+        ("w " * 38 + "all rights reserved.", None),
+        (" ".join([plain] * 3) + " all rights reserved. Cliquez ici.", "boilerplate"),
+    ):
+        assert fails(line) == rule, line
+    assert quality.line_fails(plain, plain.split(), 60, {plain}, False) == "boilerplate"
+
+
+def test_stock_phrases_have_a_quick_look():
+    for phrase in quality.STOCK_PHRASES:
+        plain = phrase.replace(r"\s*", "").replace(r"\b", "").replace("(?:use|service)", "use").replace("(?:in|up)", "in").replace("['’]", "'").replace("\\", "").replace("log ?in", "log in").lower()
+        assert quality.BOILERPLATE.search(plain) and any(k in plain for k in quality._STOCK), plain
+
+
+def test_verdict_is_that_of_the_lines(docs, rows):
+    got = {r["doc_id"]: r for r in quality.judge(docs).collect()}
+    for i, t in rows:
+        left, clean, seen, total = 0, [], set(), 0
+        for line in (t or "").split("\n"):
+            own = WORD.findall(line)
+            chars = len("".join(own))
+            total += chars
+            if not own:
+                clean.append(line)
+            elif not quality.line_fails(line, own, chars, seen, True):
+                clean.append(line)
+                left += chars
+            seen.add(line)
+        assert got[i]["clean_text"] == "\n".join(clean)
+        assert got[i]["kept"] == (not got[i]["base_failed"] and left >= 0.5 * total)
+
+
 # ---- personal data
 
 E, I, C, P = (re.compile(x) for x in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"))
@@ -185,6 +235,30 @@ def test_archives(spark):
     assert warc.read_archives(warc.write_archives(warc.mark(df.where("false")))).count() == 0
 
 
+def test_damaged_records_are_reported(spark):
+    pages = [(k, f"http://h/{k}", f"text {k} " * (3 + 997 * (k == 2))) for k in range(5)]
+    man = warc.write_archives(warc.mark(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)))
+    [row] = man.collect()
+    store, root = warc.filesystem(row["path"])
+    with store.open_input_file(root) as f:
+        raw = f.read()
+    records = list(warc.read_range(store, root, 0, row["size"], row["size"]))
+    assert [r[:2] for r in records] == [(a, b) for a, b in zip([0, *(r[1] for r in records)], [r[1] for r in records])]
+    page = [int(warc.parse(r[2])[0]["x-page"]) for r in records]
+    for at, gone in ((records[2][1] - 6, 2), (records[0][0] + 20, 0), (records[4][1] - 3, 4)):  # a checksum, a header, the end
+        bad = bytearray(raw)
+        bad[at] ^= 0xFF
+        with store.open_output_stream(root, compression=None) as f:
+            f.write(bytes(bad))
+        for size in (41, 1 << 20):
+            got = warc.read_archives(man, size, damaged="rows").collect()
+            assert sorted(int(r["headers"]["x-page"]) for r in got if "x-page" in r["headers"]) == sorted(set(range(5)) - {page[gone]})
+            lost = [(int(r["headers"]["x-damaged"]), len(r["payload"])) for r in got if "x-damaged" in r["headers"]]
+            assert lost == [(records[gone][0], records[gone][1] - records[gone][0])]
+        with pytest.raises(Exception, match="are no record"):
+            warc.read_archives(man).count()
+
+
 def test_archive_query_is_its_sql(spark):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
@@ -223,6 +297,61 @@ def test_components(docs, rows, words, percent):
     assert got == {i: (len(s[i]), find(i)) for i in s}
 
 
+def test_sketches_bound_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n in (3, 80, 700, 5000):
+        s = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        t = np.unique(np.concatenate([s[n // 9 :], rng.integers(0, 1 << 63, n // 7 + 1, dtype=np.uint64)]))
+        a, b = jaccard.folded([jaccard.sketch(s), jaccard.sketch(t)])
+        assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(s, t))
+
+
+@pytest.mark.parametrize("most", [2, 4096])
+def test_long_lists_are_dealt_over_a_grid(spark, most):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    base = np.unique(rng.integers(0, 1 << 63, 60, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([np.delete(base, rng.integers(0, 60, k % 8)), rng.integers(0, 1 << 63, k % 8, dtype=np.uint64)])) for k in range(30)]
+    entries = [(key, k, len(s), int(pos), k) for k, s in enumerate(sets) for pos, key in [(0, 1), (k % 3, 2)]]
+    named = spark.createDataFrame(entries, "key long, cid long, n long, pos long, comp long")
+    sketches = spark.createDataFrame([(k, jaccard.sketch(s)) for k, s in enumerate(sets)], "cid long, sketch binary")
+    got = {(r["a"], r["b"]) for r in jaccard._meetings(named, sketches, 80, most).collect()}
+    linked = {(a, b) for a in range(30) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+    assert linked and linked <= got
+    assert len(got) < 30 * 29 // 2
+
+
+def test_components_of_many_near_copies(spark):
+    """A group of 400 near copies about the threshold, and a shingle that every document has."""
+    rng = random.Random(21)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(400):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3])):
+            w[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join([*w, "one", "common", "passage", "ends", "it"])))
+    rows += [(1000 + k, " ".join(f"y{rng.randrange(10**6)}" for _ in range(30)) + " one common passage ends it") for k in range(200)]
+    s = sets_of(rows, 4)
+    parent = {i: i for i in s}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in s:
+        for b in s:
+            if a < b and 100 * len(s[a] & s[b]) >= 85 * len(s[a] | s[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.linked_components(df, 4, 85).collect()} == {i: find(i) for i in s}
+
+
 def test_one_representative_of_each_component(docs, rows):
     kept = jaccard.representatives(docs, 5, 80)
     assert kept.columns == docs.columns
@@ -266,9 +395,10 @@ def brute_repeats(rows, length, keep):
     return {i: bytes(c for k, c in enumerate(b) if k not in gone[i]) for i, b in data.items()}
 
 
-@pytest.mark.parametrize(("keep", "hot"), [("none", 512), ("first", 512), ("none", 1)])
-def test_repeats(spark, docs, rows, keep, hot, monkeypatch):
+@pytest.mark.parametrize(("keep", "hot", "crowd"), [("none", 512, 4096), ("first", 512, 4096), ("none", 1, 4096), ("none", 1, 3), ("first", 1, 3)])
+def test_repeats(spark, docs, rows, keep, hot, crowd, monkeypatch):
     monkeypatch.setattr(suffix, "HOT_BLOCKS", hot)
+    monkeypatch.setattr(suffix.removed_spans, "__defaults__", (*suffix.removed_spans.__defaults__[:-1], crowd))
     got = {r["doc_id"]: bytes(r["kept"]) for r in suffix.remove_repeats(docs, keep=keep).collect()}
     assert got == brute_repeats(rows, 200, keep)
 
