@@ -33,7 +33,7 @@ END = "</w>"
 ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
 UNICODE_SPACE = regex.compile(r"[\x09-\x0d\x20\x85\xa0  -     　]+")
 #: Entries of each of the two generations of a worker's caches: encoded chunks (with their decoding, fewer) and words.
-CACHE_CHUNKS, CACHE_DECODED, CACHE_WORDS = 600_000, 300_000, 400_000
+CACHE_CHUNKS, CACHE_DECODED, CACHE_WORDS = 200_000, 150_000, 150_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -102,7 +102,7 @@ class WordBpe:
         """Do a and b stay apart when they stand side by side?"""
         found = self._pairs.get(a << 20 | b)
         if found is None:
-            if len(self._pairs) > 2_000_000:
+            if len(self._pairs) > 500_000:
                 self._pairs.clear()
             found = self._pairs[a << 20 | b] = self.survives(b) and not self.clash(a, b, float("inf"))
         return found

@@ -1,9 +1,9 @@
 """Best-fit packing with bounded space: token sequences of documents into rows of fixed capacity.
 
-Pieces are dealt over partitions in number to the input; in each, a best-fit packer takes LOOK_AHEAD pieces or
-somewhat more at a time, longest first (best fit decreasing within the look-ahead), and keeps a fixed number of open
-bins. Their free spaces are the set bits of one integer, so the tightest bin that takes a piece is the lowest
-bit at or above its length; when one bin too many is open, the fullest (the lowest bit) closes.
+Pieces are dealt over partitions in number to the input; in each, an online best-fit packer takes them as they come
+and keeps a fixed number of open bins. Their free spaces are the set bits of one integer, so the tightest bin that
+takes a piece is the lowest bit at or above its length; when one bin too many is open, the fullest (the lowest bit)
+closes. Only the pieces' numbers and lengths are dealt; token ids join their places afterwards, evenly spread.
 
 Edge cases: a null or empty text is its end token alone, one piece of length 1. A document over the capacity is cut
 into pieces of the capacity, the last one shorter. Repeated rows are packed row by row. An empty table gives an empty
@@ -19,12 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder, vocabulary
-from .common import small_batches, table, written
+from .common import small_batches, table, with_rid, written
 
 #: Tokens of a sequence, open bins of a packer, and pieces that one packer gets on average.
 CAPACITY, OPEN_BINS, PIECES_PER_PACKER = 2048, 1024, 60_000
-#: Pieces that a packer takes at a time, longest first.
-LOOK_AHEAD = 4096
 
 
 class BestFit:
@@ -98,25 +96,10 @@ def assign(cut: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
         from pyspark import TaskContext
 
         base, packer = TaskContext.get().partitionId() << 40, BestFit(capacity, open_bins)
-        held, size = [], 0
-
-        def placed():
-            rows_ = pa.Table.from_batches(held).combine_chunks()
-            lengths = rows_.column(length_at).to_pylist()
-            at: list = [None] * len(lengths)
-            for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):  # the long ones first
-                at[i] = packer.place(lengths[i])
-            out = rows_.append_column("sequence_id", pa.array([base + s for s, _ in at], pa.int64())).append_column("offset", pa.array([o for _, o in at], pa.int64()))
-            yield from out.to_batches()
-
         for b in batches:
-            held.append(b)
-            size += b.num_rows
-            if size >= LOOK_AHEAD:
-                yield from placed()
-                held, size = [], 0
-        if size:
-            yield from placed()
+            at = [packer.place(n) for n in b.column(length_at).to_pylist()]
+            table_ = pa.Table.from_batches([b])
+            yield from table_.append_column("sequence_id", pa.array([base + s for s, _ in at], pa.int64())).append_column("offset", pa.array([o for _, o in at], pa.int64())).to_batches()
 
     # the order within a packer is fixed by the rows alone; hashing mixes lengths, which is what best fit wants
     mixed = rows.withColumn("_deal", F.xxhash64(fields[0], "piece", "start", "length"))
@@ -124,6 +107,13 @@ def assign(cut: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
     return dealt.select(*fields).mapInArrow(run, kind)
 
 
+def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, piece, start, length, ids, sequence_id, offset): each piece of docs with its ids and its place."""
+    cut = with_rid(pieces(docs, path, capacity, id_col=id_col, text_col=text_col), "_row")
+    places = assign(cut.select("_row", "piece", "start", "length"), capacity, open_bins)
+    return cut.join(places.select("_row", "sequence_id", "offset"), "_row").drop("_row")
+
+
 def op2_packing(spark, sf_dir: str) -> DataFrame:
     cut = pieces(table(spark, sf_dir, "documents"), vocabulary())
     return assign(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
