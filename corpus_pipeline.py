@@ -36,7 +36,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences with their place in a packed row."""
-    return packing.assign(packing.pieces(docs, bpe.vocabulary()))
+    return packing.packed(docs, bpe.vocabulary())
 
 
 STAGES = [
