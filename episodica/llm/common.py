@@ -50,7 +50,17 @@ def written(df: DataFrame, name: str, *partition: str) -> DataFrame:
     schema = df.schema
     out = df.write.option("compression", "zstd")
     (out.partitionBy(*partition) if partition else out).parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    found = spark.read.schema(schema).parquet(path)
+    found.written_to = path
+    return found
+
+
+def removed(*tables: DataFrame) -> None:
+    """Delete tables that written made, which no result reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def with_rid(docs: DataFrame, name: str) -> DataFrame:

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, with_rid, written
+from .common import removed, small_batches, table, with_rid, written
 from .suffix import _BYTE, _plain, mix, powers
 
 #: Text gathered by a task before equal sets are collapsed and frequent shingles counted.
@@ -288,7 +288,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
-        e = written(small, "edges")
+        last, e = e, written(small, "edges")
+        removed(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -341,7 +342,9 @@ def linked_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col
     close = written(close, "close")
     own = open_lists.join(far.select(F.col("node").alias("cid"), "d"), "cid", "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
     involved = close.select(F.explode(F.array("a", "b")).alias("comp")).distinct()
-    own = written(own.join(involved, "comp", "left_semi"), "members")
+    bits = F.transform(F.sequence(F.lit(1), F.octet_length("sketch") - 3, F.lit(4)), lambda i: F.conv(F.hex(F.substring("sketch", i, F.lit(4))), 16, 10).cast("long"))
+    own = own.join(involved, "comp", "left_semi").join(sketches, "cid").withColumn("bits", bits).drop("sketch")
+    own = written(own, "members")
     # first one member for each component and list, another one in each round; then, for what is still apart, all
     left = close.count()
     for turn in range(ROUNDS + 1):
@@ -350,12 +353,13 @@ def linked_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col
         now = close.select(F.explode(F.array("a", "b")).alias("comp")).distinct()
         members = own.join(now, "comp", "left_semi")
         if turn < ROUNDS:
-            members = members.groupBy("key", "comp").agg(F.min_by(F.struct("cid", "n", "pos", "d"), F.xxhash64("cid", "key", F.lit(turn))).alias("m")).select("key", "comp", "m.*")
+            members = members.groupBy("key", "comp").agg(F.min_by(F.struct("cid", "n", "pos", "d", "bits"), F.xxhash64("cid", "key", F.lit(turn))).alias("m")).select("key", "comp", "m.*")
         tried = written(checked(_expanded(close, members, percent), texts, words), "checked")
         merged = _joined(merged, tried.where(linked).select("a", "b"))
         close = written(_apart(close, merged).select("a", "b", "d"), "close")
         left = close.count()
     comp = merged
+    removed(texts, open_lists, own, first, met, far, meets)
 
     d = found.where("kind = 'd'").select("id", "n", "cid")
     d = d.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("id", "n", F.coalesce("comp", "cid").alias("comp"))
@@ -372,15 +376,18 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def _expanded(close: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of members of two components that meet in a list and that sizes, positions and distances allow."""
-    x = members.select("key", *(F.col(c).alias(f"{c}1") for c in ("cid", "n", "pos", "comp", "d")))
-    y = members.select("key", *(F.col(c).alias(f"{c}2") for c in ("cid", "n", "pos", "comp", "d")))
+    """Distinct pairs of members of two components that meet in a list and that sizes, positions, sketches and distances allow."""
+    x = members.select("key", *(F.col(c).alias(f"{c}1") for c in ("cid", "n", "pos", "comp", "d", "bits")))
+    y = members.select("key", *(F.col(c).alias(f"{c}2") for c in ("cid", "n", "pos", "comp", "d", "bits")))
+    differ = "aggregate(zip_with(bits1, bits2, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"  # of sketches of one length
+    need = f"({percent} * (n1 + n2) + {99 + percent}) div {100 + percent}"
     common = "(1 + least(n1 - pos1 - 1, n2 - pos2 - 1))"
     return (
         close.join(x, close["a"] == x["comp1"])
         .join(y, (F.col("b") == F.col("comp2")) & (x["key"] == y["key"]))
         .where(F.col("d") - F.col("d1") - F.col("d2") <= 1 - percent / 100 + 1e-9)
         .where(f"100 * least(n1, n2) >= {percent} * greatest(n1, n2) and 100 * {common} >= {percent} * (n1 + n2 - {common})")
+        .where(f"size(bits1) <> size(bits2) or {differ} <= n1 + n2 - 2 * ({need})")
         .select(F.greatest("cid1", "cid2").alias("a"), F.least("cid1", "cid2").alias("b"))
         .distinct()
     )
