@@ -87,3 +87,20 @@ def nearest(queries: DataFrame, reference: DataFrame, group: list[str], distance
     j = queries.join(reference, group).withColumn("distance", distance)
     w = Window.partitionBy(*group, *keys).orderBy("distance", order)
     return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def nearest_in_order(df: DataFrame, group: list[str], key: str, x: str, k: int) -> DataFrame:
+    """(group, key, other, rank): the k rows of other keys nearest in x within each group; ties go to the smaller key.
+
+    Rows are read in order of x. The k nearest lie among the k distinct values on either side and the value itself, and
+    of one value only its k + 1 smallest keys can be among them, so no pairs of a whole group are formed.
+    """
+    first = Window.partitionBy(*group, x).orderBy(key)
+    few = df.select(*group, key, x).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k + 1)
+    values = few.groupBy(*group, x).agg(F.array_sort(F.collect_list(key)).alias("_keys"))  # k + 1 at most
+    near = F.collect_list(F.struct(F.col(x).alias("v"), F.col("_keys").alias("keys"))).over(Window.partitionBy(*group).orderBy(x).rowsBetween(-k, k))
+    found = values.withColumn("_near", near).select(*group, x, "_near")
+    flat = F.flatten(F.transform("_near", lambda t: F.transform(t["keys"], lambda o: F.struct(F.abs(t["v"] - F.col(x)).alias("d"), o.alias("other")))))
+    own = df.select(*group, key, x).join(found, [*group, x])
+    best = F.slice(F.array_sort(F.filter(flat, lambda t: t["other"] != F.col(key))), 1, k)
+    return own.select(*group, key, F.posexplode(best).alias("_at", "_t")).select(*group, key, F.col("_t.other").alias("other"), (F.col("_at") + 1).cast("long").alias("rank"))

@@ -156,39 +156,59 @@ def template_match(df: DataFrame, ep: str, q: str, x: str, template: list[float]
     return df.select(ep, q, x).groupBy(ep).applyInPandas(run, f"g {kind}, distance double").withColumnRenamed("g", ep)
 
 
-def hsmm_filter(words: list[int], transition: np.ndarray, emission: np.ndarray, leave: np.ndarray) -> tuple[np.ndarray, float]:
-    """Belief over (state, age) after a sequence, and its log evidence; leave[s, a] is the hazard of ending at age a."""
-    n, ages = leave.shape
-    belief = np.zeros((n, ages))
-    belief[:, 0] = 1.0 / n
-    evidence = 0.0
-    for t, w in enumerate(words):
-        if t:
-            out = (belief * leave).sum(1)
-            stay = belief * (1 - leave)
-            belief = np.zeros_like(belief)
-            belief[:, 1:] = stay[:, :-1]
-            belief[:, -1] += stay[:, -1]
-            belief[:, 0] = out @ transition
-        belief = belief * emission[:, w][:, None]
-        z = belief.sum()
-        evidence += math.log(max(z, 1e-300))
-        belief = belief / max(z, 1e-300)
-    return belief, evidence
-
-
-def duration_filter(df: DataFrame, ep: str, q: str, word: str, names: list[str], transition, emission, leave) -> DataFrame:
-    """(ep, state, age, evidence): likeliest state and mean age of each episode's end."""
+class DurationChain:
+    """A semi-Markov chain as one Markov chain over cells (state, age), read in log space.
+
+    A cell ends with its hazard and hands its mass to the first ages of the next states; else it moves one age on, and
+    the last age keeps what stays.
+    """
+
+    def __init__(self, transition, emission, hazard):
+        self.states, self.ages = hazard.shape
+        cells = np.arange(self.states * self.ages).reshape(hazard.shape)
+        self.step = np.zeros((cells.size, cells.size))
+        np.add.at(self.step, (cells, np.minimum(cells + 1, cells[:, -1:])), 1 - hazard)
+        for state in range(self.states):
+            self.step[np.ix_(cells[state], cells[:, 0])] += np.outer(hazard[state], transition[state])
+        with np.errstate(divide="ignore"):
+            self.log_step, self.log_emission = np.log(self.step), np.repeat(np.log(emission), self.ages, axis=0)
+        self.start = np.full(cells.size, -np.inf)
+        self.start[cells[:, 0]] = -math.log(self.states)
+
+    def read(self, words: list[int | None]) -> tuple[np.ndarray, float]:
+        """Belief over the cells after the words, and the log probability of the known ones; None is a step that tells nothing."""
+        log, evidence = self.start, 0.0
+        for t, word in enumerate(words):
+            if t:
+                log = np.logaddexp.reduce(log[:, None] + self.log_step, axis=0)
+            if word is not None:
+                log = log + self.log_emission[:, word]
+                total = np.logaddexp.reduce(log)
+                evidence, log = evidence + total, log - total
+        return np.exp(log), float(evidence)
+
+    def ahead(self, belief: np.ndarray, steps: int) -> np.ndarray:
+        """Probability of each state some steps on."""
+        return (belief @ np.linalg.matrix_power(self.step, steps)).reshape(self.states, self.ages).sum(1)
+
+
+def duration_filter(df: DataFrame, ep: str, q: str, word: str, names: list[str], transition, emission, hazard, ahead: int = 3) -> DataFrame:
+    """(ep, state, age, evidence, forecast): likeliest state, mean age and log evidence at each episode's end, and the likeliest state some steps on.
+
+    Words that are null or have no name tell nothing.
+    """
     ship(df.sparkSession)
-    t, e, h = (np.asarray(x, float) for x in (transition, emission, leave))
+    chain = DurationChain(*(np.asarray(x, float) for x in (transition, emission, hazard)))
     index = {w: i for i, w in enumerate(names)}
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        b, ev = hsmm_filter([index[w] for w in pdf.sort_values(q)[word]], t, e, h)
-        return pd.DataFrame([(key[0], int(b.sum(1).argmax()), float((b * np.arange(h.shape[1])).sum()), ev)], columns=["g", "state", "age", "evidence"])
+        belief, evidence = chain.read([index.get(w) for w in pdf.sort_values(q)[word]])
+        cells = belief.reshape(chain.states, chain.ages)
+        out = (key[0], int(cells.sum(1).argmax()), float(cells.sum(0) @ np.arange(chain.ages)), evidence, int(chain.ahead(belief, ahead).argmax()))
+        return pd.DataFrame([out], columns=["g", "state", "age", "evidence", "forecast"])
 
     kind = df.schema[ep].dataType.simpleString()
-    return df.select(ep, q, word).groupBy(ep).applyInPandas(run, f"g {kind}, state int, age double, evidence double").withColumnRenamed("g", ep)
+    return df.select(ep, q, word).groupBy(ep).applyInPandas(run, f"g {kind}, state int, age double, evidence double, forecast int").withColumnRenamed("g", ep)
 
 
 def compressed_length(df: DataFrame, ident: str, vector: str, level: int = 9) -> DataFrame:

@@ -6,6 +6,7 @@ Episodes partition every window, so all of an operator's windows share one shuff
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -152,10 +153,32 @@ def multiscale_scan(s: Series, x, widths=(1, 2, 4, 8)) -> Column:
     return F.greatest(*[F.sum(_c(x)).over(s.last(w)) / F.sqrt(F.count(_c(x)).over(s.last(w))) for w in widths])
 
 
-def ewma(s: Series, x, weight: float) -> Column:
+def decayed(df: DataFrame, s: Series, x, keep: float, gain: float, name: str, from_first: bool = False) -> DataFrame:
+    """y = keep y' + gain x along an episode whose steps count from 0, from y' = 0 (or y = the first value).
+
+    An episode is folded in blocks of so many steps that keep to that power is no double any more: then a block needs of
+    all that came before only the fold of the block before it. No array is longer than a block.
+    """
+    size = max(2, math.ceil(745 / -math.log(keep)))
+
+    def fold(values: Column, start: Column) -> Column:
+        """All values of the recurrence over an array, from a start."""
+        step = lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) * keep + v * gain))
+        return F.aggregate(values, F.array(start).cast("array<double>"), step)
+
+    rows = df.withColumn("_block", F.floor(F.col(s.q) / size)).withColumn("_x", _c(x).cast("double"))
+    each = rows.groupBy(s.ep, "_block").agg(F.transform(F.array_sort(F.collect_list(F.struct(s.q, "_x"))), lambda t: t["_x"]).alias("_v"))
+    own = F.aggregate("_v", F.lit(0.0), lambda acc, v: acc * keep + v * gain)
+    each = each.withColumn("_own", own).withColumn("_before", F.lag("_own").over(Window.partitionBy(s.ep).orderBy("_block")))
+    start = F.element_at("_v", 1) * ((1 - gain) / keep) if from_first else F.lit(0.0)  # so that y is the first value
+    done = each.select(s.ep, "_block", F.posexplode(F.slice(fold(F.col("_v"), F.coalesce("_before", start)), F.lit(2), F.size("_v"))).alias("_at", name))
+    done = done.select(s.ep, (F.col("_block") * size + F.col("_at")).cast(df.schema[s.q].dataType).alias(s.q), name)
+    return df.join(done, [s.ep, s.q])
+
+
+def ewma(df: DataFrame, s: Series, x, weight: float, name: str) -> DataFrame:
     """weight x + (1 - weight) previous, started at the first value."""
-    values = F.collect_list(_c(x)).over(s.past)
-    return F.aggregate(F.slice(values, 2, 1_000_000), F.element_at(values, 1), lambda a, v: a * (1 - weight) + v * weight)
+    return decayed(df, s, x, 1 - weight, weight, name, from_first=True)
 
 
 def trailing_slope(s: Series, x, n: int) -> Column:
@@ -167,10 +190,10 @@ def design(s: Series, x, order: int) -> list[Column]:
     return [c for k in range(1, order + 1) for c in (F.lag(_c(x), k).over(s.by).alias(f"lag{k}"), F.lag(_c(x), k).over(s.by).isNotNull().alias(f"has{k}"))]
 
 
-def ema_momentum(s: Series, x, beta: float, depth: int = 8) -> Column:
-    """Velocity averaged with weights beta**k over at most depth steps back."""
-    v = [F.coalesce(F.lag(_c(x), k).over(s.by) - F.lag(_c(x), k + 1).over(s.by) if k else lag_delta(s, x, 1), F.lit(0.0)) * beta**k for k in range(depth)]
-    return reduce(lambda a, b: a + b, v) * (1 - beta)
+def ema_momentum(df: DataFrame, s: Series, x, beta: float, name: str) -> DataFrame:
+    """Velocity averaged with weights (1 - beta) beta**k over all steps back."""
+    moved = df.withColumn("_step", F.coalesce(lag_delta(s, x, 1), F.lit(0.0)))
+    return decayed(moved, s, "_step", beta, 1 - beta, name).drop("_step")
 
 
 def adjacent_min(s: Series, x) -> Column:

@@ -21,31 +21,54 @@ def monitor_replay(spark, d):
     return M.batch(events(spark, d), MON).select("ep", "q", r6("smooth", "smooth"), "run", "alarm", "first_alarm")
 
 
-GUARD = f"""{EV}, a1 AS (SELECT *, abs(x - {'lag(x, 1) ' + BY}) AS v, abs(x - 2 * {'lag(x, 1) ' + BY} + {'lag(x, 2) ' + BY}) AS a FROM ev),
-a2 AS (SELECT ep, q, CASE WHEN count(v) {over(4)} = 4 THEN avg(v) {over(4)} END AS mv, CASE WHEN count(a) {over(4)} = 4 THEN avg(a) {over(4)} END AS ma FROM a1),
-a3 AS (SELECT *, CASE WHEN count(mv) {over(2)} = 2 THEN -max(mv) {over(2)} END AS still, CASE WHEN count(ma) {over(2)} = 2 THEN min(ma) {over(2)} END AS hot FROM a2),
-pk AS (SELECT ep, max(-mv) AS ps, max(ma) AS ph FROM a3 GROUP BY ep),
-th AS (SELECT list_sort(list(ps) FILTER (ps IS NOT NULL))[CAST(ceil(0.9 * (count(ps) - 1) - 1e-9) AS BIGINT) + 1] AS ts, list_sort(list(ph) FILTER (ph IS NOT NULL))[CAST(ceil(0.9 * (count(ph) - 1) - 1e-9) AS BIGINT) + 1] AS th FROM pk WHERE ep % 2 = 0),
-al AS (SELECT ep, min(q) FILTER (still > ts) AS fs, min(q) FILTER (hot > th) AS fh FROM a3, th GROUP BY ep)"""
+GUARD = f"""{EV}, a1 AS (SELECT *, abs(x - lag(x, 1) {BY}) AS v, abs(x - 2 * lag(x, 1) {BY} + lag(x, 2) {BY}) AS a, least(abs(x - lag(x, 2) {BY}), abs(x - lag(x, 3) {BY}), abs(x - lag(x, 4) {BY})) AS c FROM ev),
+bs AS (SELECT ep, CASE WHEN count(v) FILTER (q >= 1 AND q < 7) = 6 THEN avg(v) FILTER (q >= 1 AND q < 7) END AS bv, CASE WHEN count(a) FILTER (q >= 2 AND q < 8) = 6 THEN median(a) FILTER (q >= 2 AND q < 8) END AS ba, CASE WHEN count(c) FILTER (q >= 4 AND q < 10) = 6 THEN median(c) FILTER (q >= 4 AND q < 10) END AS bc FROM a1 GROUP BY ep),
+a2 AS (SELECT ep, q, -ln(greatest(v, 1e-6) / greatest(bv, 1e-6)) AS fr, ln(greatest(a, 1e-6) / greatest(ba, 1e-6)) AS ar, -(CASE WHEN q >= 4 THEN c END - bc) / 50.0 AS pr FROM a1 JOIN bs USING (ep)),
+a3 AS (SELECT ep, q, CASE WHEN count(fr) {over(4)} = 4 THEN avg(fr) {over(4)} END AS fm, CASE WHEN count(ar) {over(4)} = 4 THEN avg(ar) {over(4)} END AS am, CASE WHEN count(pr) {over(3)} = 3 THEN avg(pr) {over(3)} END AS pm FROM a2),
+a4 AS (SELECT ep, q, fm, CASE WHEN count(am) {over(2)} = 2 THEN min(am) {over(2)} END AS ap, CASE WHEN count(pm) {over(2)} = 2 THEN min(pm) {over(2)} END AS pp FROM a3),
+pk AS (SELECT ep, max(fm) FILTER (q >= 7) AS sf, max(ap) FILTER (q >= 8) AS sa, max(pp) FILTER (q >= 10) AS sp FROM a4 GROUP BY ep),
+th AS (SELECT {", ".join(f"list_sort(list({c}) FILTER ({c} IS NOT NULL))[CAST(ceil(0.9 * (count({c}) - 1) - 1e-9) AS BIGINT) + 1] AS t{c}" for c in ("sf", "sa", "sp"))} FROM pk WHERE ep % 2 = 0),
+fi AS (SELECT ep, min(q) FILTER (q >= 7 AND fm > tsf) AS ff, min(q) FILTER (q >= 8 AND ap > tsa) AS fa, min(q) FILTER (q >= 10 AND pp > tsp) AS fp FROM a4, th GROUP BY ep),
+al AS (SELECT ep, ff AS fs, CASE WHEN fa IS NOT NULL AND fp IS NOT NULL THEN greatest(fa, fp) END AS fh FROM fi)"""
+HEADS = ("fm", "ap", "pp")
 
 
 def _guard(spark, d):
-    """First alarms of the freeze and acceleration heads, thresholds from the smoothed peaks of even episodes, compared with the persistent streams."""
-    e = events(spark, d)
-    e = e.withColumn("v", F.abs(W.difference(S, "x", 1))).withColumn("a", F.abs(W.difference(S, "x", 2)))
-    e = e.withColumn("ms", -W.trailing_mean(S, "v", 4)).withColumn("ma", W.trailing_mean(S, "a", 4))
-    e = e.withColumn("still", W.persistence(S, "ms", 2)).withColumn("hot", W.persistence(S, "ma", 2))
-    peaks = e.where("ep % 2 = 0").groupBy("ep").agg(F.max("ms").alias("ps"), F.max("ma").alias("ph"))
-    ts = A.quantile_higher(peaks, "ps", 0.9, name="t_still").select("t_still")
-    th = A.quantile_higher(peaks, "ph", 0.9, name="t_hot").select("t_hot")
-    one = F.broadcast(ts.crossJoin(th))  # one row of two thresholds
-    return e.crossJoin(one).groupBy("ep").agg(F.min(F.when(F.col("still") > F.col("t_still"), F.col("q"))).alias("fs"), F.min(F.when(F.col("hot") > F.col("t_hot"), F.col("q"))).alias("fh"))
-
+    """First alarms of the freeze head and of the loop (acceleration and periodicity) of each episode.
 
-@register("intrinsic_guard", f"WITH {GUARD} SELECT ep, coalesce(fs, -1) AS freeze_first, coalesce(fh, -1) AS hot_first, coalesce(least(coalesce(fs, fh), coalesce(fh, fs)), -1) AS first_alarm FROM al")
+    Every stream is measured against the episode's own early steps: movement as a log ratio to its mean, acceleration as
+    one to its median, the distance to the nearest of two to four steps back as a difference from its median. Streams
+    are smoothed, the two loop streams must persist, and thresholds are the conservative quantile of the peaks of even
+    episodes. Nothing at a step looks past it.
+    """
+    e = events(spark, d)
+    back = [F.abs(W.lag_delta(S, "x", k)) for k in (2, 3, 4)]
+    e = e.withColumn("v", F.abs(W.difference(S, "x", 1))).withColumn("a", F.abs(W.difference(S, "x", 2))).withColumn("c", F.when(F.col("q") >= 4, F.least(*back)))
+    ep = Window.partitionBy("ep")
+
+    def early(x: str, start: int, count: int, reduce):
+        own = F.when((F.col("q") >= start) & (F.col("q") < start + count), F.col(x))
+        return F.when(F.count(own).over(ep) == count, reduce(own).over(ep))
+
+    half = lambda x: F.percentile(x, F.lit(0.5))
+    e = e.withColumn("bv", early("v", 1, 6, F.avg)).withColumn("ba", early("a", 2, 6, half)).withColumn("bc", early("c", 4, 6, half))
+    ratio = lambda x, b: F.when(F.col(b).isNotNull(), F.ln(F.greatest(x, F.lit(1e-6)) / F.greatest(b, F.lit(1e-6))))
+    e = e.withColumn("fr", F.when(F.col("v").isNotNull(), -ratio("v", "bv"))).withColumn("ar", F.when(F.col("a").isNotNull(), ratio("a", "ba"))).withColumn("pr", -(F.col("c") - F.col("bc")) / 50.0)
+    e = e.withColumn("fm", W.trailing_mean(S, "fr", 4)).withColumn("am", W.trailing_mean(S, "ar", 4)).withColumn("pm", W.trailing_mean(S, "pr", 3))
+    e = e.withColumn("ap", W.persistence(S, "am", 2)).withColumn("pp", W.persistence(S, "pm", 2))
+    # no head speaks before its baseline is whole
+    e = e.select("ep", "q", *[F.when(F.col("q") >= at, F.col(h)).alias(h) for h, at in zip(HEADS, (7, 8, 10))])
+    peaks = e.where("ep % 2 = 0").groupBy("ep").agg(*[F.max(h).alias(h) for h in HEADS])
+    th = [A.quantile_higher(peaks, h, 0.9, name=f"t_{h}").select(f"t_{h}") for h in HEADS]
+    one = F.broadcast(th[0].crossJoin(th[1]).crossJoin(th[2]))  # one row of three thresholds
+    first = e.crossJoin(one).groupBy("ep").agg(*[F.min(F.when(F.col(h) > F.col(f"t_{h}"), F.col("q"))).alias(h) for h in HEADS])
+    return first.select("ep", F.col("fm").alias("fs"), F.when(F.col("ap").isNotNull() & F.col("pp").isNotNull(), F.greatest("ap", "pp")).alias("fh"))
+
+
+@register("intrinsic_guard", f"WITH {GUARD} SELECT ep, coalesce(fs, -1) AS freeze_first, coalesce(fh, -1) AS loop_first, coalesce(least(coalesce(fs, fh), coalesce(fh, fs)), -1) AS first_alarm FROM al")
 def intrinsic_guard(spark, d):
-    a = _guard(spark, d).select("ep", F.coalesce("fs", F.lit(-1)).alias("freeze_first"), F.coalesce("fh", F.lit(-1)).alias("hot_first"))
-    return a.withColumn("first_alarm", W.either_alarm("freeze_first", "hot_first"))
+    a = _guard(spark, d).select("ep", F.coalesce("fs", F.lit(-1)).alias("freeze_first"), F.coalesce("fh", F.lit(-1)).alias("loop_first"))
+    return a.withColumn("first_alarm", W.either_alarm("freeze_first", "loop_first"))
 
 
 @register("guard_metrics", f"WITH {GUARD}, lb AS (SELECT ep, bool_or(k = 'error' AND q >= 10) AS r FROM ev GROUP BY ep), j AS (SELECT ep % 3 AS suite, (fs IS NOT NULL OR fh IS NOT NULL) AS a, r FROM al JOIN lb USING (ep)), c AS (SELECT suite, count(*) FILTER (a AND r) AS tp, count(*) FILTER (a AND NOT r) AS fp, count(*) FILTER (NOT a AND r) AS fn, count(*) FILTER (NOT a AND NOT r) AS tn FROM j GROUP BY suite) SELECT suite, tp, fp, fn, tn, {s6('CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END', 'recall')}, {s6('CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END', 'precision')}, {s6('CASE WHEN fp + tn > 0 THEN fp / (fp + tn) END', 'fpr')} FROM c")
@@ -55,6 +78,43 @@ def guard_metrics(spark, d):
     return A.confusion(j, F.col("a"), F.col("r"), "suite").select("suite", "tp", "fp", "fn", "tn", r6("recall", "recall"), r6("precision", "precision"), r6("fpr", "fpr"))
 
 
+@register("dual_regime_monitor", f"WITH {EV}, z AS (SELECT ep, q, CASE WHEN count(x) {over(4)} = 4 THEN max(x) {over(4)} - min(x) {over(4)} END AS rg FROM ev), w AS (SELECT ep, q, rg, CASE WHEN count(rg) {over(3)} = 3 THEN max(rg) {over(3)} END AS hi, CASE WHEN count(rg) {over(2)} = 2 THEN min(rg) {over(2)} END AS lo FROM z) SELECT ep, coalesce(min(q) FILTER (hi < 30), -1) AS lock_first, coalesce(min(q) FILTER (lo > 150), -1) AS unstable_first, coalesce(min(q) FILTER (hi < 30 OR lo > 150), -1) AS first_alarm FROM w GROUP BY ep")
+def dual_regime_monitor(spark, d):
+    """Alarms of two regimes, either of which opens: locked (the trailing range stays low for three steps) or unstable (it stays high for two)."""
+    e = events(spark, d).withColumn("rg", F.when(F.count("x").over(S.last(4)) == 4, W.trailing_range(S, "x", 4)))
+    lock, unstable = -W.persistence(S, -F.col("rg"), 3) < 30, W.persistence(S, "rg", 2) > 150
+    e = e.select("ep", "q", lock.alias("lock"), unstable.alias("unstable"))
+    first = lambda c, name: F.coalesce(F.min(F.when(c, F.col("q"))), F.lit(-1)).alias(name)
+    return e.groupBy("ep").agg(first(F.col("lock"), "lock_first"), first(F.col("unstable"), "unstable_first"), first(F.col("lock") | F.col("unstable"), "first_alarm"))
+
+
+@register("acceleration_excess_alarm", f"WITH {EV}, z AS (SELECT ep, q, abs(x - 2 * lag(x, 1) {BY} + lag(x, 2) {BY}) AS a FROM ev), b AS (SELECT *, avg(a) OVER (PARTITION BY ep ORDER BY q ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS b, count(a) OVER (PARTITION BY ep ORDER BY q ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS n FROM z) SELECT ep, coalesce(min(q) FILTER (n = 8 AND a > 2 * b), -1) AS first FROM b GROUP BY ep")
+def acceleration_excess_alarm(spark, d):
+    """First step whose acceleration is over twice the mean of the eight before it."""
+    e = events(spark, d).withColumn("a", F.abs(W.difference(S, "x", 2)))
+    before = S.by.rowsBetween(-8, -1)
+    e = e.withColumn("b", F.avg("a").over(before)).withColumn("n", F.count("a").over(before))
+    return e.groupBy("ep").agg(F.coalesce(F.min(F.when((F.col("n") == 8) & (F.col("a") > 2 * F.col("b")), F.col("q"))), F.lit(-1)).alias("first"))
+
+
+@register("cold_start_guard", f"WITH {EV}, t AS (SELECT k, avg(x) AS mu, stddev_samp(x) AS sd FROM ev WHERE ep % 2 = 0 GROUP BY k), z AS (SELECT ep, q, (x - mu) / greatest(sd, 1e-9) AS z FROM ev JOIN t USING (k)), m AS (SELECT ep, q, CASE WHEN count(z) {over(4)} = 4 THEN avg(z) {over(4)} END AS m FROM z) SELECT ep, coalesce(min(q) FILTER (m > 0.8), -1) AS first FROM m GROUP BY ep")
+def cold_start_guard(spark, d):
+    """First alarm of episodes of a task without thresholds of its own: scores are standardised by prototypes of the known episodes."""
+    e = events(spark, d)
+    t = e.where("ep % 2 = 0").groupBy("k").agg(F.avg("x").alias("mu"), F.stddev_samp("x").alias("sd"))
+    z = e.join(t, "k").withColumn("z", (F.col("x") - F.col("mu")) / F.greatest("sd", F.lit(1e-9)))
+    return W.first_crossing(z.withColumn("m", W.trailing_mean(S, "z", 4)), S, "m", 0.8)
+
+
+@register("precision_cascade", f"WITH {SMOOTH}, c AS (SELECT ep, min(q) FILTER (m > 60) AS wide FROM sm GROUP BY ep), n AS (SELECT sm.ep, min(q) FILTER (x > 120 AND q >= wide AND q <= wide + 6) AS narrow FROM sm JOIN c USING (ep) GROUP BY sm.ep) SELECT ep, coalesce(wide, -1) AS wide_first, coalesce(narrow, -1) AS confirmed_first FROM c JOIN n USING (ep)")
+def precision_cascade(spark, d):
+    """A wide first stage opens a window of seven steps in which a narrow second stage must confirm."""
+    e = events(spark, d).withColumn("m", W.trailing_mean(S, "x", 4))
+    e = e.withColumn("wide", F.min(F.when(F.col("m") > 60, F.col("q"))).over(Window.partitionBy("ep")))
+    confirmed = (F.col("x") > 120) & F.col("q").between(F.col("wide"), F.col("wide") + 6)
+    return e.groupBy("ep").agg(F.coalesce(F.min("wide"), F.lit(-1)).alias("wide_first"), F.coalesce(F.min(F.when(confirmed, F.col("q"))), F.lit(-1)).alias("confirmed_first"))
+
+
 @register("self_reference_ratio", f"WITH {EV}, b AS (SELECT ep, median(x) FILTER (q < 6) AS b FROM ev GROUP BY ep), r AS (SELECT ep, q, avg(x) {over(3)} / greatest(b, 1e-9) AS r FROM ev JOIN b USING (ep)) SELECT ep, coalesce(min(q) FILTER (q >= 6 AND r < 0.4), -1) AS collapse FROM r GROUP BY ep")
 def self_reference_ratio(spark, d):
     e = events(spark, d)

@@ -50,7 +50,7 @@ def hsmm_filter(spark, d):
     names = ["click", "error", "purchase", "signup", "view"]
     leave = np.vstack([np.linspace(0.1, 0.6, 12), np.linspace(0.4, 0.9, 12)])
     f = M.duration_filter(events(spark, d), "ep", "q", "k", names, [[0, 1], [1, 0]], [[0.3, 0.05, 0.15, 0.1, 0.4], [0.1, 0.6, 0.1, 0.1, 0.1]], leave)
-    return f.select("ep", "state", r6("age", "age"), r6("evidence", "evidence"))
+    return f.select("ep", "state", r6("age", "age"), r6("evidence", "evidence"), "forecast")
 
 
 @register("compressed_length")

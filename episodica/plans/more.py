@@ -13,31 +13,29 @@ from ..operators import stats as A
 from ..operators import windows as W
 from .common import BY, EV, S, embeddings, events, r6, s6, table
 from .stats import lcg_sql
-from .vectors import EM, GR, PATH, _group, _path, dist, zsum
+from .vectors import EM, GR, PATH, _group, _path, _site_pairs, dist, zsum
 
 # ---- groups of vectors -------------------------------------------------------------------------------------------
 
 
-@register("pairwise_rms", f"WITH {GR}, z AS (SELECT a.label, a.v, b.v AS u FROM t a JOIN t b ON a.label = b.label AND a.r < b.r) SELECT label, {s6('sqrt(avg(' + zsum('v', 'u', '(x - y) * (x - y)') + '))', 'rms')} FROM z GROUP BY label")
+@register("pairwise_rms", f"WITH {GR}, z AS (SELECT a.label, a.v, b.v AS u FROM t a JOIN t b ON a.label = b.label AND a.site = b.site AND a.r < b.r) SELECT label, {s6('sqrt(avg(' + zsum('v', 'u', '(x - y) * (x - y)') + '))', 'rms')} FROM z GROUP BY label")
 def pairwise_rms(spark, d):
-    g = _group(spark, d)
-    a, b = g.select("label", "r", "v"), g.select("label", F.col("r").alias("r2"), F.col("v").alias("u"))
-    return a.join(b, "label").where("r < r2").groupBy("label").agg(r6(F.sqrt(F.avg(F.pow(V.euclidean("v", "u"), F.lit(2)))), "rms"))
+    return _site_pairs(_group(spark, d), "v").groupBy("label").agg(r6(F.sqrt(F.avg(F.pow(V.euclidean("v", "v2"), F.lit(2)))), "rms"))
 
 
 @register("leave_one_out_distance", f"WITH {GR}, x AS (SELECT label, vec_id, unnest(v) AS v, unnest(range(64)) AS i FROM t), c AS (SELECT label, vec_id, v - (sum(v) OVER (PARTITION BY label, i) - v) / (count(*) OVER (PARTITION BY label, i) - 1) AS e FROM x) SELECT vec_id, {s6('sqrt(sum(e * e))', 'distance')} FROM c GROUP BY vec_id")
 def leave_one_out_distance(spark, d):
-    x = _group(spark, d).select("label", "vec_id", F.posexplode("v").alias("i", "v"))
-    w = Window.partitionBy("label", "i")
-    e = F.col("v") - (F.sum("v").over(w) - F.col("v")) / (F.count("*").over(w) - 1)
-    return x.withColumn("e", e).groupBy("vec_id").agg(r6(F.sqrt(F.sum(F.col("e") * F.col("e"))), "distance"))
+    """Distance to the mean of the label's other members, from one sum for each label and place."""
+    e = embeddings(spark, d).select("vec_id", "label", "v")
+    sums = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+    sums = sums.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda t: t["x"]).alias("s"), F.max("n").alias("n"))  # one entry for each place
+    gap = F.zip_with("v", "s", lambda v, s: v - (s - v) / (F.col("n") - 1))
+    return e.join(sums, "label").select("vec_id", r6(V.norm(gap), "distance"))
 
 
-@register("layer_disagreement", f"WITH {GR}, z AS (SELECT a.label, a.p, b.p AS q FROM t a JOIN t b ON a.label = b.label AND a.r < b.r AND b.r <= 4) SELECT label, count(*) AS pairs, {s6('avg(sqrt(least(greatest(1 - ' + zsum('p', 'q', 'sqrt(x * y)') + ', 0), 1)))', 'disagreement')} FROM z GROUP BY label")
+@register("layer_disagreement", f"WITH {GR}, z AS (SELECT a.label, a.p, b.p AS q FROM t a JOIN t b ON a.label = b.label AND (a.r - 1) // 4 = (b.r - 1) // 4 AND a.r < b.r) SELECT label, count(*) AS pairs, {s6('avg(sqrt(least(greatest(1 - ' + zsum('p', 'q', 'sqrt(x * y)') + ', 0), 1)))', 'disagreement')} FROM z GROUP BY label")
 def layer_disagreement(spark, d):
-    g = _group(spark, d).where("r <= 4")
-    a, b = g.select("label", "r", "p"), g.select("label", F.col("r").alias("r2"), F.col("p").alias("q"))
-    return a.join(b, "label").where("r < r2").groupBy("label").agg(F.count("*").alias("pairs"), r6(F.avg(V.hellinger("p", "q")), "disagreement"))
+    return _site_pairs(_group(spark, d, 4), "p").groupBy("label").agg(F.count("*").alias("pairs"), r6(F.avg(V.hellinger("p", "p2")), "disagreement"))
 
 
 @register("random_sign_sketch", f"WITH {EM} SELECT vec_id, {s6('list_sum(list_transform(list_zip(v, range(64)), lambda t: t[1] * (1 - 2 * (CAST(floor((t[2] * 69621 + 11) / 16.0) AS BIGINT) % 2)))) / 8', 'y')} FROM em")

@@ -110,12 +110,9 @@ def fallback_statistics(spark, d):
     return J.with_fallback(events(spark, d), "x", ["ep"], ["k"], 8, F.avg).select("k", "ep", "level", r6("stat", "stat"))
 
 
-@register("knn_join", f"WITH {EV}, a AS (SELECT ep, q, x FROM ev WHERE q = 5), z AS (SELECT a.ep, b.ep AS other, row_number() OVER (PARTITION BY a.ep ORDER BY abs(a.x - b.x), b.ep) AS r FROM a JOIN a b ON a.ep <> b.ep AND a.ep % 3 = b.ep % 3) SELECT ep, other, r AS rank FROM z WHERE r <= 3")
+@register("knn_join", f"WITH {EV}, z AS (SELECT a.ep, a.q, b.ep AS other, row_number() OVER (PARTITION BY a.ep, a.q ORDER BY abs(a.x - b.x), b.ep) AS r FROM ev a JOIN ev b ON a.q = b.q AND a.ep <> b.ep AND a.ep % 3 = b.ep % 3) SELECT ep, q, other, r AS rank FROM z WHERE r <= 3")
 def knn_join(spark, d):
-    a = events(spark, d).where("q = 5").select("ep", "x", (F.col("ep") % 3).alias("g"))
-    b = a.select("g", F.col("ep").alias("other"), F.col("x").alias("x2"))
-    near = J.nearest(a, b, ["g"], F.when(F.col("ep") != F.col("other"), F.abs(F.col("x") - F.col("x2"))).otherwise(F.lit(float("inf"))), 3, "other")
-    return near.where("distance < double('infinity')").select("ep", "other", F.col("rank").cast("long").alias("rank"))
+    return J.nearest_in_order(events(spark, d).withColumn("g", F.col("ep") % 3), ["g", "q"], "ep", "x", 3).select("ep", "q", "other", "rank")
 
 
 @register("same_seed_replay", "SELECT a.o_custkey AS k, count(*) AS pairs, round(max(abs(a.o_totalprice - b.o_totalprice)) + 1e-9, 6) + 0.0 AS widest FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderstatus = 'F' AND b.o_orderstatus = 'O' GROUP BY a.o_custkey")

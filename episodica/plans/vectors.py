@@ -26,6 +26,12 @@ def pair(name: str, column, sql: str) -> None:
     register(name, f"WITH {EM2} SELECT vec_id, {s6(sql, 'y')} FROM pr")(lambda spark, d: pairs(spark, d).select("vec_id", r6(column(), "y")))
 
 
+def rounded(name: str, column, sql: str) -> None:
+    """A query of one array for each embedding, its entries rounded."""
+    want = f"list_transform({sql}, lambda t: round(t + 1e-9, 6) + 0.0)"
+    register(name, f"WITH {EM} SELECT vec_id, {want} AS y FROM em")(lambda spark, d: embeddings(spark, d).select("vec_id", F.transform(column(), lambda t: F.round(t + F.lit(1e-9), 6) + F.lit(0.0)).alias("y")))
+
+
 def single(name: str, column, sql: str, cte: str = EM) -> None:
     src = "em" if cte == EM else "es"
     register(name, f"WITH {cte} SELECT vec_id, {s6(sql, 'y')} FROM {src}")(lambda spark, d: embeddings(spark, d).select("vec_id", r6(column(), "y")))
@@ -57,16 +63,16 @@ single("support_boundary", lambda: V.support_boundary("p", "ids"), f"{DESC}[4] -
 single("vector_norm", lambda: V.norm("v"), "sqrt(list_sum(list_transform(v, lambda t: t * t)))")
 single("square_root_embedding_norm", lambda: V.norm(V.rooted("p")), "sqrt(list_sum(list_transform(p, lambda t: sqrt(t) * sqrt(t))))")
 single("strict_normalisation", lambda: V.total(V.strict_normalised(F.transform("v", F.abs), 64)), "list_sum(p)")
-single("topk_weight_renormalisation", lambda: F.element_at(V.weights_of("w"), 1), f"{DESC}[1] / list_sum({DESC}[1:4])")
+rounded("topk_weight_renormalisation", lambda: V.weights_of("w"), f"list_transform({DESC}[1:4], lambda t: t / list_sum({DESC}[1:4]))")
 single("dense_support_mass", lambda: V.total(V.densified("ids", "w", 64)), f"list_sum({DESC}[1:4])")
 single("linear_position_slope", lambda: V.slope("v"), "(SELECT regr_slope(y, CAST(i AS DOUBLE)) FROM (SELECT unnest(v) AS y, unnest(range(64)) AS i))")
 COM = "list_sum(list_transform(list_zip(p, range(64)), lambda t: t[1] * (t[2] + 0.5)))"
 single("flow_centre_of_mass", lambda: V.centre_of_mass("p"), f"{COM} / greatest(list_sum(p), 1e-12)")
-single("path_resampling", lambda: F.element_at(V.resampled("v", 10), 4), "v[22]")
+rounded("path_resampling", lambda: V.resampled("v", 10), "list_transform(range(10), lambda i: v[1 + 7 * i])")
 QS = "list_sum(list_transform(p, lambda s: power(round(sqrt(s) * 15) / 15, 2)))"
 single("quantised_probability", lambda: F.array_max(V.quantised("p", 4)), f"CASE WHEN {QS} > 0 THEN power(round(sqrt(list_max(p)) * 15) / 15, 2) / {QS} ELSE 1.0 / 64 END")
-SK = "list_sum(list_transform(list_zip(v, range(64)), lambda t: CASE WHEN (t[2] * 48271 + 7) % 8 = 3 THEN t[1] * (1 - 2 * (CAST(floor((t[2] * 69621 + 7) / 16.0) AS BIGINT) % 2)) ELSE 0 END))"
-single("count_sketch", lambda: F.element_at(V.count_sketch("v", 8), 4), SK)
+SK = "list_sum(list_transform(list_zip(v, range(64)), lambda t: CASE WHEN (t[2] * 48271 + 7) % 8 = b THEN t[1] * (1 - 2 * (CAST(floor((t[2] * 69621 + 7) / 16.0) AS BIGINT) % 2)) ELSE 0 END))"
+rounded("count_sketch", lambda: V.count_sketch("v", 8), f"list_transform(range(8), lambda b: {SK})")
 
 
 @register("expert_relabelling", f"WITH {EM2} SELECT vec_id, list_transform(ids, lambda i: CAST((i * 5 + 3) % 64 AS INTEGER)) AS ids FROM es")
@@ -106,33 +112,37 @@ def expert_mutual_information(spark, d):
     return h.join(o, "label").select("label", r6(F.col("h") - F.col("o"), "mi"))
 
 
-GR = f"{EM}, g AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM em), t AS (SELECT * FROM g WHERE r <= 12)"
+GR = f"{EM}, g AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM em), t AS (SELECT *, (r - 1) // 12 AS site FROM g)"
+
 
+def _group(spark, d, size: int = 12):
+    """All embeddings of a label in order of id, dealt over sites of a few members, as the tokens of a site are."""
+    e = embeddings(spark, d).withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")))
+    return e.withColumn("site", F.floor((F.col("r") - 1) / size))
 
-def _group(spark, d):
-    return embeddings(spark, d).withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where("r <= 12")
+
+def _site_pairs(g, *cols: str):
+    """Pairs of the members of each site; the second member's columns have a 2 at their end."""
+    b = g.select("label", "site", F.col("r").alias("r2"), *[F.col(c).alias(c + "2") for c in cols])
+    return g.select("label", "site", "r", *cols).join(b, ["label", "site"]).where("r < r2")
 
 
 @register(
     "token_consensus",
-    f"""WITH {GR}, z AS (SELECT a.label, a.p, b.p AS q FROM t a JOIN t b ON a.label = b.label AND a.r < b.r)
+    f"""WITH {GR}, z AS (SELECT a.label, a.p, b.p AS q FROM t a JOIN t b ON a.label = b.label AND a.site = b.site AND a.r < b.r)
     SELECT label, {s6(f'avg({zsum("p", "q", "least(x, y)")} / greatest({zsum("p", "q", "greatest(x, y)")}, 1e-12))', 'consensus')}, {s6(f'avg(sqrt(least(greatest(1 - {BC}, 0), 1)))', 'dispersion')} FROM z GROUP BY label""",
 )
 def token_consensus(spark, d):
-    """Mean over all pairs of a small group (12 members, as tokens of a site are bounded)."""
-    g = _group(spark, d)
-    a, b = g.select("label", "r", "p"), g.select("label", F.col("r").alias("r2"), F.col("p").alias("q"))
-    return a.join(b, "label").where("r < r2").groupBy("label").agg(r6(F.avg(V.weighted_jaccard("p", "q")), "consensus"), r6(F.avg(V.hellinger("p", "q")), "dispersion"))
+    """Mean over all pairs of members of a site, over all sites of a label."""
+    return _site_pairs(_group(spark, d), "p").groupBy("label").agg(r6(F.avg(V.weighted_jaccard("p", "p2")), "consensus"), r6(F.avg(V.hellinger("p", "p2")), "dispersion"))
 
 
 @register(
     "pairwise_median_distance",
-    f"WITH {GR}, z AS (SELECT a.label, a.v, b.v AS u FROM t a JOIN t b ON a.label = b.label AND a.r < b.r) SELECT label, {s6('median(sqrt(' + zsum('v', 'u', '(x - y) * (x - y)') + '))', 'median_distance')} FROM z GROUP BY label",
+    f"WITH {GR}, z AS (SELECT a.label, a.v, b.v AS u FROM t a JOIN t b ON a.label = b.label AND a.site = b.site AND a.r < b.r) SELECT label, {s6('median(sqrt(' + zsum('v', 'u', '(x - y) * (x - y)') + '))', 'median_distance')} FROM z GROUP BY label",
 )
 def pairwise_median_distance(spark, d):
-    g = _group(spark, d)
-    a, b = g.select("label", "r", "v"), g.select("label", F.col("r").alias("r2"), F.col("v").alias("u"))
-    return a.join(b, "label").where("r < r2").groupBy("label").agg(r6(F.median(V.euclidean("v", "u")), "median_distance"))
+    return _site_pairs(_group(spark, d), "v").groupBy("label").agg(r6(F.median(V.euclidean("v", "v2")), "median_distance"))
 
 
 @register(

@@ -39,7 +39,6 @@ simple("past_any", lambda: W.past_any(S, F.expr("x > 100"), 5), f"coalesce(max(C
 simple("consecutive_above", lambda: W.all_of_last(S, F.expr("x > 20"), 3), f"count(x) {over(3)} = 3 AND min(CAST(x > 20 AS INTEGER)) {over(3)} = 1", places=False)
 simple("multiscale_scan", lambda: W.multiscale_scan(S, X), "greatest(" + ", ".join(f"sum(x) {over(w)} / sqrt(count(x) {over(w)})" for w in (1, 2, 4, 8)) + ")")
 simple("trailing_slope", lambda: W.trailing_slope(S, X, 6), f"CASE WHEN count(x) {over(6)} > 1 THEN regr_slope(x, CAST(q AS DOUBLE)) {over(6)} END")
-simple("ema_momentum", lambda: W.ema_momentum(S, X, 0.6, 4), "0.4 * (" + " + ".join(f"coalesce(({lag(k) if k else 'x'}) - {lag(k + 1)}, 0) * {0.6**k!r}" for k in range(4)) + ")")
 simple("adjacent_min", lambda: W.adjacent_min(S, X), f"CASE WHEN {lag(1)} IS NOT NULL THEN least(x, {lag(1)}) END")
 simple("complete_mean", lambda: W.complete_mean(X, F.lag("x", 1).over(S.by), F.lag("x", 2).over(S.by)), f"(x + {lag(1)} + {lag(2)}) / 3")
 simple("max_with_fallback", lambda: W.max_with_fallback(X, F.lag("x", 2).over(S.by)), f"greatest(x, coalesce({lag(2)}, x))")
@@ -89,7 +88,12 @@ def cusum(spark, d):
 
 @register("ewma", f"WITH {EV} SELECT a.ep, a.q, {s6('sum(CASE WHEN b.q = 0 THEN power(0.6, a.q) ELSE 0.4 * power(0.6, a.q - b.q) END * b.x)', 'y')} FROM ev a JOIN ev b ON a.ep = b.ep AND b.q <= a.q GROUP BY a.ep, a.q")
 def ewma(spark, d):
-    return events(spark, d).select("ep", "q", r6(W.ewma(S, "x", 0.4), "y"))
+    return W.ewma(events(spark, d), S, "x", 0.4, "y").select("ep", "q", r6("y", "y"))
+
+
+@register("ema_momentum", f"WITH {EV}, z AS (SELECT ep, q, coalesce(x - {lag(1)}, 0) AS v FROM ev) SELECT a.ep, a.q, {s6('sum(0.4 * power(0.6, a.q - b.q) * b.v)', 'y')} FROM z a JOIN z b ON a.ep = b.ep AND b.q <= a.q GROUP BY a.ep, a.q")
+def ema_momentum(spark, d):
+    return W.ema_momentum(events(spark, d), S, "x", 0.6, "y").select("ep", "q", r6("y", "y"))
 
 
 @register("window_signature", f"WITH {EV} SELECT ep, q, {s6('x', 'now')}, {s6('avg(x) ' + over(5), 'mean')}, {s6('CASE WHEN q > 0 THEN regr_slope(x, CAST(q AS DOUBLE)) ' + over(5) + ' END', 'slope')} FROM ev")
