@@ -45,6 +45,8 @@ SUSPECT = re.compile(r"[0-9@$!|+(€£.\-_*~']|(.)\1\1")
 #: Costs (natural log) of a substitution, a dropped separator (or space between lone letters), a dropped repeat and any other dropped space.
 COST_LEET, COST_DROP, COST_REPEAT, COST_SPACE = -1.5, -1.0, -0.7, -3.0
 ALPHABET = "\0abcdefghijklmnopqrstuvwxyzàâäáãçéèêëíìîïñóòôöõúùûüßœæ"
+KNOWN = frozenset(ALPHABET[1:])
+DOUBLED, TRIPLED = re.compile(r"(.)\1"), re.compile(r"(.)\1\1")
 CODE = {c: i for i, c in enumerate(ALPHABET)}
 SIZE = len(ALPHABET) + 1  # the last is any other letter
 _MAP = np.zeros(0x250, np.int64)
@@ -86,32 +88,50 @@ class CharModel:
         p3 = (c3 + 5 * p2[None]) / (c3.sum(2, keepdims=True) + 5)
         self.table = np.log(p3)
         self.log = self.table.tolist()
+        self.options: dict = {}  # of the characters met
+
+    def readings_of(self, ch: str) -> tuple[list, float | None, float | None]:
+        """What a character may stand for, as (letter, cost, code), and the cost of dropping it inside a token and at its edges."""
+        options = [(ch, 0.0 if ch.isalpha() or ch in " \n" else -6.0), *((x, COST_LEET) for x in LEET.get(ch, ""))]
+        edge = COST_SPACE if ch == "\n" else None if ch.isalnum() else -8.0
+        inside = COST_DROP if ch in SEPARATORS or ch == " " else edge
+        return [(x, cost, 0 if x in " \n" else CODE.get(x, SIZE - 1)) for x, cost in options], inside, edge
 
     def restore(self, token: str) -> str:
         """Likeliest word behind a token, by Viterbi over its character lattice."""
-        code, log = CODE, self.log
+        log, options_of, last = self.log, self.options, len(token) - 1
         # state: (last letter but one, last letter); value: (log probability, (text before, last letter))
         states: dict = {(0, 0): (0.0, None)}
         for i, ch in enumerate(token):
-            options = [(ch, 0.0)] if ch.isalpha() else [(ch, 0.0 if ch in " \n" else -6.0)]
-            options += [(x, COST_LEET) for x in LEET.get(ch, "")]
-            drop = COST_SPACE if ch == "\n" else COST_DROP if (ch in SEPARATORS or ch == " ") and 0 < i < len(token) - 1 else -8.0 if not ch.isalnum() else None
+            found = options_of.get(ch)
+            if found is None:
+                found = options_of[ch] = self.readings_of(ch)
+            options, inside, edge = found
+            drop = inside if 0 < i < last else edge
+            if len(states) == 1 and len(options) == 1 and drop is None:  # a letter in one context
+                [((a, b), (score, text))] = states.items()
+                if not text or text[1] != ch:
+                    [(x, cost, k)] = options
+                    states = {(b, k): (score + cost + log[a][b][k], (text, x))}
+                    continue
             after: dict = {}
             for (a, b), (score, text) in states.items():
-                for x, cost in options:
-                    k = 0 if x in " \n" else code.get(x, SIZE - 1)
-                    s = score + cost + log[a][b][k]
-                    if (b, k) not in after or after[b, k][0] < s:
+                row = log[a][b]
+                for x, cost, k in options:
+                    s = score + cost + row[k]
+                    held = after.get((b, k))
+                    if held is None or held[0] < s:
                         after[b, k] = (s, (text, x))
                 # nothing: a separator, or the letter before once more
-                none = drop if drop is not None else None
+                none = drop
                 if text and i and text[1] == ch:
                     none = COST_REPEAT
                 elif text and ch in LEET and text[1] in LEET[ch]:
                     none = COST_LEET + COST_REPEAT
                 if none is not None:
                     s = score + none
-                    if (a, b) not in after or after[a, b][0] < s:
+                    held = after.get((a, b))
+                    if held is None or held[0] < s:
                         after[a, b] = (s, text)
             states = after
         text, out = max(states.items(), key=lambda kv: kv[1][0] + self.log[kv[0][0]][kv[0][1]][0])[1][1], []
@@ -162,19 +182,44 @@ def open_spans(text: str, model: CharModel) -> set[str]:
     return {s for s in found if any(map(str.isalpha, s))}
 
 
+def joined(span: str) -> str | None:
+    """What a span restores to if its one open space is all that is open in it: two words of two letters or more, none of them doubled.
+
+    The letters on either side decide such a space, and they made it open; so the letters come out joined. None for any
+    other span.
+    """
+    a, mark, b = span.strip(EDGE).partition("\n")
+    both = a + b
+    if not mark or len(a) < 2 or len(b) < 2 or "\n" in b or not both.isalpha() or not KNOWN.issuperset(both) or DOUBLED.search(both):
+        return None
+    return both
+
+
 def words_of_span(span: str, model: CharModel) -> set[str]:
     """Restored words of tokens with open white space, with and without the marks around them."""
+    if (whole := joined(span)) is not None:
+        return {whole}
     found: set[str] = set()
-    for s in {span, span.rstrip(".,;:?!\"')]}>").lstrip("\"'([{<")}:
+    for s in inner_forms(span):
         found.update(w.strip(EDGE) for w in model.restore(s).split())
     return found
 
 
+def inner_forms(token: str) -> tuple[str, ...]:
+    """The token without the marks around it, and with those of them that may stand for a letter."""
+    inner = token.rstrip(".,;:?\"')]}>").lstrip("\"'([{<")
+    core = inner.strip(EDGE)
+    if core == inner:
+        return (core,)
+    before, _, after = inner.partition(core) if core else (inner, "", "")
+    return (core, inner) if any(map(LEET.__contains__, before + after)) else (core,)
+
+
 def readings(token: str, model: CharModel) -> set[str]:
     """The token's plain reading, and its restored one if its lattice has more than one path."""
     core = token.strip(EDGE)
     found = {core} if core else set()
-    for t in {core, token.rstrip(".,;:?\"')]}>").lstrip("\"'([{<")}:
+    for t in inner_forms(token):
         if len(t) > 1 and SUSPECT.search(t) and any(map(str.isalpha, t)):
             found.add(model.restore(t))
     return found
@@ -182,8 +227,12 @@ def readings(token: str, model: CharModel) -> set[str]:
 
 def features(token: str, model: CharModel) -> set[str]:
     """Words (with = before them) and word beginnings of three to eight letters, of a token or a span of them."""
+    return features_of(words_of_span(token, model) if " " in token or "\n" in token else readings(token, model))
+
+
+def features_of(words) -> set[str]:
     out = set()
-    for w in words_of_span(token, model) if " " in token or "\n" in token else readings(token, model):
+    for w in words:
         if len(w) > 1:
             out.add("=" + w)
             out.update(w[:k] for k in range(3, min(8, len(w)) + 1))
@@ -231,19 +280,26 @@ class Scorer:
         self.model, self.weights, self.bias = CharModel(counts), weights, bias
         self.index = {f: i for i, f in enumerate(weights)}
         self.values = list(weights.values())
+        self.stems = {f.removeprefix("=")[:3] for f in weights}  # what a word must begin with to have any feature
         self.cache: dict[str, tuple[int, ...]] = {}
 
     def present(self, text: str | None) -> set[int]:
         found: set[int] = set()
         if not text:
             return found
-        cache, index = self.cache, self.index
+        cache, index, stems = self.cache, self.index, self.stems
         if len(cache) > 400_000:
             cache.clear()
         for t in {*tokens(text), *open_spans(text, self.model)}:
             hit = cache.get(t)
             if hit is None:
-                hit = cache[t] = tuple([index[f] for f in features(t, self.model) if f in index])
+                core = t if t.isalpha() else t[:-1] if t[-1] in ".,;:?" and t[:-1].isalpha() else None
+                if core and core[:3] not in stems and not TRIPLED.search(core):
+                    cache[t] = ()  # a plain word, its own reading
+                    continue
+                words = words_of_span(t, self.model) if " " in t or "\n" in t else readings(t, self.model)
+                some = [w for w in words if w[:3] in stems]
+                hit = cache[t] = tuple([index[f] for f in features_of(some) if f in index]) if some else ()
             if hit:
                 found.update(hit)
         return found
