@@ -34,7 +34,7 @@ from .common import replaced, small_batches, table, with_length, with_rid, writt
 
 LENGTH, GRAM = 200, 40
 #: Text that a task gathers before it collapses equal blocks; bytes put in suffix order at once.
-CHUNK_BYTES, ORDER_BYTES = 24 << 20, 4 << 20
+CHUNK_BYTES, ORDER_BYTES = 24 << 20, 2 << 20
 #: Differing blocks of one fingerprint from which it is split, and window starts of such a split.
 HOT_BLOCKS, HOT_STARTS = 512, 8
 #: Contexts of a split key above which its windows are told apart one by one.
