@@ -33,7 +33,7 @@ END = "</w>"
 ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
 UNICODE_SPACE = regex.compile(r"[\x09-\x0d\x20\x85\xa0  -     　]+")
 #: Entries of each of the two generations of a worker's caches: encoded chunks (with their decoding, fewer) and words.
-CACHE_CHUNKS, CACHE_DECODED, CACHE_WORDS = 200_000, 150_000, 150_000
+CACHE_CHUNKS, CACHE_DECODED, CACHE_WORDS = 400_000, 200_000, 250_000
 
 
 def byte_letters() -> dict[int, str]:
