@@ -558,3 +558,119 @@ def test_pipeline_is_its_stages(spark, tmp_path):
         text = want[i].decode(errors="ignore")
         if not base_spans(text) and want[i].decode(errors="replace") == text:
             assert ids == [*lib.encode(text, add_special_tokens=False).ids, 0]
+
+
+# ---- the registered queries, with null ids and repeated rows
+
+
+@pytest.fixture(scope="module")
+def folder(spark, rows, tmp_path_factory):
+    """Tables in which some rows have no id and some come twice, and the (id, text) rows of documents."""
+    path = tmp_path_factory.mktemp("sf")
+    some = [*rows, rows[9], rows[14], (None, rows[9][1]), (None, "no id here " * 60), (None, None)]
+    frame(spark, some).write.parquet(str(path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i % 2)) for i, _ in rows[::2]] + [(rows[0][0], 1, 1), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(path / "labels.parquet"))
+    spark.createDataFrame([(k, f"http://h/{k}", t) for k, t in some if k is not None], "page_id long, url string, html string").write.parquet(str(path / "pages.parquet"))
+    return str(path), some
+
+
+def sha(data):
+    return hashlib.sha256(data).hexdigest()
+
+
+def answers(spark, folder, name, *columns):
+    from episodica.llm.queries import QUERIES
+
+    return Counter(tuple(r[c] for c in columns) for r in QUERIES[name](spark, folder[0]).collect())
+
+
+def test_query_of_scores(spark, folder):
+    got = answers(spark, folder, "op1_toxicity", "doc_id", "held_out")
+    assert got == Counter((i, zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 0) for i, _ in folder[1])
+    for _, score, predicted in answers(spark, folder, "op1_toxicity", "doc_id", "score", "predicted"):
+        assert 0 <= score <= 1 and predicted == int(score >= 0.5)
+
+
+def test_query_of_pieces(spark, folder):
+    lib, want = Tokenizer.from_file(bpe.vocabulary()), Counter()
+    for i, t in folder[1]:
+        ids = [*lib.encode(t or "", add_special_tokens=False).ids, 0]
+        for k in range(0, len(ids), 2048):
+            part = ids[k : k + 2048]
+            want[i, k // 2048, k, len(part), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in part))] += 1
+    assert answers(spark, folder, "op2_packing", "doc_id", "piece", "start", "length", "ids_crc32") == want
+    bins = defaultdict(list)
+    for (s, o, n), times in answers(spark, folder, "op2_packing", "sequence_id", "offset", "length").items():
+        bins[s] += [(o, n)] * times
+    for b in bins.values():
+        b.sort()
+        assert [o for o, _ in b] == [sum(n for _, n in b[:k]) for k in range(len(b))] and sum(n for _, n in b) <= 2048
+
+
+def test_query_of_personal_data(spark, folder):
+    want = Counter()
+    for i, t in folder[1]:
+        b = base_spans(t or "")
+        want[(i, *(b.count(f"{k}:") for k in pii.KINDS), sha(b.encode()))] += 1
+    assert answers(spark, folder, "op3_pii", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256") == want
+
+
+def test_query_of_components_and_repeats(spark, folder):
+    some = folder[1]
+    s = sets_of(list(enumerate(t for _, t in some)), 4)
+    near = {k: {j for j in s if s[j] and s[k] and 100 * len(s[j] & s[k]) >= 85 * len(s[j] | s[k])} | {k} for k in s}
+    want = Counter()
+    for k, (i, _) in enumerate(some):
+        reach, open_ = {k}, [k]
+        while open_:
+            more = near[open_.pop()] - reach
+            reach |= more
+            open_ += more
+        ids = [some[j][0] for j in reach if some[j][0] is not None]
+        want[i, len(s[k]), (min(ids) if ids else None) if s[k] else i] += 1
+    assert answers(spark, folder, "op5_jaccard", "doc_id", "n_shingles", "component_id") == want
+    kept = brute_repeats(list(enumerate(t for _, t in some)), 200, "none")
+    want = Counter((i, len((t or "").encode()), len((t or "").encode()) - len(kept[k]), sha(kept[k])) for k, (i, t) in enumerate(some))
+    assert answers(spark, folder, "op8_suffix", "doc_id", "n_bytes", "n_removed", "kept_sha256") == want
+
+
+def test_queries_of_digests_and_encodings(spark, folder):
+    lib, some = Tokenizer.from_file(bpe.vocabulary()), folder[1]
+    got = answers(spark, folder, "op6_digest", "doc_id", "n_chars", "fingerprint")
+    assert got == Counter((i, len(t or ""), digest.fingerprint(t)) for i, t in some)
+    want = Counter()
+    for i, t in some:
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        want[i, len(ids), sha(b"".join(x.to_bytes(4, "little") for x in ids)), sha(lib.decode(ids, skip_special_tokens=False).encode())] += 1
+    assert answers(spark, folder, "op7_bpe", "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
+
+
+def test_queries_of_language_model_quality_and_archives(spark, folder):
+    some = folder[1]
+    got = answers(spark, folder, "op9_lattice", "doc_id", "held_out", "n_tokens")
+    assert got == Counter((i, zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2, len((t or "").encode().split()) + 1) for i, t in some)
+    got = answers(spark, folder, "op10_quality", "doc_id", "n_words", "base_failed", "kept")
+    assert got == Counter((i, *(quality.measure(t)[k] for k in (0, 5, 6))) for i, t in some)
+    pages = [(i, t or "") for i, t in some if i is not None]
+    first = {t: min(i for i, u in pages if u == t) for _, t in pages}
+    want = Counter((i, len(t.encode()), warc.digest(t.encode()), "response" if first[t] == i else "revisit", None if first[t] == i else first[t]) for i, t in pages)
+    assert answers(spark, folder, "op4_warc", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == want
+
+
+def test_scores_are_those_of_the_formula(spark):
+    """score against segmentations enumerated one by one, with the fitted weights."""
+    texts = ["ab abab", "aab", "ab ab b", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = crc_of("doc_id") < 0
+    got = {r["doc_id"]: r["score"] for r in lattice.score(df, held, lattice.vocabulary()).collect()}
+    c = Counter(w for t in texts for w in t.split())
+    counts = spark.createDataFrame([(w.encode(), k) for w, k in c.items()], "word binary, c long")
+    w = lattice.fitted(counts, lattice.file_weights(lattice.vocabulary()))
+
+    def total(s):
+        return 1.0 if not s else sum(math.exp(w[s[:k]]) * total(s[k:]) for k in range(1, len(s) + 1) if s[:k] in w)
+
+    n, v = sum(c.values()) + len(texts), len(c)
+    for i, t in enumerate(texts):
+        ps = [max(c[x] - lattice.DISCOUNT, 0) / n + lattice.DISCOUNT * v / n * total("▁" + x) for x in t.split()]
+        assert got[i] == pytest.approx(sum(map(math.log10, ps)) + math.log10(len(texts) / n))
