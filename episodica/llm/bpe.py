@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import gc
 import json
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
@@ -29,6 +30,10 @@ from .common import small_batches, table
 # The split pattern and word-end mark that the vocabulary file states.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 END = "</w>"
+#: Letters up to U+024F, then ASCII marks: one word, and one more of all the marks.
+PLAIN = re.compile(r"([a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([!-/:-@\[-`{-~]*)")
+#: Stands before a word's first token; no vocabulary has so many.
+START = (1 << 20) - 1
 #: Control characters that str.split takes for white space and the vocabulary's normalizer does not.
 ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
 UNICODE_SPACE = regex.compile(r"[\x09-\x0d\x20\x85\xa0  -     　]+")
@@ -99,12 +104,12 @@ class WordBpe:
         return False
 
     def adjacent(self, a: int, b: int) -> bool:
-        """Do a and b stay apart when they stand side by side?"""
+        """Do a and b stay apart when they stand side by side? After START, does b stay whole?"""
         found = self._pairs.get(a << 20 | b)
         if found is None:
             if len(self._pairs) > 500_000:
                 self._pairs.clear()
-            found = self._pairs[a << 20 | b] = self.survives(b) and not self.clash(a, b, float("inf"))
+            found = self._pairs[a << 20 | b] = self.survives(b) and (a == START or not self.clash(a, b, float("inf")))
         return found
 
     def survives(self, token: int) -> bool:
@@ -125,33 +130,30 @@ class WordBpe:
         Each node finds the last token of its prefix from those of the prefixes before it: of the suffixes that are
         tokens exactly one stays beside what comes before. The last token grown by the new letter is tried first.
         """
-        get, known, adjacent, survives, longest = self.vocab.get, self._pairs.get, self.adjacent, self.survives, self.longest
-        before, state, size = "", [0], [0]  # of each prefix length of the last word: last token, its letters
+        get, known, adjacent, longest = self.vocab.get, self._pairs.get, self.adjacent, self.longest
+        before, state, size = "", [START], [0]  # of each prefix length of the last word: last token, its letters
         for word in sorted(words):
-            shared, most, whole = 0, min(len(before), len(word) - 1, len(state) - 1), len(word)
+            shared, whole = 0, len(word)
+            most = min(len(before), whole - 1, len(state) - 1)
             while shared < most and before[shared] == word[shared]:
                 shared += 1
             del state[shared + 1 :], size[shared + 1 :]
-            for end in range(shared + 1, whole + 1):
-                tail = END if end == whole else ""
-                grown = size[end - 1] + 1
-                n, step = grown, 0
+            grown, last = size[shared] + 1, whole - 1
+            for at in range(shared, whole):
+                end, n, step = at + 1, grown, 0
                 while True:
-                    t = get(word[end - n : end] + tail) if tail else get(word[end - n : end])
+                    t = get(word[end - n : end]) if at < last else get(word[end - n :] + END)
                     if t is not None:
-                        if n == end:
-                            if survives(t):
-                                break
-                        else:
-                            fits = known(state[end - n] << 20 | t)
-                            if fits or fits is None and adjacent(state[end - n], t):
-                                break
+                        fits = known(state[end - n] << 20 | t)
+                        if fits or fits is None and adjacent(state[end - n], t):
+                            break
                     step += 1
                     n = step if step < grown else step + 1
                     if n > end or n > longest:
                         raise ValueError(f"a letter of {word!r} is not in the vocabulary")
                 state.append(t)
                 size.append(n)
+                grown = n + 1
             ids, at = [], whole
             while at:
                 ids.append(state[at])
@@ -186,19 +188,20 @@ class WordBpe:
 
     def parts(self, chunk: str) -> list[str]:
         """The words of a chunk, in the byte-level alphabet."""
-        if chunk.isascii():
-            if chunk.isalpha():
-                return [chunk]
-            if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
-                return [chunk[:-1], chunk[-1]]
+        if plain := PLAIN.fullmatch(chunk):
+            word, marks = plain.groups()
+            if not word.isascii():
+                word = "".join(map(self.letters.__getitem__, word.encode()))
+            return [word, marks] if marks else [word]
         return ["".join(map(self.letters.__getitem__, p.encode())) for p in SPLIT.findall(chunk)]
 
     def learn(self, chunks: set[str]) -> None:
         """Encode chunks that no generation of the cache has."""
+        young, decoding, names = self.young, self.decoding, self.names
+        alone = {c for c in chunks if c.isascii() and c.isalpha()}  # their own and only word
         parts: dict[str, list[str]] = {}
-        young, decoding = self.young, self.decoding
-        for c in chunks:
-            if c.startswith("\0\0") and c[2:] in self.special:
+        for c in chunks - alone:
+            if c[0] == "\0" and c.startswith("\0\0") and c[2:] in self.special:
                 ids = array("I", [self.special[c[2:]]]).tobytes()
                 young[c] = (ids, c[2:].encode()) if decoding else ids
             else:
@@ -206,16 +209,20 @@ class WordBpe:
         if len(self.words) > CACHE_WORDS:
             self.old_words, self.words = self.words, {}
         words, old = self.words, self.old_words
-        fresh = set().union(*parts.values()).difference(words)
+        fresh = alone.union(*parts.values()).difference(words)
         for w in [w for w in fresh if w in old]:
             words[w] = old[w]
             fresh.discard(w)
         for word, found in self.encode_words(fresh):
             words[word] = array("I", found).tobytes()
-        names = self.names
+        whole = {c: words[c] for c in alone}
         for c, ps in parts.items():
-            ids = words[ps[0]] if len(ps) == 1 else b"".join([words[p] for p in ps])
-            young[c] = (ids, " ".join([names[i] for i in array("I", ids)]).encode()) if decoding else ids
+            whole[c] = words[ps[0]] if len(ps) == 1 else b"".join([words[p] for p in ps])
+        if decoding:
+            for c, ids in whole.items():
+                young[c] = ids, " ".join([names[i] for i in array("I", ids)]).encode()
+        else:
+            young.update(whole)
 
     def prepared(self, texts: list[str | None]) -> list[list[str]]:
         """The texts' chunks, all of them in the young generation of the cache."""
