@@ -200,6 +200,11 @@ def adjacent_min(s: Series, x) -> Column:
     return F.when(F.lag(_c(x)).over(s.by).isNotNull(), F.least(_c(x), F.lag(_c(x)).over(s.by)))
 
 
+def geometric_mean(a, b) -> Column:
+    """Square root of the product, clipped to 0 and 1 first."""
+    return F.sqrt(F.least(F.greatest(_c(a) * _c(b), F.when((_c(a) * _c(b)).isNotNull(), 0.0)), F.when((_c(a) * _c(b)).isNotNull(), 1.0)))
+
+
 def complete_mean(*xs) -> Column:
     """Mean of columns, NULL unless all are there."""
     return reduce(lambda a, b: a + b, map(_c, xs)) / len(xs)

@@ -168,3 +168,31 @@ def test_append_is_idempotent(spark, tmp_path):
     for _ in range(2):
         io.append_once(df, str(tmp_path / "t"), "k")
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+
+
+def test_learn_then_test_selects_within_the_risk(spark):
+    from episodica.operators import inference as I
+
+    rows = [("a", float(i), False) for i in range(200)] + [("a", 190.0 + i, True) for i in range(20)]
+    rows += [("b", float(i % 7), False) for i in range(200)] + [("b", 3.0, True)] * 20
+    df = spark.createDataFrame(rows, "channel string, peak double, event boolean")
+    got = {(r["channel"], r["quantile"]): r for r in I.learn_then_test(df, "channel", "peak", "event", (0.5, 0.95, 1.0), 0.1, 0.1).collect()}
+    assert len(got) == 6 and [k for k, r in got.items() if r["selected"]] == [("a", 0.95)]
+    r = got["a", 0.95]
+    assert (r["threshold"], r["false_alarms"], r["healthy"], r["recall"]) == (189.0, 10, 200, 1.0)
+    for r in got.values():  # accepted exactly if so few alarms would be rarer than the level at a rate of 0.1
+        k, n = r["false_alarms"], r["healthy"]
+        tail = sum(math.comb(n, i) * 0.1**i * 0.9 ** (n - i) for i in range(k + 1))
+        assert r["accepted"] == (tail <= 0.1 / 6)
+
+
+def test_rank_sum_counts_pairs(spark):
+    from episodica.operators import inference as I
+
+    rows = [(x, y) for x, y in zip([3, 1, 3, 2, 5, 3, None, 2], [1, 0, 0, 1, 1, 0, 1, 0])]
+    df = spark.createDataFrame(rows, "x int, y int")
+    [r] = I.rank_sum(df, "x", F.col("y") == 1).collect()
+    full = [(x, y) for x, y in rows if x is not None]
+    want = sum((a > b) + 0.5 * (a == b) for a, p in full if p for b, q in full if not q)
+    assert r["u"] == want
+    assert I.rank_sum(df.where("x > 9"), "x", F.col("y") == 1).count() == 0
