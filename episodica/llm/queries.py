@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, digest, jaccard, lattice, packing, pii, quality, suffix, toxicity, warc
+from . import bpe, centroids, decontam, digest, jaccard, lattice, packing, periods, pii, quality, suffix, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,8 +15,13 @@ QUERIES = {
     "op8_suffix": suffix.op8_suffix,
     "op9_lattice": lattice.op9_lattice,
     "op10_quality": quality.op10_quality,
+    "op11_periods": periods.op11_periods,
+    "op12_centroids": centroids.op12_centroids,
+    "op13_decontamination": decontam.op13_decontamination,
 }
 
 SQL: dict[str, str] = {
     "op4_warc": warc.SQL,
+    "op12_centroids": centroids.SQL,
+    "op13_decontamination": decontam.SQL,
 }
