@@ -1,3 +1,3 @@
 """Queries over the reference's own operators; importing a module registers its queries."""
 
-from . import guards, inference, models, more, stats, vectors, windows  # noqa: F401
+from . import guards, inference, learned, models, more, profiles, stats, vectors, windows  # noqa: F401
