@@ -63,6 +63,14 @@ def removed(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """name, with underscores behind it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_rid(docs: DataFrame, name: str) -> DataFrame:
     """docs, written once to the shared folder with a number for each row, so that every later scan gives the same numbers."""
     return written(docs.select("*", F.monotonically_increasing_id().alias(name)), "rows")

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import removed, small_batches, table, with_rid, written
+from .common import free_name, removed, small_batches, table, with_rid, written
 from .suffix import _BYTE, _plain, mix, powers
 
 #: Text gathered by a task before equal sets are collapsed and frequent shingles counted.
@@ -402,9 +402,10 @@ def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
 
 def representatives(docs: DataFrame, words: int = 5, percent: int = 80, text_col: str = "text") -> DataFrame:
     """One row of each component, and every row without shingles; all columns of docs."""
-    rows = with_rid(docs, "_rid")
-    found = linked_components(rows.select("_rid", text_col), words, percent, "_rid", text_col)
-    return rows.join(found.where("component_id = _rid").select("_rid"), "_rid", "left_semi").drop("_rid")
+    rid = free_name(docs.columns, "_rid")
+    rows = with_rid(docs, rid)
+    found = linked_components(rows.select(rid, text_col), words, percent, rid, text_col)
+    return rows.join(found.where(F.col("component_id") == F.col(rid)).select(rid), rid, "left_semi").drop(rid)
 
 
 def _meetings(named: DataFrame, sketches: DataFrame, percent: int, list_most: int = LIST_MOST) -> DataFrame:

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import replaced, small_batches, table, with_length, with_rid, written
+from .common import free_name, replaced, small_batches, table, with_length, with_rid, written
 
 LENGTH, GRAM = 200, 40
 #: Text that a task gathers before it collapses equal blocks; bytes put in suffix order at once.
@@ -193,11 +193,11 @@ def _collapse(cols: list[np.ndarray], both: bool) -> tuple[np.ndarray, ...]:
     return new, many, per
 
 
-def removed_spans(numbered: DataFrame, length: int = LENGTH, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
-    """(rid, spans): for each row with repeats the window starts (first, last) that repeat. numbered: rows with their number _rid, the same on every scan."""
+def removed_spans(numbered: DataFrame, length: int = LENGTH, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", rid: str = "_rid", crowd: int = CROWD) -> DataFrame:
+    """(rid, spans): for each row with repeats the window starts (first, last) that repeat. numbered: rows with their number in the column rid, the same on every scan."""
     spark = numbered.sparkSession
     small_batches(spark)
-    rows = numbered.select(F.col(text_col), F.col("_rid").alias("rid"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("ord"))
+    rows = numbered.select(F.col(text_col), F.col(rid).alias("rid"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("ord"))
 
     def find(batches):
         held, size = [], 0
@@ -407,17 +407,17 @@ def kept_text(text: str, spans: list[dict] | None, length: int) -> str:
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all rows and columns, with the repeats removed from the text."""
-    rows = with_rid(docs, "_rid")
-    spans = removed_spans(rows, length, keep, id_col, text_col).withColumnsRenamed({"rid": "_rid", "spans": "_spans"})
-
     names = docs.columns
+    rid, found = free_name(names, "_rid"), free_name(names, "_spans")
+    rows = with_rid(docs, rid)
+    spans = removed_spans(rows, length, keep, id_col, text_col, rid).withColumnsRenamed({"rid": rid, "spans": found})
 
     def apply(batches):
         for b in batches:
-            texts = [kept_text(t, s, length) if t and s else t for t, s in zip(b.column(text_col).to_pylist(), b.column("_spans").to_pylist())]
+            texts = [kept_text(t, s, length) if t and s else t for t, s in zip(b.column(text_col).to_pylist(), b.column(found).to_pylist())]
             yield replaced(b, text_col, texts).select(names)
 
-    return with_length(rows.join(spans, "_rid", "left").drop("_rid").mapInArrow(apply, docs.schema), text_col)
+    return with_length(rows.join(spans, rid, "left").drop(rid).mapInArrow(apply, docs.schema), text_col)
 
 
 def op8_suffix(spark, sf_dir: str) -> DataFrame:

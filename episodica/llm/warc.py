@@ -34,11 +34,12 @@ from .common import new_path, small_batches, table, written
 # The gzip member head that the writer makes, and the profile of revisit records.
 MAGIC = b"\x1f\x8b\x08"
 HEAD = MAGIC + b"\0\0\0\0\0\0\xff"
+VERSION = b"WARC/1."
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes of a reader's range, and of one read.
 RANGE_BYTES, READ_BYTES = 4 << 20, 1 << 20
-#: Bytes of a look for the gzip magic or into a record, and of a record's header block at most.
-SCAN_BYTES, HEADER_BYTES = 32 << 10, 64 << 10
+#: Bytes of a look for the gzip magic or into a record.
+SCAN_BYTES = 32 << 10
 
 
 def digest(payload: bytes) -> str:
@@ -122,22 +123,9 @@ class Damaged(ValueError):
     """Bytes of an archive that belong to no record."""
 
 
-def head_of(data: bytes) -> int | None:
-    """Length of the block that a member's WARC header announces; None if its start decodes to no header."""
-    z, out = zlib.decompressobj(31), b""
-    try:
-        while b"\r\n\r\n" not in out and not z.eof and len(out) < HEADER_BYTES:
-            piece = z.decompress(data, 4096)
-            data = z.unconsumed_tail
-            if not piece and not data:
-                break
-            out += piece
-            if not b"WARC/1."[: len(out)] == out[:7]:
-                return None
-    except zlib.error:
-        return None
-    head, end, _ = out.partition(b"\r\n\r\n")
-    found = re.search(rb"\r\ncontent-length:[ \t]*([0-9]+)", head, re.I) if end else None
+def announced(head: bytes) -> int | None:
+    """Length of the block that a WARC header block announces."""
+    found = re.search(rb"\r\ncontent-length:[ \t]*([0-9]+)", head, re.I)
     return int(found[1]) if found else None
 
 
@@ -154,22 +142,37 @@ class Window:
 
 
 def whole(f, at: int, size: int) -> tuple[int, int, bytes] | None:
-    """(start, end, record) of the member that starts at a place; None if there is no whole one."""
-    expected = head_of(f.read_at(min(HEADER_BYTES, size - at), at))
-    if expected is None:
-        return None
-    z, out, used = zlib.decompressobj(31), [], at
+    """(start, end, record) of the member that starts at a place; None if there is no whole one.
+
+    A member that does not begin with a version line is given up after its first bytes; header blocks may be of any length.
+    """
+    z, out, used, expected, body = zlib.decompressobj(31), bytearray(), at, None, 0
     try:
         while not z.eof:
             piece = f.read_at(min(SCAN_BYTES, size - used), used) if used < size else b""
             if not piece:
                 return None
-            out.append(z.decompress(piece))
+            seen = len(out)
+            if seen < len(VERSION):
+                out += z.decompress(piece, len(VERSION))
+                if out[: len(VERSION)] != VERSION[: len(out)]:
+                    return None
+                rest = z.unconsumed_tail
+                used += len(piece) - len(rest) - len(z.unused_data)
+                if not rest:
+                    continue
+                piece = rest
+            out += z.decompress(piece)
             used += len(piece) - len(z.unused_data)
+            if expected is None:
+                end = out.find(b"\r\n\r\n", max(0, seen - 3))
+                if end >= 0:
+                    expected, body = announced(bytes(out[:end])), end + 4
+                    if expected is None:
+                        return None
     except zlib.error:
         return None
-    data = b"".join(out)
-    return (at, used, data) if len(data) - data.find(b"\r\n\r\n") - 4 >= expected else None
+    return (at, used, bytes(out)) if expected is not None and len(out) - body >= expected else None
 
 
 def next_record(f, pos: int, end: int, size: int) -> tuple[int, int, bytes] | None:

@@ -235,6 +235,31 @@ def test_archives(spark):
     assert warc.read_archives(warc.write_archives(warc.mark(df.where("false")))).count() == 0
 
 
+def test_headers_and_records_of_any_length(spark):
+    rng = random.Random(4)
+    noise = "".join(map(chr, rng.choices(range(33, 0x2FFF), k=2_500_000)))  # over a reader's range when packed
+    pages = [(1, "http://h/" + "é" * 200_000, "a"), (2, "x" * 1_000_000, noise), (3, "http://h/3", "b"), (4, "y" * 90_000, noise), (5, "z", "c")]
+    man = warc.write_archives(warc.mark(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)))
+    assert man.collect()[0]["size"] > warc.RANGE_BYTES
+    for size in (warc.RANGE_BYTES, 700_001):
+        got = {int(r["headers"]["x-page"]): r for r in warc.read_archives(man, size).collect()}
+        assert sorted(got) == [1, 2, 3, 4, 5]
+        assert bytes(got[2]["payload"]).decode() == noise and got[4]["headers"]["x-refers-to-page"] == "2"
+        assert got[2]["headers"]["warc-target-uri"] == pages[1][1] and got[1]["headers"]["warc-target-uri"].count("%C3%A9") == 200_000
+
+
+def test_row_numbers_clash_with_no_column(spark, rows):
+    odd = spark.createDataFrame([(i, t, 7, "s", 8) for i, t in rows[:30]], "doc_id long, text string, _rid int, _spans string, _RID_ int").repartition(2)
+    plain = odd.drop("_rid", "_spans", "_RID_")
+    keep = lambda df: sorted((r["doc_id"], r["text"] or "") for r in df.collect())
+    for f in (lambda df: suffix.without_repeats(df, 20), lambda df: suffix.without_repeats(df, 20, keep="none")):
+        got = f(odd)
+        assert got.columns == odd.columns and keep(got) == keep(f(plain))
+        assert {(r["_rid"], r["_spans"]) for r in got.collect()} == {(7, "s")}
+    got = jaccard.representatives(odd)
+    assert got.columns == odd.columns and got.count() == jaccard.representatives(plain).count()
+
+
 def test_damaged_records_are_reported(spark):
     pages = [(k, f"http://h/{k}", f"text {k} " * (3 + 997 * (k == 2))) for k in range(5)]
     man = warc.write_archives(warc.mark(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)))
