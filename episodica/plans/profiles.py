@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import register
+from ..operators import windows as W
 from ..operators.windows import local_query
+from ..streaming import folds
 from ..streaming import guards as G
 from .common import S, r6, s6, table
 
@@ -49,8 +51,8 @@ def guarded(spark, d: str, kinds: list[tuple]) -> DataFrame:
     return G.batch(G.with_heads(moved, profiles))
 
 
-def shown(rows: DataFrame) -> DataFrame:
-    return rows.select("ep", "q", "state", "alarm", "first_alarm", "branch", "first_lock", "first_instability", "lock_run", "instability_run", r6(F.col("lock_smoothed").cast("double"), "lock_smoothed"), r6(F.col("instability_smoothed").cast("double"), "instability_smoothed"))
+def shown(rows: DataFrame, *more) -> DataFrame:
+    return rows.select("ep", "q", "state", "alarm", "first_alarm", "branch", "first_lock", "first_instability", "lock_run", "instability_run", r6(F.col("lock_smoothed").cast("double"), "lock_smoothed"), r6(F.col("instability_smoothed").cast("double"), "instability_smoothed"), *more)
 
 
 ROUTES = f"""r0 AS (SELECT vec_id, label::INTEGER AS task, (label * 1000000 + vec_id // {RANGE})::BIGINT AS ep, [abs(x::DOUBLE) for x in embedding] AS a FROM embeddings),
@@ -62,8 +64,12 @@ mo AS (SELECT ep, q, l, avg(m)::REAL AS m FROM r4 GROUP BY ep, q, l),
 ag AS (SELECT ep, q, list(m ORDER BY l) AS v, avg(m::DOUBLE) FILTER (l < 4) AS front_mean, avg(m::DOUBLE) FILTER (l >= 4) AS back_mean, min(m) FILTER (l < 4)::DOUBLE AS front_min, max(m) FILTER (l >= 4)::DOUBLE AS back_max, median(m::DOUBLE) AS all_median, stddev_pop(m::DOUBLE) AS all_std FROM mo GROUP BY ep, q)"""
 
 
-def guard_sql(kinds: list[tuple]) -> str:
-    """DuckDB SQL: the same heads, single-precision running sums step by step, windows for runs and firsts."""
+def guard_sql(kinds: list[tuple], limits: str | None = None, key: str = "task", show: str = "") -> str:
+    """DuckDB SQL: the same heads, single-precision running sums step by step, windows for runs and firsts.
+
+    limits: CTEs that end with th (key, t1, t2) in place of the healthy episodes' means and deviations.
+    """
+    limits = limits or f"th AS (SELECT task, round(avg(o1) + {SPREAD} * stddev_pop(o1), 6) AS t1, round(avg(o2) + {SPREAD} * stddev_pop(o2), 6) AS t2 FROM y WHERE ep % 2 = 0 GROUP BY task)"
     value = lambda name: f"v[{G.LAYERS.index(name) + 1}]::DOUBLE" if name in G.LAYERS else "abs(front_mean - back_mean)" if name == "front_back_mean_gap" else name
     base = " ".join(f"WHEN {k} THEN {value(p[0].removeprefix('delta_'))}" for k, p in enumerate(kinds))
     pick = lambda at, show=str: "CASE task %% %d %s END" % (len(kinds), " ".join(f"WHEN {k} THEN {show(p[at])}" for k, p in enumerate(kinds)))
@@ -81,14 +87,14 @@ def guard_sql(kinds: list[tuple]) -> str:
     y1 AS (SELECT b.ep, b.q, {head(1)} AS z1 FROM (SELECT fl.*, w1 FROM fl JOIN h USING (ep, q)) b LEFT JOIN fl a ON a.ep = b.ep AND a.q = b.q - w1),
     y2 AS (SELECT b.ep, b.q, {head(2)} AS z2 FROM (SELECT fl.*, w2 FROM fl JOIN h USING (ep, q)) b LEFT JOIN fl a ON a.ep = b.ep AND a.q = b.q - w2),
     y AS (SELECT h.*, z1, z2, CASE WHEN high THEN z1 ELSE -z1 END::DOUBLE AS o1, z2::DOUBLE AS o2 FROM h JOIN y1 USING (ep, q) JOIN y2 USING (ep, q)),
-    th AS (SELECT task, round(avg(o1) + {SPREAD} * stddev_pop(o1), 6) AS t1, round(avg(o2) + {SPREAD} * stddev_pop(o2), 6) AS t2 FROM y WHERE ep % 2 = 0 GROUP BY task),
-    c AS (SELECT y.*, coalesce(o1 > t1, false) AS x1c, coalesce(o2 > t2, false) AS x2c FROM y JOIN th USING (task)),
+    {limits},
+    c AS (SELECT y.*, th.* EXCLUDE ({key}), coalesce(o1 > t1, false) AS x1c, coalesce(o2 > t2, false) AS x2c FROM y JOIN th USING ({key})),
     rn AS (SELECT * EXCLUDE (x1, x2), {run(1).replace('x1', 'x1c')} AS run1, {run(2).replace('x2', 'x2c')} AS run2 FROM c WINDOW o AS (PARTITION BY ep ORDER BY q ROWS UNBOUNDED PRECEDING)),
     fi AS (SELECT *, {first(1)} AS f1, {first(2)} AS f2 FROM rn WINDOW o AS (PARTITION BY ep ORDER BY q ROWS UNBOUNDED PRECEDING)),
     al AS (SELECT *, CASE WHEN f1 < 0 THEN f2 WHEN f2 < 0 THEN f1 ELSE least(f1, f2) END AS f FROM fi)
-    SELECT ep, q, CASE WHEN f >= 0 THEN 'alarm' WHEN x1c OR x2c THEN 'suspect' ELSE 'normal' END AS state, f >= 0 AS alarm, f AS first_alarm,
+    SELECT ep, q, CASE WHEN f >= 0 THEN 'alarm' WHEN x1c OR x2c THEN 'suspect' {"WHEN q < 3 THEN 'calibrating'" if show else ''} ELSE 'normal' END AS state, f >= 0 AS alarm, f AS first_alarm,
       CASE WHEN f < 0 THEN 'none' WHEN f1 = f2 THEN 'lock+instability' WHEN f = f1 THEN 'lock' ELSE 'instability' END AS branch,
-      f1 AS first_lock, f2 AS first_instability, run1 AS lock_run, run2 AS instability_run, {s6('z1::DOUBLE', 'lock_smoothed')}, {s6('z2::DOUBLE', 'instability_smoothed')} FROM al"""
+      f1 AS first_lock, f2 AS first_instability, run1 AS lock_run, run2 AS instability_run, {s6('z1::DOUBLE', 'lock_smoothed')}, {s6('z2::DOUBLE', 'instability_smoothed')}{show} FROM al"""
 
 
 @register("dual_regime_guard", guard_sql(UNIFORM))
@@ -112,3 +118,42 @@ def spatial_guard(spark, d):
 @register("layer_mobility", f"WITH {ROUTES} SELECT ep, q, l::INTEGER AS layer, {s6('m::DOUBLE', 'mobility')} FROM mo")
 def layer_mobility(spark, d):
     return moving(spark, d).select("ep", "q", F.posexplode("mobility").alias("layer", "m")).select("ep", "q", "layer", r6(F.col("m").cast("double"), "mobility"))
+
+
+# ---- tasks without a profile: tasks from KNOWN on are new
+
+KNOWN, NEIGHBOURS, LOW_RATIO, COLD_SPREAD = 5, 3, 0.9, 0.2
+
+
+def cold_steps(spark, d):
+    r = routes(spark, d)
+    m = r.select("ep", "task", "q", G.fingerprint().alias("fingerprint"), G.layer_mobility(S).alias("mobility"))
+    return m.select("ep", "task", "q", "fingerprint", G.representation("mobility", F.lit("all_median")).alias("base"), F.get("mobility", F.lit(3)).alias("watched"))
+
+
+def cold_rule(spark, d):
+    """The rule whose reference are the healthy episodes of known tasks."""
+    steps = cold_steps(spark, d).where((F.col("task") < KNOWN) & (F.col("ep") % 2 == 0))
+    smooth = W.trailing_mean(S, F.col("watched").cast("double"), 4)
+    limits = steps.select("task", smooth.alias("m")).groupBy("task").agg(F.round(F.avg("m") + COLD_SPREAD * F.stddev_pop("m"), 6).alias("instability_threshold"))
+    return G.ColdRule(G.cold_reference(steps, limits, LOW_RATIO, neighbours=NEIGHBOURS, confirmations=(2, 3)))
+
+
+COLD = f"""fp AS (SELECT task, ep, l, j - l * 8 - t * 4 AS e, sum(p) / 2 / 4 AS x FROM (SELECT r3.*, r1.task FROM r3 JOIN r1 USING (ep, q)) WHERE q < 4 GROUP BY ALL),
+    ce AS (SELECT task, l, e, avg(sqrt(greatest(x, 0))) AS c FROM fp WHERE task < {KNOWN} AND ep % 2 = 0 GROUP BY ALL),
+    ds AS (SELECT fp.ep, ce.task, sum((sqrt(greatest(x, 0)) - c) * (sqrt(greatest(x, 0)) - c)) AS dist FROM fp JOIN ce USING (l, e) GROUP BY ALL),
+    wm AS (SELECT task, ep, CASE WHEN count(x1) OVER w4 = 4 THEN avg(x1::DOUBLE) OVER w4 END AS m1, CASE WHEN count(x2) OVER w4 = 4 THEN avg(x2::DOUBLE) OVER w4 END AS m2, CASE WHEN q < 4 THEN x1::DOUBLE END AS e1 FROM h WINDOW w4 AS (PARTITION BY ep ORDER BY q ROWS 3 PRECEDING)),
+    lm AS (SELECT task, round(avg(m2) + {COLD_SPREAD} * stddev_pop(m2), 6) AS cut FROM wm WHERE task < {KNOWN} AND ep % 2 = 0 GROUP BY task),
+    ra AS (SELECT ep, min(m1) / avg(e1) AS r FROM wm WHERE task < {KNOWN} AND ep % 2 = 0 GROUP BY ep),
+    rq AS (SELECT list_sort(list(r) FILTER (r IS NOT NULL))[ceil({LOW_RATIO} * (count(r) - 1) - 1e-9)::BIGINT + 1] AS r FROM ra),
+    nn AS (SELECT ep, list(task ORDER BY dist, task) AS near, list_sort(list(cut))[2] AS t2 FROM (SELECT ep, ds.task, dist, cut FROM ds JOIN lm USING (task) QUALIFY row_number() OVER (PARTITION BY ep ORDER BY dist, ds.task) <= {NEIGHBOURS}) GROUP BY ep),
+    th AS (SELECT ep, near, -(SELECT r FROM rq) * avg(e1) AS t1, any_value(t2) AS t2 FROM wm JOIN nn USING (ep) WHERE wm.task >= {KNOWN} GROUP BY ep, near HAVING count(*) >= 4)"""
+COLD_SHOW = f", {s6('CASE WHEN q >= 3 THEN -t1 END', 'lock_cutoff')}, {s6('CASE WHEN q >= 3 THEN t2 END', 'instability_cutoff')}, CASE WHEN q >= 3 THEN near[1] END AS nearest_task"
+
+
+@register("cold_start_monitor", guard_sql([("all_median", "low", 4, 2, "L5", 4, 3)], COLD, "ep", COLD_SHOW))
+def cold_start_monitor(spark, d):
+    """Guard of tasks without a profile: cutoffs from an episode's first four steps and its three nearest known tasks."""
+    rule = cold_rule(spark, d)
+    new = folds.batch(cold_steps(spark, d).where(F.col("task") >= KNOWN), rule)
+    return shown(new, r6("lock_cutoff", "lock_cutoff"), r6("instability_cutoff", "instability_cutoff"), F.get("nearest", F.lit(0)).alias("nearest_task"))

@@ -6,34 +6,32 @@ threshold. Uniform profiles give the dual-regime monitor, per-task layers the lo
 the spatial guard.
 
 The trailing mean is a difference of running sums in single precision, in order of the steps, as monitors that must
-repeat each other to the last bit use it. Such sums depend on their order, so they are folded: `Fold` takes a chunk of an
-episode's steps with numpy and carries on from the chunk before. Batch folds sorted partitions as they stream by,
-`stream` folds micro-batches with the state in transformWithState; both give the same rows.
+repeat each other to the last bit use it. Such sums depend on their order, so they are folded (see `folds`): batch and
+stream give the same rows. Steps of an episode are numbered from 0 without gaps.
 
-Steps of an episode come in order, without gaps, within and across micro-batches.
+A task without a profile starts cold: its first steps are its own measure, and the known tasks that resemble it lend a cutoff.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators import stats as A
 from ..operators import windows as W
-from ..runtime import ship
+from . import folds
 
 #: Names of the layers, front half first.
 LAYERS = ("L2", "L3", "L4", "L5", "L12", "L13", "L14", "L15")
 PROFILE = "task int, lock_representation string, lock_direction string, lock_width int, lock_confirmations int, instability_layer string, instability_width int, instability_confirmations int"
 THRESHOLDS = ("lock_threshold", "instability_threshold")
 HEADS = ("base", "changes", "high", "watched", "lock_width", "lock_confirmations", "lock_threshold", "instability_width", "instability_confirmations", "instability_threshold")
-OUT = "ep long, q int, state string, alarm boolean, first_alarm int, branch string, first_lock int, first_instability int, lock_crossing boolean, instability_crossing boolean, lock_run int, instability_run int, lock_value float, lock_smoothed float, instability_value float, instability_smoothed float"
+OUT = "state string, alarm boolean, first_alarm int, branch string, first_lock int, first_instability int, lock_crossing boolean, instability_crossing boolean, lock_run int, instability_run int, lock_value float, lock_smoothed float, instability_value float, instability_smoothed float"
 STATE = "sums1 array<float>, whole1 array<int>, sums2 array<float>, whole2 array<int>, base float, run1 int, run2 int, first1 int, first2 int"
 #: Profiles that are broadcast at most; more are joined by shuffle.
 BROADCAST_PROFILES = 100_000
@@ -170,58 +168,110 @@ class Fold:
         }
 
 
-_FLOATS = ("lock_value", "lock_smoothed", "instability_value", "instability_smoothed")
-_INTS = ("first_alarm", "first_lock", "first_instability", "lock_run", "instability_run")
+class GuardRule(folds.Rule):
+    inputs, output, state = HEADS, OUT, STATE
+
+    def fold(self, stored: tuple | None = None) -> Fold:
+        return Fold() if stored is None else Fold.restored(stored)
 
 
 def batch(heads: DataFrame) -> DataFrame:
     """The guard's outputs at every step, over whole episodes."""
-    ship(heads.sparkSession)
-    schema = pa.schema([("ep", pa.int64()), ("q", pa.int32()), *((name, pa.float32() if name in _FLOATS else pa.int32() if name in _INTS else pa.string() if name in ("state", "branch") else pa.bool_()) for name in (f.split()[0] for f in OUT.split(", ")[2:]))])
-
-    def run(batches):
-        held, fold = None, None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            cols = {n: b.column(n).to_numpy(zero_copy_only=False) for n in b.schema.names}
-            edges = np.flatnonzero(np.diff(cols["ep"])) + 1
-            done: dict[str, list] = {n: [] for n in schema.names[2:]}
-            for low, high in zip([0, *edges], [*edges, b.num_rows]):
-                if held != cols["ep"][low]:
-                    held, fold = cols["ep"][low], Fold()
-                for name, part in fold.take(cols["q"][low:high], {n: cols[n][low:high] for n in HEADS}).items():
-                    done[name].append(part)
-            arrays = [pa.array(np.concatenate(done[n]), schema.field(n).type, from_pandas=n in _FLOATS) for n in schema.names[2:]]
-            yield pa.record_batch([b.column("ep").cast(pa.int64()), b.column("q").cast(pa.int32()), *arrays], schema=schema)
-
-    return heads.repartition("ep").sortWithinPartitions("ep", "q").select("ep", "q", *HEADS).mapInArrow(run, OUT)
-
-
-class Processor(StatefulProcessor):
-    """Folds the steps of an episode in each micro-batch."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("fold", STATE)
-
-    def handleInputRows(self, key, rows, timerValues):
-        held = self.state.get() if self.state.exists() else None
-        fold = Fold.restored(held) if held is not None else Fold()
-        frame = pd.concat(list(rows)).sort_values("q")
-        q = frame["q"].to_numpy()
-        out = fold.take(q, {n: frame[n].to_numpy() for n in HEADS})
-        self.state.update(fold.stored())
-        done = pd.DataFrame({"ep": key[0], "q": q.astype(np.int32)} | {n: v.astype(np.float32) if n in _FLOATS else v.astype(np.int32) if n in _INTS else v for n, v in out.items()})
-        yield done.astype({n: object for n in _FLOATS}).where(done.notna(), None)
-
-    def close(self) -> None:
-        pass
+    return folds.batch(heads, GuardRule())
 
 
 def stream(heads: DataFrame) -> DataFrame:
     """The same outputs over a stream of heads; the session needs the RocksDB state store."""
-    ship(heads.sparkSession)
-    return heads.select("ep", "q", *HEADS).groupBy("ep").transformWithStateInPandas(Processor(), OUT, "Update", "None")
+    return folds.stream(heads, GuardRule())
+
+
+# ---- tasks without a profile
+
+
+@dataclass(frozen=True)
+class ColdStart:
+    """Reference of a cold start: the ratio of smoothed to early mobility that is low, and for each known task its fingerprint and cutoff."""
+
+    ratio: float
+    tasks: tuple
+    fingerprints: tuple
+    cutoffs: tuple
+    prefix: int = 4
+    neighbours: int = 3
+    cutoff_quantile: float = 0.5
+    width: int = 4
+    confirmations: tuple = (4, 8)
+
+
+class ColdFold:
+    """A guard whose cutoffs come from an episode's own first steps: its mean mobility there, and the tasks whose fingerprints are nearest."""
+
+    def __init__(self, about: ColdStart, stored: tuple | None = None) -> None:
+        self.about = about
+        self.sum, self.early, self.cutoffs, self.near, self.guard = np.zeros(len(about.fingerprints[0])), [], [math.nan, math.nan], [], Fold()
+        if stored is not None:
+            self.sum, self.early, self.cutoffs, self.near = np.array(stored[0]), list(stored[1]), list(stored[2]), list(stored[3])
+            self.guard = Fold.restored(stored[4:])
+
+    def stored(self) -> tuple:
+        return (self.sum.tolist(), self.early, self.cutoffs, self.near, *self.guard.stored())
+
+    def take(self, q: np.ndarray, x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        a = self.about
+        own = q < a.prefix
+        self.sum = self.sum + x["fingerprint"][own].sum(0)
+        self.early += [float(v) for v in x["base"][own] if np.isfinite(v)]
+        if a.prefix - 1 in q:
+            far = ((np.array(a.fingerprints) - np.sqrt(np.maximum(self.sum / a.prefix, 0))) ** 2).sum(1)
+            nearest = np.argsort(far, kind="stable")[: a.neighbours]
+            self.near = [int(a.tasks[k]) for k in nearest]
+            self.cutoffs = [a.ratio * float(np.mean(self.early)), float(np.quantile(np.array(a.cutoffs)[nearest], a.cutoff_quantile, method="higher"))]
+        known = math.isfinite(self.cutoffs[0])
+        one = {"changes": False, "high": False, "lock_width": a.width, "instability_width": a.width, "lock_confirmations": a.confirmations[0], "instability_confirmations": a.confirmations[1]}
+        one |= {"lock_threshold": -self.cutoffs[0] if known else math.inf, "instability_threshold": self.cutoffs[1] if known else math.inf}
+        out = self.guard.take(q, {"base": x["base"], "watched": x["watched"]} | {k: np.full(len(q), v) for k, v in one.items()})
+        ready = q >= a.prefix - 1
+        out["state"] = np.where(~ready & (out["state"] == "normal"), "calibrating", out["state"])
+        out["lock_cutoff"], out["instability_cutoff"] = (np.where(ready, c, np.nan) for c in self.cutoffs)
+        out["nearest"] = [self.near if r else [] for r in ready]
+        return out
+
+
+class ColdRule(folds.Rule):
+    inputs = ("fingerprint", "base", "watched")
+    output = OUT + ", lock_cutoff double, instability_cutoff double, nearest array<int>"
+    state = "total array<double>, early array<double>, cutoffs array<double>, near array<int>, " + STATE
+
+    def __init__(self, about: ColdStart) -> None:
+        if len(about.tasks) < about.neighbours:
+            raise ValueError("fewer reference tasks than neighbours")
+        self.about = about
+
+    def fold(self, stored: tuple | None = None) -> ColdFold:
+        return ColdFold(self.about, stored)
+
+
+def fingerprint(route: str = "route") -> Column:
+    """Mean over tokens of each layer's distribution, layers behind one another."""
+    tokens = lambda layer: F.aggregate(F.slice(layer, 2, F.size(layer)), F.get(layer, F.lit(0)), lambda s, t: F.zip_with(s, t, lambda x, y: x + y))
+    return F.flatten(F.transform(route, lambda layer: F.transform(tokens(layer), lambda x: x / F.size(layer))))
+
+
+def cold_reference(steps: DataFrame, limits: DataFrame, quantile: float, prefix: int = 4, most_tasks: int = 10_000, **how) -> ColdStart:
+    """Reference from healthy steps (task, ep, q, fingerprint, base, watched) and the known tasks' instability thresholds (task, instability_threshold)."""
+    early = steps.where(F.col("q") < prefix)
+    one = early.select("task", "ep", F.posexplode("fingerprint").alias("at", "x")).groupBy("task", "ep", "at").agg((F.sum("x") / prefix).alias("x"))
+    centres = one.groupBy("task", "at").agg(F.avg(F.sqrt(F.greatest("x", F.lit(0.0)))).alias("x"))
+    rows = centres.groupBy("task").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda t: t["x"]).alias("v")).join(limits, "task")
+    rows = rows.select("task", "v", "instability_threshold").orderBy("task").limit(most_tasks + 1).collect()
+    if len(rows) > most_tasks:
+        raise ValueError(f"more than {most_tasks} reference tasks")
+    s = W.Series()
+    width = how.get("width", 4)
+    smooth = steps.select("ep", "q", W.trailing_mean(s, "base", width).alias("m"), F.when(F.col("q") < prefix, F.col("base")).alias("e"))
+    ratio = smooth.groupBy("ep").agg((F.min("m") / F.avg("e")).alias("ratio"))
+    value = A.quantile_higher(ratio, "ratio", quantile, name="value").head()["value"]
+    return ColdStart(float(value), tuple(r["task"] for r in rows), tuple(tuple(r["v"]) for r in rows), tuple(r["instability_threshold"] for r in rows), prefix, **how)
 
 
 def calibrated(profiles: DataFrame, heads: DataFrame, healthy: Column, spread: float) -> DataFrame:

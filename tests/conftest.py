@@ -22,3 +22,26 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+@pytest.fixture
+def streamed(spark, tmp_path):
+    """Rows, as text, that a stateful plan gives over steps that come in five micro-batches of unequal numbers of steps."""
+
+    def run(df, plan):
+        from pyspark.sql import functions as F
+
+        for k, (low, high) in enumerate([(0, 1), (1, 4), (4, 11), (11, 12), (12, 10_000)]):
+            df.where((F.col("q") >= low) & (F.col("q") < high)).coalesce(1).write.parquet(str(tmp_path / "in" / f"batch={k}"))
+        seen, key = [], "spark.sql.streaming.stateStore.providerClass"
+        spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        try:
+            source = spark.readStream.schema(df.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+            out = plan(source).writeStream.outputMode("update").foreachBatch(lambda rows, _: seen.extend(map(str, rows.collect())))
+            query = out.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+            assert query.awaitTermination(300) and len(query.recentProgress) >= 5
+        finally:
+            spark.conf.unset(key)
+        return sorted(seen)
+
+    return run

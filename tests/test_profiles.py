@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from episodica.plans import profiles as P
+from episodica.streaming import folds
 from episodica.streaming import guards as G
 
 SF = "/root/testdata/sf0.001"
@@ -80,24 +81,24 @@ def test_representations(spark):
 
 
 @pytest.mark.parametrize("kinds", [P.UNIFORM, P.SPATIAL])
-def test_stream_equals_batch(spark, tmp_path, kinds):
-    moved = P.moving(spark, SF)
-    names = [f.split()[0] for f in G.PROFILE.split(", ")]
+def test_guard_stream_equals_batch(spark, streamed, kinds):
     profiles = spark.createDataFrame([(t, *kinds[t % len(kinds)], -0.2 if kinds[t % len(kinds)][1] == "low" else 0.03, 0.25) for t in range(10)], ", ".join([G.PROFILE, "lock_threshold double", "instability_threshold double"]))
-    assert profiles.columns[: len(names)] == names
-    heads = G.with_heads(moved, profiles).cache()
+    heads = G.with_heads(P.moving(spark, SF), profiles).cache()
     want = sorted(map(str, G.batch(heads).collect()))
-    source, schema = tmp_path / "in", heads.schema
-    for k, (low, high) in enumerate([(0, 1), (1, 4), (4, 11), (11, 12), (12, 10_000)]):  # micro-batches of unequal numbers of steps
-        heads.where((F.col("q") >= low) & (F.col("q") < high)).coalesce(1).write.parquet(str(source / f"batch={k}"))
-    seen = []
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        stream = G.stream(spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(source)))
-        out = stream.writeStream.outputMode("update").foreachBatch(lambda df, _: seen.extend(map(str, df.collect())))
-        out.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(300)
-    finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    assert sorted(seen) == want
+    assert streamed(heads, G.stream) == want
     assert any("alarm=True" in r for r in want) and any("alarm=False" in r for r in want)
     heads.unpersist()
+
+
+def test_cold_start_stream_equals_batch(spark, streamed):
+    rule, steps = P.cold_rule(spark, SF), P.cold_steps(spark, SF).where("task >= 5").cache()
+    want = sorted(map(str, folds.batch(steps, rule).collect()))
+    assert streamed(steps, lambda df: folds.stream(df, rule)) == want
+    assert sum("state='calibrating'" in r for r in want) == 3 * steps.select("ep").distinct().count()
+    steps.unpersist()
+
+
+def test_short_episodes_stay_uncalibrated(spark):
+    rule = P.cold_rule(spark, SF)
+    rows = folds.batch(P.cold_steps(spark, SF).where("task >= 5 and q < 3"), rule).collect()
+    assert rows and all(r["state"] == "calibrating" and r["lock_cutoff"] is None and not r["nearest"] for r in rows)
