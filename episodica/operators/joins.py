@@ -34,16 +34,35 @@ def lead_grid(events: DataFrame, onset: str, leads: list[int], name: str = "q")
 
 
 def matched_controls(cases: DataFrame, population: DataFrame, group: list[str], step: str, event: str, score: str) -> DataFrame:
-    """Each case row with every event-free row of its group at the same step: (event, step, case score, control score)."""
-    c = cases.select(*group, step, F.col(event), F.col(score).alias("case_score"))
-    p = population.select(*group, step, F.col(score).alias("control_score"))
-    return c.join(p, [*group, step])
+    """Each case row with the event-free rows of its group at the same step: (event, step, case_score, controls, best, beaten).
+
+    beaten is the share of the controls' scores below the case's, ties half. Controls are counted by score and met in one sorted
+    pass with the cases, so no pair of a case and a control is a row. Cases without a control are left out.
+    """
+    at = [*group, step]
+    c = cases.select(*at, F.col(event).alias("_event"), F.col(score).cast("double").alias("_s"), F.lit(0).alias("_n"))
+    p = population.groupBy(*at, F.col(score).cast("double").alias("_s")).agg(F.count("*").alias("_n")).withColumn("_event", F.lit(None).cast(cases.schema[event].dataType))
+    u = p.withColumn("_case", F.lit(False)).unionByName(c.withColumn("_case", F.lit(True)))
+    by = Window.partitionBy(*at)
+    there = F.when(F.col("_s").isNotNull(), F.col("_n")).otherwise(0)  # a missing score neither wins nor loses
+    upto = F.sum(there).over(by.orderBy("_s").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    tied = F.sum(there).over(Window.partitionBy(*at, "_s"))
+    u = u.withColumn("controls", F.sum("_n").over(by)).withColumn("best", F.max(F.when(~F.col("_case"), F.col("_s"))).over(by)).withColumn("_below", upto - tied).withColumn("_tied", tied)
+    found = u.where(F.col("_case") & (F.col("controls") > 0))
+    return found.select(F.col("_event").alias(event), step, F.col("_s").alias("case_score"), "controls", "best", F.when(F.col("_s").isNull(), 0.0).otherwise((F.col("_below") + F.col("_tied") / 2) / F.col("controls")).alias("beaten"))
 
 
 def event_mean_auc(matched: DataFrame, event: str) -> DataFrame:
     """Share of its matched controls that an event beats (ties half), averaged over events."""
-    win = F.when(F.col("case_score") > F.col("control_score"), 1.0).when(F.col("case_score") == F.col("control_score"), 0.5).otherwise(0.0)
-    return matched.groupBy(event).agg(F.avg(win).alias("w")).agg(F.avg("w").alias("auc"), F.count("*").alias("events"))
+    one = matched.groupBy(event).agg((F.sum(F.col("beaten") * F.col("controls")) / F.sum("controls")).alias("w"))
+    return one.agg(F.avg("w").alias("auc"), F.count("*").alias("events"))
+
+
+def paired_extremes(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, pairs, widest): of all pairs of a key's rows in a and b their number and their largest difference, from counts and extremes."""
+    side = lambda df, n: df.groupBy(key).agg(F.count("*").alias(f"_n{n}"), F.min(value).alias(f"_lo{n}"), F.max(value).alias(f"_hi{n}"))
+    j = side(a, 1).join(side(b, 2), key)
+    return j.select(key, (F.col("_n1") * F.col("_n2")).alias("pairs"), F.greatest(F.col("_hi1") - F.col("_lo2"), F.col("_hi2") - F.col("_lo1")).alias("widest"))
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, value: str, tie: list[str]) -> DataFrame:
@@ -81,14 +100,6 @@ def with_fallback(df: DataFrame, x: str, cell: list[str], task: list[str], least
     return out.select(*task, *cell, level.alias("level"), F.when(F.col("_cn") >= least, F.col("_c")).when(F.col("_tn") >= least, F.col("_t")).otherwise(F.col("_g")).alias("stat"))
 
 
-def nearest(queries: DataFrame, reference: DataFrame, group: list[str], distance: Column, k: int, order: str) -> DataFrame:
-    """k nearest reference rows of each query within its group; distance is over the columns of both sides."""
-    keys = [c for c in queries.columns if c not in group]
-    j = queries.join(reference, group).withColumn("distance", distance)
-    w = Window.partitionBy(*group, *keys).orderBy("distance", order)
-    return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def nearest_in_order(df: DataFrame, group: list[str], key: str, x: str, k: int) -> DataFrame:
     """(group, key, other, rank): the k rows of other keys nearest in x within each group; ties go to the smaller key.
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import lcg
+from .ranked import numbered
 
 
 def draws(df: DataFrame, n: int) -> DataFrame:
@@ -40,11 +41,11 @@ def permuted(df: DataFrame, label: str, group: list[str], ident: str, n: int, se
 
 def bootstrap(units: DataFrame, ident: str, n: int, seed: int = 7) -> DataFrame:
     """Units drawn with replacement: (draw, all columns of the drawn unit). Units are numbered by id."""
-    numbered = units.withColumn("_i", F.row_number().over(Window.orderBy(ident)) - 1)
+    rows = numbered(units, ident, name="_i")
     size = units.agg(F.count("*").alias("_n"))
-    picks = draws(numbered.select(F.col("_i").alias("_slot")).crossJoin(F.broadcast(size)), n)
-    picks = picks.withColumn("_i", F.pmod(F.floor(lcg(F.lit(seed), F.col("draw"), F.col("_slot")) / 64), F.col("_n")).cast("int"))
-    return picks.select("draw", "_i").join(numbered, "_i").drop("_i")
+    picks = draws(rows.select(F.col("_i").alias("_slot")).crossJoin(F.broadcast(size)), n)
+    picks = picks.withColumn("_i", F.pmod(F.floor(lcg(F.lit(seed), F.col("draw"), F.col("_slot")) / 64), F.col("_n")).cast("long"))
+    return picks.select("draw", "_i").join(rows, "_i").drop("_i")
 
 
 def percentile_interval(stats: DataFrame, stat: str, lo: float = 0.025, hi: float = 0.975) -> DataFrame:

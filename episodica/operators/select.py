@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranked import numbered, range_of
+
 
 def stable_topk(df: DataFrame, score: str, ident: str, k: int) -> DataFrame:
     """k rows of largest score, of equals the least id; rows without a finite score are out."""
@@ -32,18 +34,30 @@ def quota_topk(df: DataFrame, first: str, second: str, ident: str, k: int) -> Da
 
 
 def pareto(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Rows that no other row beats in one measure without losing in the other; equal rows all stay."""
+    """Rows that no other row beats in one measure without losing in the other; equal rows all stay.
+
+    The best y of all larger x is the best of the ranges above and of the larger x in the own range.
+    """
     best = df.groupBy(x).agg(F.max(y).alias("_y"))
-    prior = F.max("_y").over(Window.orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, -1))
-    keep = best.withColumn("_prior", prior).where(F.col("_prior").isNull() | (F.col("_y") > F.col("_prior"))).select(x, F.col("_y").alias(y))
+    best = best.withColumn("_range", range_of(df, x))
+    above = best.groupBy("_range").agg(F.max("_y").alias("_m"))
+    above = above.select("_range", F.max("_m").over(Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)).alias("_above"))  # a row for each range
+    own = F.max("_y").over(Window.partitionBy("_range").orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, -1))
+    prior = F.greatest("_own", "_above")  # of those there are
+    keep = best.withColumn("_own", own).join(F.broadcast(above), "_range").where(prior.isNull() | (F.col("_y") > prior)).select(x, F.col("_y").alias(y))
     return df.join(keep, [x, y], "left_semi")
 
 
 def folds(units: DataFrame, ident: str, k: int, seed: int = 7) -> DataFrame:
-    """Units dealt into k folds of nearly equal size, in the order of a hash of their id."""
+    """Units dealt into k folds of nearly equal size (the first ones larger), in the order of a hash of their id."""
     from ..functions.scalars import lcg
 
-    return units.withColumn("fold", F.ntile(k).over(Window.orderBy(lcg(F.lit(seed), F.col(ident)), ident)) - 1)
+    n = units.count()
+    rows = numbered(units.withColumn("_h", lcg(F.lit(seed), F.col(ident))), "_h", ident, name="_at")
+    size, more = divmod(n, k)
+    at, edge = F.col("_at"), more * (size + 1)
+    fold = F.when(at < edge, F.floor(at / (size + 1))).otherwise(more + F.floor((at - edge) / max(1, size)))
+    return rows.withColumn("fold", fold).drop("_h", "_at")
 
 
 def evenly_spaced(df: DataFrame, group: list[str], order: list[str], k: int) -> DataFrame:

@@ -7,25 +7,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranked import cumulated, range_of
+
 
 def average_rank(x: str, *group: str) -> Column:
     """Average-tie rank from 1 within the group."""
-    g = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))
-    return F.rank().over(g.orderBy(x)) + (F.count("*").over((Window.partitionBy(*group, x)) if group else Window.partitionBy(x)) - 1) / 2.0
-
-
-#: Ranges that an ordered pass over all rows is dealt into.
-RANGES = 64
-
-
-def range_of(df: DataFrame, x: str, ranges: int = RANGES) -> Column:
-    """Number of the value's range; the bounds (ranges - 1 numbers) are approximate quantiles, read once."""
-    cuts = [i / ranges for i in range(1, ranges)]
-    bounds = df.agg(F.percentile_approx(x, cuts, 2000)).first()[0] or []
-    at = F.lit(0)
-    for b in sorted(set(bounds)):
-        at = at + F.when(F.col(x) >= b, 1).otherwise(0)
-    return at
+    return F.rank().over(Window.partitionBy(*group).orderBy(x)) + (F.count("*").over(Window.partitionBy(*group, x)) - 1) / 2.0
 
 
 def value_counts_auc(df: DataFrame, x: str, y: str, *group: str) -> DataFrame:
@@ -58,28 +45,23 @@ def stratified_auc(df: DataFrame, x: str, y: str, *group: str) -> DataFrame:
 
 def quantile_higher(df: DataFrame, x: str, q: float, *group: str, name: str = "threshold", least: int = 1) -> DataFrame:
     """sorted[ceil(q (n - 1))] of each group: never interpolates; NULL under `least` values."""
-    g = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))
-    v = df.where(F.col(x).isNotNull() & ~F.isnan(x)).withColumn("_r", F.row_number().over(g.orderBy(x))).withColumn("_n", F.count("*").over(g))
-    pick = F.max(F.when(F.col("_r") == F.ceil((F.col("_n") - 1) * q - 1e-9) + 1, F.col(x)))
-    out = v.groupBy(*group).agg(F.when(F.max("_n") >= least, pick).alias(name), F.max("_n").alias("n"))
-    return out
+    v = cumulated(df.where(F.col(x).isNotNull() & ~F.isnan(x)), x, *group)
+    pick = F.min(F.when(F.col("_upto") >= F.ceil((F.col("_all") - 1) * q - 1e-9) + 1, F.col(x)))
+    return v.groupBy(*group).agg(F.when(F.max("_all") >= least, pick).alias(name), F.max("_all").alias("n"))
 
 
 def conformal_threshold(df: DataFrame, x: str, alpha: float, *group: str) -> DataFrame:
     """The ceil((n + 1)(1 - alpha))-th smallest, infinity if there is none."""
-    g = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))
-    v = df.withColumn("_r", F.row_number().over(g.orderBy(x))).withColumn("_n", F.count("*").over(g))
-    pick = F.max(F.when(F.col("_r") == F.ceil((F.col("_n") + 1) * (1 - alpha) - 1e-9), F.col(x)))
+    v = cumulated(df, x, *group)
+    pick = F.min(F.when(F.col("_upto") >= F.ceil((F.col("_all") + 1) * (1 - alpha) - 1e-9), F.col(x)))
     return v.groupBy(*group).agg(F.coalesce(pick, F.lit(float("inf"))).alias("threshold"))
 
 
 def budgeted_threshold(df: DataFrame, x: str, budget: float, *group: str) -> DataFrame:
     """Smallest value with a share of values at or above it within the budget; NULL if even the largest has more."""
-    g = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))
-    v = df.groupBy(*group, x).count()
-    above = F.sum("count").over(g.orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, 0)) / F.sum("count").over(g)
-    v = v.withColumn("_above", above)
-    return v.groupBy(*group).agg(F.min(F.when(F.col("_above") <= budget, F.col(x))).alias("threshold"))
+    v = cumulated(df, x, *group)
+    above = (F.col("_all") - F.col("_upto") + F.col("_n")) / F.col("_all")
+    return v.groupBy(*group).agg(F.min(F.when(above <= budget, F.col(x))).alias("threshold"))
 
 
 def confusion(df: DataFrame, alarm: Column, risk: Column, *columns: str) -> DataFrame:

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranked import cumulated
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -154,26 +156,29 @@ def multiscale_scan(s: Series, x, widths=(1, 2, 4, 8)) -> Column:
 
 
 def decayed(df: DataFrame, s: Series, x, keep: float, gain: float, name: str, from_first: bool = False) -> DataFrame:
-    """y = keep y' + gain x along an episode whose steps count from 0, from y' = 0 (or y = the first value).
+    """y = keep y' + gain x along an episode, from y' = 0 (or y = the first value). A NULL leaves y as it was.
 
-    An episode is folded in blocks of so many steps that keep to that power is no double any more: then a block needs of
-    all that came before only the fold of the block before it. No array is longer than a block.
+    An episode is folded in blocks of so many values that keep to that power is no double any more: then a block needs of
+    all that came before only the fold of the block before it. Steps need not be contiguous, and each row stays whole.
     """
     size = max(2, math.ceil(745 / -math.log(keep)))
 
-    def fold(values: Column, start: Column) -> Column:
-        """All values of the recurrence over an array, from a start."""
-        step = lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) * keep + v * gain))
-        return F.aggregate(values, F.array(start).cast("array<double>"), step)
+    def moved(y: Column, v: Column) -> Column:
+        """y after one more value."""
+        first = v if from_first else v * gain
+        return F.when(v.isNull(), y).when(y.isNull(), first).otherwise(y * keep + v * gain)
 
-    rows = df.withColumn("_block", F.floor(F.col(s.q) / size)).withColumn("_x", _c(x).cast("double"))
-    each = rows.groupBy(s.ep, "_block").agg(F.transform(F.array_sort(F.collect_list(F.struct(s.q, "_x"))), lambda t: t["_x"]).alias("_v"))
-    own = F.aggregate("_v", F.lit(0.0), lambda acc, v: acc * keep + v * gain)
-    each = each.withColumn("_own", own).withColumn("_before", F.lag("_own").over(Window.partitionBy(s.ep).orderBy("_block")))
-    start = F.element_at("_v", 1) * ((1 - gain) / keep) if from_first else F.lit(0.0)  # so that y is the first value
-    done = each.select(s.ep, "_block", F.posexplode(F.slice(fold(F.col("_v"), F.coalesce("_before", start)), F.lit(2), F.size("_v"))).alias("_at", name))
-    done = done.select(s.ep, (F.col("_block") * size + F.col("_at")).cast(df.schema[s.q].dataType).alias(s.q), name)
-    return df.join(done, [s.ep, s.q])
+    rows = df.select(F.struct("*").alias("_row"), F.col(s.ep).alias("_ep"), F.col(s.q).alias("_q"), _c(x).cast("double").alias("_x"))
+    count = F.count("_x").over(Window.partitionBy("_ep").orderBy("_q").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_block", F.floor(F.greatest(count - 1, F.lit(0)) / size))
+    each = rows.groupBy("_ep", "_block").agg(F.array_sort(F.collect_list(F.struct("_q", "_x", "_row")), lambda a, b: F.when(a["_q"] < b["_q"], -1).when(a["_q"] > b["_q"], 1).otherwise(0)).alias("_v"))
+    nothing = F.lit(None).cast("double")
+    own = F.aggregate("_v", nothing if from_first else F.lit(0.0), lambda y, t: moved(y, t["_x"]))
+    each = each.withColumn("_own", own).withColumn("_before", F.lag("_own").over(Window.partitionBy("_ep").orderBy("_block")))
+    start = F.coalesce("_before", nothing if from_first else F.lit(0.0))
+    path = F.aggregate("_v", F.array(start).cast("array<double>"), lambda acc, t: F.concat(acc, F.array(moved(F.element_at(acc, -1), t["_x"]))))
+    done = each.select(F.inline(F.zip_with("_v", F.slice(path, F.lit(2), F.size("_v")), lambda t, y: F.struct(t["_row"].alias("_row"), y.alias("_y")))))
+    return done.select("_row.*", F.col("_y").alias(name))
 
 
 def ewma(df: DataFrame, s: Series, x, weight: float, name: str) -> DataFrame:
@@ -224,11 +229,13 @@ def rank_within(x, *group: str) -> Column:
 
 
 def midrank(df: DataFrame, x: str, reference: str, name: str, *group: str) -> DataFrame:
-    """Percentile (rows of reference at or below x, plus a half, over their number plus one) from one sort."""
-    by = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))
-    at = F.sum(_c(reference).cast("int")).over(by.orderBy(x).rangeBetween(Window.unboundedPreceding, 0))
-    n = F.sum(_c(reference).cast("int")).over(by)
-    return df.withColumn(name, (at + 0.5) / (n + 1))
+    """Percentile (rows of reference at or below x, plus a half, over their number plus one). Counts are by value: no group is sorted as rows."""
+    c = cumulated(df, x, *group, weight=_c(reference).cast("int"))
+    c = c.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col(x).alias("_value"), ((F.col("_upto") + 0.5) / (F.col("_all") + 1)).alias(name))
+    match = F.col(x).eqNullSafe(F.col("_value"))
+    for i, g in enumerate(group):
+        match = match & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return df.join(c, match).select(*df.columns, name)
 
 
 def first_crossing(df: DataFrame, s: Series, score, threshold, name: str = "first") -> DataFrame:

@@ -59,8 +59,9 @@ def _guard(spark, d):
     # no head speaks before its baseline is whole
     e = e.select("ep", "q", *[F.when(F.col("q") >= at, F.col(h)).alias(h) for h, at in zip(HEADS, (7, 8, 10))])
     peaks = e.where("ep % 2 = 0").groupBy("ep").agg(*[F.max(h).alias(h) for h in HEADS])
-    th = [A.quantile_higher(peaks, h, 0.9, name=f"t_{h}").select(f"t_{h}") for h in HEADS]
-    one = F.broadcast(th[0].crossJoin(th[1]).crossJoin(th[2]))  # one row of three thresholds
+    tall = peaks.unpivot("ep", list(HEADS), "head", "peak")
+    th = A.quantile_higher(tall, "peak", 0.9, "head", name="t")
+    one = F.broadcast(th.agg(*[F.max(F.when(F.col("head") == h, F.col("t"))).alias(f"t_{h}") for h in HEADS]))  # one row of three thresholds
     first = e.crossJoin(one).groupBy("ep").agg(*[F.min(F.when(F.col(h) > F.col(f"t_{h}"), F.col("q"))).alias(h) for h in HEADS])
     return first.select("ep", F.col("fm").alias("fs"), F.when(F.col("ap").isNotNull() & F.col("pp").isNotNull(), F.greatest("ap", "pp")).alias("fh"))
 

@@ -79,7 +79,7 @@ def _matched(spark, d):
 
 @register("matched_controls", f"WITH {MATCH} SELECT event, q, count(*) AS controls, {s6('max(m)', 'best')} FROM c JOIN p USING (scene, q) GROUP BY event, q")
 def matched_controls(spark, d):
-    return _matched(spark, d).groupBy("event", "q").agg(F.count("*").alias("controls"), r6(F.max("control_score"), "best"))
+    return _matched(spark, d).groupBy("event", "q").agg(F.sum("controls").alias("controls"), r6(F.max("best"), "best"))
 
 
 @register("event_mean_auc", f"WITH {MATCH}, w AS (SELECT event, avg(CASE WHEN cs > m THEN 1.0 WHEN cs = m THEN 0.5 ELSE 0.0 END) AS w FROM c JOIN p USING (scene, q) GROUP BY event) SELECT {s6('avg(w)', 'auc')}, count(*) AS events FROM w")
@@ -118,8 +118,7 @@ def knn_join(spark, d):
 @register("same_seed_replay", "SELECT a.o_custkey AS k, count(*) AS pairs, round(max(abs(a.o_totalprice - b.o_totalprice)) + 1e-9, 6) + 0.0 AS widest FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderstatus = 'F' AND b.o_orderstatus = 'O' GROUP BY a.o_custkey")
 def same_seed_replay(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), "o_orderstatus", "o_totalprice")
-    a, b = o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'").select("k", F.col("o_totalprice").alias("p2"))
-    return a.join(b, "k").groupBy("k").agg(F.count("*").alias("pairs"), r6(F.max(F.abs(F.col("o_totalprice") - F.col("p2"))), "widest"))
+    return J.paired_extremes(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'"), "k", "o_totalprice").select("k", "pairs", r6("widest", "widest"))
 
 
 # ---- aggregation -------------------------------------------------------------------------------------------------

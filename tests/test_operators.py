@@ -196,3 +196,48 @@ def test_rank_sum_counts_pairs(spark):
     want = sum((a > b) + 0.5 * (a == b) for a, p in full if p for b, q in full if not q)
     assert r["u"] == want
     assert I.rank_sum(df.where("x > 9"), "x", F.col("y") == 1).count() == 0
+
+
+def test_decay_skips_nulls_and_gaps(spark):
+    """A missing value leaves the average as it was; steps need not be contiguous; blocks carry over."""
+    rng = random.Random(3)
+    for keep, n in ((0.5, 40), (0.001, 400)):  # the second has blocks of 108 values
+        rows = [(ep, q * 3 + ep, None if rng.random() < 0.3 else rng.random(), f"t{q}") for ep in (1, 2) for q in range(n)]
+        rows += [(3, 5, None, "x"), (3, 9, None, "y"), (3, 11, 2.0, "z")]
+        df = spark.createDataFrame(rows, "ep int, q int, x double, tag string").repartition(3)
+        want = {}
+        for ep in (1, 2, 3):
+            y, first = 0.0, None
+            for _, q, x, _ in sorted(r for r in rows if r[0] == ep):
+                if x is not None:
+                    y = y * keep + x * (1 - keep)
+                    first = x if first is None else first * keep + x * (1 - keep)
+                want[ep, q] = (y, first)
+        a = {(r["ep"], r["q"]): r for r in W.decayed(df, S, "x", keep, 1 - keep, "y").collect()}
+        b = {(r["ep"], r["q"]): r for r in W.ewma(df, S, "x", 1 - keep, "y").collect()}
+        assert len(a) == len(b) == len(rows) and a[3, 11]["tag"] == "z"
+        for k, (y, first) in want.items():
+            assert a[k]["y"] == pytest.approx(y, abs=1e-12)
+            assert b[k]["y"] is first is None or b[k]["y"] == pytest.approx(first, abs=1e-12)
+
+
+def test_cumulated_equals_sorted_counts(spark):
+    from episodica.operators.ranked import cumulated
+
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 1, 2]), rng.choice([None, *range(200)]), 1) for _ in range(900)] + [(1, 7, 1)] * 300
+    df = spark.createDataFrame(rows, "g int, x int, w int").repartition(4)
+    for group in ((), ("g",)):
+        for r in cumulated(df, "x", *group, weight=F.col("w") * 2).collect():
+            own = [x for g, x, _ in rows if not group or g == r["g"]]
+            assert r["_all"] == 2 * len(own) and r["_n"] == 2 * own.count(r["x"])
+            assert r["_upto"] == 2 * sum(x is None or (r["x"] is not None and x <= r["x"]) for x in own)
+
+
+def test_matched_controls_are_counted_without_pairs(spark):
+    from episodica.operators import joins as J
+
+    cases = spark.createDataFrame([("a", 1, 5.0, 10), ("a", 1, None, 11), ("b", 1, 2.0, 12), ("a", 2, 1.0, 13)], "g string, q int, s double, e int")
+    pool = spark.createDataFrame([("a", 1, v) for v in (1.0, 5.0, 5.0, 9.0, None)] + [("b", 1, 2.0)], "g string, q int, s double")
+    got = {r["e"]: (r["controls"], r["best"], r["beaten"]) for r in J.matched_controls(cases, pool, ["g"], "q", "e", "s").collect()}
+    assert got == {10: (5, 9.0, 0.4), 11: (5, 9.0, 0.0), 12: (1, 2.0, 0.5)}
