@@ -139,3 +139,68 @@ def test_steps_look_back_only_and_wait_for_enough_of_them(spark):
             assert str(r) == str(whole[r["q"]])
         missing = {n: min(q for q in whole if whole[q][n] is not None) for n in f(df).columns if n not in df.columns}
         assert set(missing.values()) <= {1, 2, 3, 4} and whole[11].asDict().values()
+
+
+# ---- permutation tests with vectors of draws
+
+
+def test_hash_is_the_integer_formula():
+    from episodica.operators import maxt
+
+    got = maxt.hashed(7, np.arange(1, 4), np.array([0, 5, 2_147_483_640]))
+    for i, u in enumerate([0, 5, 2_147_483_640]):
+        for j, d in enumerate([1, 2, 3]):
+            h = 12345
+            for t in (7, d, u):
+                h = (h * 48271 + t % 2147483647 * 69621 + 11) % 2147483647
+            assert got[i, j] == pow(h, 5, 2147483647)
+
+
+def test_label_maxt_equals_a_direct_count(spark):
+    from episodica.operators import maxt
+
+    rng = np.random.default_rng(1)
+    units = [(u, int(rng.integers(0, 2)), "g" + str(u % 3)) for u in range(60)] + [(100 + u, 1, "all") for u in range(5)]
+    rows = [(u, y, g, c, s, float(rng.integers(0, 6)) + 2 * y * (c == "good")) for u, y, g in units for c in ("good", "noise") for s in ("a", "b") for _ in range(2)]
+    rows.append((3, units[3][1], units[3][2], "good", "a", None))
+    df = spark.createDataFrame(rows, "u long, y int, g string, c string, s string, v double").repartition(4)
+    n, stats = 40, {}
+    for d in range(n + 1):
+        label = {u: y for u, y, _ in units}
+        if d:
+            for g in {g for _, _, g in units}:
+                own = [u for u, _, h in units if h == g]
+                order = sorted(own, key=lambda u: maxt.hashed(7, np.array([d]), np.array([u]))[0, 0])
+                m = sum(label[u] for u in own)
+                for k, u in enumerate(order):
+                    label[u] = int(k < m)
+        for c in ("good", "noise"):
+            wins = pairs = 0.0
+            for s in ("a", "b"):
+                pos = [r[5] for r in rows if r[3] == c and r[4] == s and r[5] is not None and label[r[0]]]
+                neg = [r[5] for r in rows if r[3] == c and r[4] == s and r[5] is not None and not label[r[0]]]
+                wins += sum((a > b) + 0.5 * (a == b) for a in pos for b in neg)
+                pairs += len(pos) * len(neg)
+            stats[d, c] = wins / pairs
+    top = [max(abs(stats[d, c] - 0.5) for c in ("good", "noise")) for d in range(1, n + 1)]
+    got = {r["c"]: r for r in maxt.label_maxt(df, "u", "y", "g", "c", "s", "v", n).collect()}
+    for c in ("good", "noise"):
+        assert got[c]["observed"] == pytest.approx(stats[0, c])
+        assert got[c]["p"] == pytest.approx((1 + sum(t >= abs(stats[0, c] - 0.5) - 1e-12 for t in top)) / (n + 1))
+    assert got["good"]["p"] < 0.05 < got["noise"]["p"]
+
+
+def test_draws_do_not_copy_rows(spark):
+    """The plan has no Generate or Expand over input rows, and as many shuffles for ten draws as for a thousand."""
+    from episodica.operators import maxt
+
+    df = spark.createDataFrame([(g, f"c{g % 3}", g / 7) for g in range(90)], "g long, c string, e double")
+    sizes = []
+    for n in (10, 1000):
+        plan = maxt.sign_flip_maxt(df, "e", "g", "c", n)._jdf.queryExecution().optimizedPlan().toString()
+        sizes.append(plan.count("Repartition"))
+    assert sizes[0] == sizes[1] <= 4
+    p = {r["c"]: r["p"] for r in maxt.sign_flip_maxt(df.withColumn("e", F.lit(1.0) + F.col("e") / 100), "e", "g", "c", 99).collect()}
+    assert set(p.values()) == {1 / 100}
+    flat = df.withColumn("e", F.when(F.col("c") == "c0", F.lit(0.0)).otherwise(F.col("e")))
+    assert {r["c"] for r in maxt.sign_flip_maxt(flat, "e", "g", "c", 9).collect()} == {"c1", "c2"}
