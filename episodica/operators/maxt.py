@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..runtime import ship
 from .stats import average_rank
@@ -26,6 +27,13 @@ HELD = 2_000
 CELLS = 1 << 21
 
 
+def arrow(schema: StructType) -> list[pa.DataType]:
+    """Arrow types of a schema's columns: numbers and texts of keys keep their own."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return [f.type for f in to_arrow_schema(schema)]
+
+
 def hashed(seed: int, draws: np.ndarray, units: np.ndarray) -> np.ndarray:
     """Hashes of units (rows) in draws (columns), different for different units below the modulus."""
     h = (12345 * STEP + seed % MODULUS * TERM + 11) % MODULUS
@@ -39,11 +47,12 @@ def added(df: DataFrame, keys: list[str], vectors: list[str]) -> DataFrame:
     """Sums of list columns (of one length) by key: partial sums in each task, then one merge of sorted rows."""
     ship(df.sparkSession)
     schema = df.select(*keys, *vectors).schema
+    kinds = arrow(schema)
 
     def emit(sums: dict):
         if sums:
             names, values = list(sums), list(sums.values())
-            columns = [pa.array([k[i] for k in names]) for i in range(len(keys))] + [pa.array([v[i] for v in values], pa.list_(pa.float64())) for i in range(len(vectors))]
+            columns = [pa.array([k[i] for k in names], kinds[i]) for i in range(len(keys))] + [pa.array([v[i] for v in values], pa.list_(pa.float64())) for i in range(len(vectors))]
             yield pa.RecordBatch.from_arrays(columns, names=[*keys, *vectors])
 
     def run(batches, sorted_rows: bool):
@@ -69,7 +78,7 @@ def added(df: DataFrame, keys: list[str], vectors: list[str]) -> DataFrame:
 def shuffle_limits(units: DataFrame, unit: str, label: str, group: str, n: int, seed: int) -> DataFrame:
     """(group, limits): for each draw the hash up to which a group's units are positive. A group's ids are held by one task, 8 bytes each."""
     ship(units.sparkSession)
-    draws = np.arange(1, n + 1)
+    draws, own_kind = np.arange(1, n + 1), arrow(units.select(group).schema)[0]
 
     def limits(ids: list[np.ndarray], positives: int) -> list[int]:
         every = np.concatenate(ids)
@@ -90,13 +99,13 @@ def shuffle_limits(units: DataFrame, unit: str, label: str, group: str, n: int,
                 if high == low:
                     continue
                 if ids and groups[low] != held:
-                    yield pa.record_batch([pa.array([held]), pa.array([limits(ids, positives)])], names=["g", "limits"])
+                    yield pa.record_batch([pa.array([held], own_kind), pa.array([limits(ids, positives)])], names=["g", "limits"])
                     ids, positives = [], 0
                 held = groups[low]
                 ids.append(own[low:high])
                 positives += int(y[low:high].sum())
         if ids:
-            yield pa.record_batch([pa.array([held]), pa.array([limits(ids, positives)])], names=["g", "limits"])
+            yield pa.record_batch([pa.array([held], own_kind), pa.array([limits(ids, positives)])], names=["g", "limits"])
 
     kind = units.schema[group].dataType.simpleString()
     rows = units.select(F.col(group).alias("g"), F.col(unit).cast("long").alias("u"), F.col(label).cast("int").alias("y")).distinct()
@@ -124,7 +133,7 @@ def label_maxt(rows: DataFrame, unit: str, label: str, group: str, cell: str, st
     mixed = ranked.unionByName(limits, allowMissingColumns=True)
     mixed = mixed.repartition("_g").sortWithinPartitions("_g", F.col("limits").isNull()).select("_g", "_u", "_y", "_c", "_s", "_r", "limits")
     kinds = f"_c {rows.schema[cell].dataType.simpleString()}, _s {rows.schema[stratum].dataType.simpleString()}, ranks array<double>, positives array<double>, n array<double>"
-    draws = np.arange(1, n + 1)
+    draws, own = np.arange(1, n + 1), arrow(rows.select(cell, stratum).schema)
 
     def run(batches):
         edge = None
@@ -150,7 +159,7 @@ def label_maxt(rows: DataFrame, unit: str, label: str, group: str, cell: str, st
                     for i, key in enumerate(zip(names[0][a:z], names[1][a:z])):
                         where.setdefault(key, []).append(i)
                     columns = [[r[i] @ labels[i] for i in where.values()], [labels[i].sum(0) for i in where.values()], [[float(len(i))] for i in where.values()]]
-                    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in where]), pa.array([k[1] for k in where]), *(pa.array(c, pa.list_(pa.float64())) for c in columns)], names=["_c", "_s", "ranks", "positives", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in where], own[0]), pa.array([k[1] for k in where], own[1]), *(pa.array(c, pa.list_(pa.float64())) for c in columns)], names=["_c", "_s", "ranks", "positives", "n"])
 
     ship(rows.sparkSession)
     strata = added(mixed.mapInArrow(run, kinds), ["_c", "_s"], ["ranks", "positives", "n"])
@@ -171,7 +180,7 @@ def sign_flip_maxt(effects: DataFrame, value: str, group: str, cell: str, n: int
     ship(effects.sparkSession)
     w = (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w")
     rows = effects.where(F.col(value).isNotNull()).select(F.col(cell).alias("_c"), F.col(group).cast("long"), F.col(value).cast("double"), w)
-    draws = np.arange(1, n + 1)
+    draws, own = np.arange(1, n + 1), arrow(effects.select(cell).schema)[0]
 
     def run(batches):
         for b in batches:
@@ -184,7 +193,7 @@ def sign_flip_maxt(effects: DataFrame, value: str, group: str, cell: str, n: int
                 for i, c in enumerate(names[part]):
                     where.setdefault(c, []).append(i)
                 columns = [[(k[part][i] * e[part][i]) @ signs[i] for i in where.values()], [[k[part][i].sum(), (k[part][i] ** 2).sum(), (k[part][i] * e[part][i] ** 2).sum()] for i in where.values()]]
-                yield pa.RecordBatch.from_arrays([pa.array(list(where)), *(pa.array(c, pa.list_(pa.float64())) for c in columns)], names=["_c", "sums", "own"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(where), own), *(pa.array(c, pa.list_(pa.float64())) for c in columns)], names=["_c", "sums", "own"])
 
     kind = effects.schema[cell].dataType.simpleString()
     cells = added(rows.mapInArrow(run, f"_c {kind}, sums array<double>, own array<double>"), ["_c"], ["sums", "own"])

@@ -98,9 +98,15 @@ def shrunk_precision(n: int, s: np.ndarray, o: np.ndarray, shrink: float = 0.1)
     return mean, np.linalg.inv((1 - shrink) * cov + shrink * target)
 
 
-def mahalanobis(df: DataFrame, ident: str, vector: str, shrink: float = 0.1) -> DataFrame:
-    """Squared Mahalanobis distance over the dimension, from the mean of all rows."""
-    mean, precision = shrunk_precision(*moments(df, vector), shrink)
+def mahalanobis(df: DataFrame, ident: str, vector: str, shrink: float | None = None) -> DataFrame:
+    """Squared Mahalanobis distance over the dimension, from the mean of all rows; the covariance is shrunk by a share, or as Ledoit and Wolf find it."""
+    if shrink is None:
+        from .phases import keyed_moments, shrunk
+
+        dims = df.select(F.max(F.size(vector))).head()[0]
+        mean, precision, _ = shrunk(np.array(keyed_moments(df, [], vector, dims).head()["m"]), dims)
+    else:
+        mean, precision = shrunk_precision(*moments(df, vector), shrink)
 
     def run(frames):
         for f in frames:

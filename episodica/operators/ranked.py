@@ -40,14 +40,14 @@ def numbered(df: DataFrame, key: str, *ties: str, name: str = "row", parts: int
     return rows.withColumn("_own", own).join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_own") - 1).drop("_range", "_own", "_start")
 
 
-def cumulated(df: DataFrame, x: str, *group: str, weight: Column | None = None) -> DataFrame:
+def cumulated(df: DataFrame, x: str, *group: str, weight: Column | None = None, ranges: Column | None = None) -> DataFrame:
     """(group, x, _n, _upto, _all): for each value its weight (rows, or the sum of a column), that of it and all lower values, and the group's.
 
     Rows are counted by value first; each range of values adds its running sums to the totals of the ranges below it, so
-    neither all rows nor a group's are one task's.
+    neither all rows nor a group's are one task's. ranges: what range_of gave for x, if it is known.
     """
     v = df.groupBy(*group, x).agg(F.sum(F.lit(1) if weight is None else weight).alias("_n"))
-    v = v.withColumn("_range", range_of(df, x))
+    v = v.withColumn("_range", range_of(df, x) if ranges is None else ranges)
     totals = v.groupBy(*group, "_range").agg(F.sum("_n").alias("_t"))
     w = Window.partitionBy(*(group or [F.lit(0)]))  # a row for each group and range
     before = F.coalesce(F.sum("_t").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

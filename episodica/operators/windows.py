@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranked import cumulated
+from .ranked import cumulated, range_of
 
 
 def _c(x) -> Column:
@@ -230,12 +230,20 @@ def rank_within(x, *group: str) -> Column:
 
 def midrank(df: DataFrame, x: str, reference: str, name: str, *group: str) -> DataFrame:
     """Percentile (rows of reference at or below x, plus a half, over their number plus one). Counts are by value: no group is sorted as rows."""
-    c = cumulated(df, x, *group, weight=_c(reference).cast("int"))
-    c = c.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col(x).alias("_value"), ((F.col("_upto") + 0.5) / (F.col("_all") + 1)).alias(name))
-    match = F.col(x).eqNullSafe(F.col("_value"))
-    for i, g in enumerate(group):
-        match = match & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    return df.join(c, match).select(*df.columns, name)
+    return midranks(df, x, reference, {name: group})
+
+
+def midranks(df: DataFrame, x: str, reference: str, groups: dict[str, tuple]) -> DataFrame:
+    """df with a percentile of x for each name and its grouping."""
+    ranges, out = range_of(df, x), df
+    for k, (name, group) in enumerate(groups.items()):
+        c = cumulated(df, x, *group, weight=_c(reference).cast("int"), ranges=ranges)
+        c = c.select(*[F.col(g).alias(f"_g{k}_{i}") for i, g in enumerate(group)], F.col(x).alias(f"_value{k}"), ((F.col("_upto") + 0.5) / (F.col("_all") + 1)).alias(name))
+        match = F.col(x).eqNullSafe(F.col(f"_value{k}"))
+        for i, g in enumerate(group):
+            match = match & F.col(g).eqNullSafe(F.col(f"_g{k}_{i}"))
+        out = out.join(c, match).select(*out.columns, name)
+    return out
 
 
 def first_crossing(df: DataFrame, s: Series, score, threshold, name: str = "first") -> DataFrame:
