@@ -44,10 +44,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/episodica/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, *partition: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, and survives lost executors."""
+def written(df: DataFrame, name: str, *partition: str, narrow: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts lineage, and survives lost executors.
+
+    narrow: rows of a few numbers, which four waves of tasks hold in as many files; more would cost the store more than
+    their rows do.
+    """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     schema = df.schema
+    if narrow:
+        df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     out = df.write.option("compression", "zstd")
     (out.partitionBy(*partition) if partition else out).parquet(path)
     found = spark.read.schema(schema).parquet(path)

@@ -280,7 +280,7 @@ def checked(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for the nodes of edges (a, b): comp is the smallest node reachable. Alternating large and small stars."""
-    e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges", narrow=True)
     state = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -288,7 +288,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
-        last, e = e, written(small, "edges")
+        last, e = e, written(small, "edges", narrow=True)
         removed(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
@@ -306,18 +306,18 @@ def linked_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col
 
     texts = texts_of(docs, lists.select("cid").distinct(), text_col)
     pairs = found.where("kind = 'p'").select(F.greatest("cid", "lead").alias("a"), F.least("cid", "lead").alias("b")).distinct()
-    first = written(checked(pairs, texts, words), "checked")
-    comp = written(components(first.where(linked)), "components")
+    first = written(checked(pairs, texts, words), "checked", narrow=True)
+    comp = written(components(first.where(linked)), "components", narrow=True)
 
     # components that meet in a list, by sizes and positions; pairs already checked are settled
     named = lists.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    open_lists = written(named.join(mixed, "key"), "open")
+    open_lists = written(named.join(mixed, "key"), "open", narrow=True)
     sketches = found.where("kind = 'd'").select("cid", "sketch").join(open_lists.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"])
     meets = _meetings(open_lists, sketches, percent)
     settled = first.where(~linked).select("a", "b")
     leaders = meets.join(settled, ["a", "b"], "left_anti")
-    met = written(checked(leaders, texts, words), "leaders")
+    met = written(checked(leaders, texts, words), "leaders", narrow=True)
     direct = met.where(linked).select("a", "b")
     merged = _joined(comp, direct)
 
@@ -328,7 +328,7 @@ def linked_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col
     far = members.join(known, ["a", "b"], "left")
     rest = checked(far.where("total is null").select("a", "b"), texts, words)
     far = far.where("total is not null").select("node", "comp", "common", "total").unionByName(members.join(rest, ["a", "b"]).select("node", "comp", "common", "total"))
-    far = written(far.select("node", "comp", F.expr("1 - common / total").alias("d")), "distances")
+    far = written(far.select("node", "comp", F.expr("1 - common / total").alias("d")), "distances", narrow=True)
     radius = far.groupBy("comp").agg(F.max("d").alias("r"))
     gap = F.lit(1 - percent / 100 + 1e-9)
     close = (
@@ -339,7 +339,7 @@ def linked_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col
         .where("ra is not null or rb is not null")
     )
     close = _apart(close, merged).select("a", "b", "d")
-    close = written(close, "close")
+    close = written(close, "close", narrow=True)
     own = open_lists.join(far.select(F.col("node").alias("cid"), "d"), "cid", "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
     involved = close.select(F.explode(F.array("a", "b")).alias("comp")).distinct()
     bits = F.transform(F.sequence(F.lit(1), F.octet_length("sketch") - 3, F.lit(4)), lambda i: F.conv(F.hex(F.substring("sketch", i, F.lit(4))), 16, 10).cast("long"))
@@ -354,9 +354,9 @@ def linked_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col
         members = own.join(now, "comp", "left_semi")
         if turn < ROUNDS:
             members = members.groupBy("key", "comp").agg(F.min_by(F.struct("cid", "n", "pos", "d", "bits"), F.xxhash64("cid", "key", F.lit(turn))).alias("m")).select("key", "comp", "m.*")
-        tried = written(checked(_expanded(close, members, percent), texts, words), "checked")
+        tried = written(checked(_expanded(close, members, percent), texts, words), "checked", narrow=True)
         merged = _joined(merged, tried.where(linked).select("a", "b"))
-        close = written(_apart(close, merged).select("a", "b", "d"), "close")
+        close = written(_apart(close, merged).select("a", "b", "d"), "close", narrow=True)
         left = close.count()
     comp = merged
     removed(texts, open_lists, own, first, met, far, meets)
@@ -397,7 +397,7 @@ def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
     """Components after more links between their nodes."""
     if links.isEmpty():
         return comp
-    return written(components(links.unionByName(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")))), "components")
+    return written(components(links.unionByName(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")))), "components", narrow=True)
 
 
 def representatives(docs: DataFrame, words: int = 5, percent: int = 80, text_col: str = "text") -> DataFrame:
@@ -476,7 +476,7 @@ def _meetings(named: DataFrame, sketches: DataFrame, percent: int, list_most: in
     dealt = each.join(parts, "key").join(sketches, "cid").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("part", "other").alias("row"), F.greatest("part", "other").alias("col"), *fields[3:])
     sorted_ = cells.repartition("key", "row", "col").sortWithinPartitions("key", "row", "col", "n", "pos", "comp")
-    return written(sorted_.select(*fields).mapInArrow(run, "a long, b long").distinct(), "meetings")
+    return written(sorted_.select(*fields).mapInArrow(run, "a long, b long").distinct(), "meetings", narrow=True)
 
 
 def op5_jaccard(spark, sf_dir: str) -> DataFrame:
