@@ -50,6 +50,15 @@ def quantile_higher(df: DataFrame, x: str, q: float, *group: str, name: str = "t
     return v.groupBy(*group).agg(F.when(F.max("_all") >= least, pick).alias(name), F.max("_all").alias("n"))
 
 
+def quantile_linear(df: DataFrame, x: str, q: float, *group: str, name: str = "quantile") -> DataFrame:
+    """The quantile that interpolates between the two values around position q (n - 1), from counts by value."""
+    v = cumulated(df.where(F.col(x).isNotNull() & ~F.isnan(x)), x, *group)
+    at = (F.col("_all") - 1) * q
+    near = lambda c: F.min(F.when(F.col("_upto") >= c + 1, F.col(x)))
+    low, high = near(F.floor(at)), near(F.ceil(at))
+    return v.groupBy(*group).agg((low + (high - low) * (F.max(at) - F.floor(F.max(at)))).alias(name))
+
+
 def conformal_threshold(df: DataFrame, x: str, alpha: float, *group: str) -> DataFrame:
     """The ceil((n + 1)(1 - alpha))-th smallest, infinity if there is none."""
     v = cumulated(df, x, *group)

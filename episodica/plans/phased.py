@@ -11,7 +11,10 @@ from ..operators import windows as W
 from .common import EV, S, embeddings, events, over, r6, s6
 
 TASKS, RIDGE_LEAST, CELL_LEAST, RETURN_LEAST = 5, 64, 40, 32
-FIT = F.col("ep") % 2 == 0
+
+
+def healthy():
+    return F.col("ep") % 2 == 0
 
 
 def steps(spark, d):
@@ -32,7 +35,7 @@ pb AS (SELECT *, least(greatest(floor(phase * 5), 0), 4)::INTEGER AS bin FROM ph
 
 
 def with_phase(spark, d):
-    return H.phase_ridge(steps(spark, d), FIT, "task", "v", "progress", 2, least=RIDGE_LEAST)
+    return H.phase_ridge(steps(spark, d), healthy(), "task", "v", "progress", 2, least=RIDGE_LEAST)
 
 
 @register("phase_ridge", f"WITH {RIDGE} SELECT ep, q, {s6('phase', 'phase')} FROM ph")
@@ -63,7 +66,7 @@ def away_sql(g: str) -> str:
     FROM pb p LEFT JOIN (SELECT * FROM gs WHERE bin IS NOT NULL) c ON c.task = p.task AND c.bin = p.bin LEFT JOIN (SELECT * FROM gs WHERE bin IS NULL AND task IS NOT NULL) t ON t.task = p.task, (SELECT * FROM gs WHERE task IS NULL) g""",
 )
 def dynamics_density(spark, d):
-    rows = H.dynamics_density(with_phase(spark, d), FIT, "task", "v", "phase", 2, least=CELL_LEAST)
+    rows = H.dynamics_density(with_phase(spark, d), healthy(), "task", "v", "phase", 2, least=CELL_LEAST)
     return rows.select("ep", "q", r6("score", "score"), "level")
 
 
@@ -78,7 +81,7 @@ pp AS MATERIALIZED (SELECT ep, q, phase, CASE WHEN n1 >= {CELL_LEAST} THEN p1 WH
 
 
 def with_percentile(spark, d):
-    return H.phase_percentile(with_phase(spark, d), FIT, "task", "x", "phase", least=CELL_LEAST)
+    return H.phase_percentile(with_phase(spark, d), healthy(), "task", "x", "phase", least=CELL_LEAST)
 
 
 @register("phase_conditional_cdf", f"WITH {CDF} SELECT ep, q, {s6('p', 'percentile')} FROM pp")
@@ -100,7 +103,7 @@ def chance_sql(t: str) -> str:
 )
 def healthy_return_model(spark, d):
     """Chance to come back within three steps, by level, dwell and phase velocity."""
-    rows = H.healthy_return(with_percentile(spark, d), S, FIT, "percentile", "phase", least=RETURN_LEAST)
+    rows = H.healthy_return(with_percentile(spark, d), S, healthy(), "percentile", "phase", least=RETURN_LEAST)
     return rows.select("ep", "q", F.col("dwell").cast("int").alias("dwell"), "level", "dwell_bin", "velocity_bin", r6("chance", "chance"))
 
 
@@ -128,7 +131,7 @@ def anchor_template(spark, d):
     x = F.col("x") / 100
     slope = F.when(F.count("*").over(S.last(4)) > 1, W.trailing_slope(S, x, 4)).otherwise(0.0)
     rows = e.withColumn("v", F.array(x, slope)).join(onset, "ep", "left")
-    return H.anchor_template(rows, S, "onset", FIT, "v", 2).select("ep", "q", r6("score", "score"))
+    return H.anchor_template(rows, S, "onset", healthy(), "v", 2).select("ep", "q", r6("score", "score"))
 
 
 @register(
