@@ -9,8 +9,7 @@ from ..functions import transfer as T
 from ..functions import vectors as V
 from ..operators.ranked import numbered
 from ..sources import arrays as A
-from .common import S, r6, s6, table
-from .profiles import RANGE
+from .common import RANGE, S, r6, s6, table
 
 CHUNK = 128
 

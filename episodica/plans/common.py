@@ -40,9 +40,20 @@ def embeddings(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("ids", V.top_ids("p", 4)).withColumn("w", F.transform("ids", lambda i: F.element_at("p", i + 1)))
 
 
+#: Ids of a label that form one episode: so many at most, and episodes grow with the table.
+RANGE = 250
+
+
+def episodes(e: DataFrame) -> DataFrame:
+    """Embeddings whose label is an episode's key: the label with the range of the id."""
+    return e.withColumn("label", (F.col("label") * 1_000_000 + F.floor(F.col("vec_id") / RANGE)).cast("long"))
+
+
 EM = """e0 AS (SELECT vec_id, label, list_transform(embedding, lambda t: CAST(t AS DOUBLE)) AS v FROM embeddings),
 e1 AS (SELECT *, list_transform(v, lambda t: abs(t)) AS a FROM e0),
 em AS (SELECT vec_id, label, v, list_transform(a, lambda t: t / greatest(list_sum(a), 1e-12)) AS p FROM e1)"""
+#: Embeddings by episode, as episodes() gives them.
+EP = f"{EM}, ep AS (SELECT * REPLACE ((label * 1000000 + vec_id // {RANGE})::BIGINT AS label) FROM em)"
 #: Pairs of neighbours by vec_id, with support ids (from 0) and their weights.
 EM2 = (
     EM

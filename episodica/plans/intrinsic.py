@@ -8,8 +8,7 @@ from ..catalog import register
 from ..operators.windows import local_query
 from ..streaming import intrinsic as I
 from ..streaming.matching import Shape
-from .common import r6, s6, table
-from .profiles import RANGE
+from .common import RANGE, r6, s6, table
 
 SHAPE, LAYERS = Shape(4, 4, 2, 2), 2
 #: Quantiles low enough for alarms on these tables, and as few references as they have.

@@ -9,8 +9,7 @@ from ..catalog import register
 from ..operators.windows import local_query
 from ..streaming import folds
 from ..streaming import matching as X
-from .common import r6, s6, table
-from .profiles import RANGE
+from .common import RANGE, r6, s6, table
 
 #: A vector as a route: a front and a back layer, four flow steps, the state and an action, four experts.
 SHAPE = X.Shape(2, 4, 2, 4)

@@ -11,7 +11,7 @@ from ..functions.scalars import lcg
 from ..operators import sequence as G
 from ..operators import stats as A
 from ..operators import windows as W
-from .common import BY, EV, S, embeddings, events, r6, s6, table
+from .common import BY, EV, S, embeddings, episodes, events, r6, s6, table
 from .stats import lcg_sql
 from .vectors import EM, GR, PATH, _group, _path, _site_pairs, dist, zsum
 
@@ -25,8 +25,8 @@ def pairwise_rms(spark, d):
 
 @register("leave_one_out_distance", f"WITH {GR}, x AS (SELECT label, vec_id, unnest(v) AS v, unnest(range(64)) AS i FROM t), c AS (SELECT label, vec_id, v - (sum(v) OVER (PARTITION BY label, i) - v) / (count(*) OVER (PARTITION BY label, i) - 1) AS e FROM x) SELECT vec_id, {s6('sqrt(sum(e * e))', 'distance')} FROM c GROUP BY vec_id")
 def leave_one_out_distance(spark, d):
-    """Distance to the mean of the label's other members, from one sum for each label and place."""
-    e = embeddings(spark, d).select("vec_id", "label", "v")
+    """Distance to the mean of the episode's other members, from one sum for each episode and place."""
+    e = episodes(embeddings(spark, d)).select("vec_id", "label", "v")
     sums = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
     sums = sums.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda t: t["x"]).alias("s"), F.max("n").alias("n"))  # one entry for each place
     gap = F.zip_with("v", "s", lambda v, s: v - (s - v) / (F.col("n") - 1))
@@ -63,7 +63,7 @@ def conditional_graph(spark, d):
 @register("perturbation_response", f"WITH {PATH}, p AS (SELECT label, vec_id, {dist('v', 'v0')} AS dd, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS f FROM w), a AS (SELECT label, max(dd) AS peak, arg_max(dd, f) AS term FROM p GROUP BY label) SELECT label, {s6('peak', 'peak')}, {s6('term', 'terminal')}, {s6('CASE WHEN peak > 1e-12 THEN (peak - term) / peak END', 'funnel')} FROM a")
 def perturbation_response(spark, d):
     o = Window.partitionBy("label").orderBy("vec_id")
-    p = embeddings(spark, d).select("label", "vec_id", V.euclidean("v", F.first("v").over(o)).alias("dd"))
+    p = episodes(embeddings(spark, d)).select("label", "vec_id", V.euclidean("v", F.first("v").over(o)).alias("dd"))
     a = p.groupBy("label").agg(F.max("dd").alias("peak"), F.max_by("dd", "vec_id").alias("term"))
     return a.select("label", r6("peak", "peak"), r6("term", "terminal"), r6(F.when(F.col("peak") > 1e-12, (F.col("peak") - F.col("term")) / F.col("peak")), "funnel"))
 

@@ -14,10 +14,7 @@ from ..operators import windows as W
 from ..operators.windows import local_query
 from ..streaming import folds
 from ..streaming import guards as G
-from .common import S, r6, s6, table
-
-RANGE = 250
-
+from .common import RANGE, S, r6, s6, table
 
 def routes(spark, d: str) -> DataFrame:
     """ep, task, q, route (layers of tokens of probabilities) of every vector."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..functions import vectors as V
-from .common import EM, EM2, embeddings, pairs, r6, s6
+from .common import EM, EM2, EP, embeddings, episodes, pairs, r6, s6
 
 
 def zsum(a: str, b: str, f: str) -> str:
@@ -112,12 +112,12 @@ def expert_mutual_information(spark, d):
     return h.join(o, "label").select("label", r6(F.col("h") - F.col("o"), "mi"))
 
 
-GR = f"{EM}, g AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM em), t AS (SELECT *, (r - 1) // 12 AS site FROM g)"
+GR = f"{EP}, g AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM ep), t AS (SELECT *, (r - 1) // 12 AS site FROM g)"
 
 
 def _group(spark, d, size: int = 12):
-    """All embeddings of a label in order of id, dealt over sites of a few members, as the tokens of a site are."""
-    e = embeddings(spark, d).withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")))
+    """All embeddings of an episode in order of id, dealt over sites of a few members, as the tokens of a site are."""
+    e = episodes(embeddings(spark, d)).withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")))
     return e.withColumn("site", F.floor((F.col("r") - 1) / size))
 
 
@@ -133,7 +133,7 @@ def _site_pairs(g, *cols: str):
     SELECT label, {s6(f'avg({zsum("p", "q", "least(x, y)")} / greatest({zsum("p", "q", "greatest(x, y)")}, 1e-12))', 'consensus')}, {s6(f'avg(sqrt(least(greatest(1 - {BC}, 0), 1)))', 'dispersion')} FROM z GROUP BY label""",
 )
 def token_consensus(spark, d):
-    """Mean over all pairs of members of a site, over all sites of a label."""
+    """Mean over all pairs of members of a site, over all sites of an episode."""
     return _site_pairs(_group(spark, d), "p").groupBy("label").agg(r6(F.avg(V.weighted_jaccard("p", "p2")), "consensus"), r6(F.avg(V.hellinger("p", "p2")), "dispersion"))
 
 
@@ -154,13 +154,13 @@ def state_action_gap(spark, d):
     return g.where("r > 1").select("label", "p").join(g.where("r = 1").select("label", F.col("p").alias("q")), "label").groupBy("label").agg(r6(F.avg(V.hellinger("p", "q")), "gap"))
 
 
-#: Embeddings of a label in order of id as a path of steps.
-PATH = f"{EM}, w AS (SELECT vec_id, label, v, p, lag(v) OVER o AS v1, lag(v, 2) OVER o AS v2, lag(p) OVER o AS p1, lead(p) OVER o AS p2, first_value(v) OVER o AS v0 FROM em WINDOW o AS (PARTITION BY label ORDER BY vec_id))"
+#: Embeddings of an episode in order of id as a path of steps.
+PATH = f"{EP}, w AS (SELECT vec_id, label, v, p, lag(v) OVER o AS v1, lag(v, 2) OVER o AS v2, lag(p) OVER o AS p1, lead(p) OVER o AS p2, first_value(v) OVER o AS v0 FROM ep WINDOW o AS (PARTITION BY label ORDER BY vec_id))"
 
 
 def _path(spark, d):
     o = Window.partitionBy("label").orderBy("vec_id")
-    return embeddings(spark, d).select("vec_id", "label", "v", "p", F.lag("v").over(o).alias("v1"), F.lag("v", 2).over(o).alias("v2"), F.lag("p").over(o).alias("p1"), F.lead("p").over(o).alias("p2"))
+    return episodes(embeddings(spark, d)).select("vec_id", "label", "v", "p", F.lag("v").over(o).alias("v1"), F.lag("v", 2).over(o).alias("v2"), F.lag("p").over(o).alias("p1"), F.lead("p").over(o).alias("p2"))
 
 
 def dist(a: str, b: str) -> str:
