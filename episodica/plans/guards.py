@@ -79,9 +79,9 @@ def guard_metrics(spark, d):
     return A.confusion(j, F.col("a"), F.col("r"), "suite").select("suite", "tp", "fp", "fn", "tn", r6("recall", "recall"), r6("precision", "precision"), r6("fpr", "fpr"))
 
 
-@register("dual_regime_monitor", f"WITH {EV}, z AS (SELECT ep, q, CASE WHEN count(x) {over(4)} = 4 THEN max(x) {over(4)} - min(x) {over(4)} END AS rg FROM ev), w AS (SELECT ep, q, rg, CASE WHEN count(rg) {over(3)} = 3 THEN max(rg) {over(3)} END AS hi, CASE WHEN count(rg) {over(2)} = 2 THEN min(rg) {over(2)} END AS lo FROM z) SELECT ep, coalesce(min(q) FILTER (hi < 30), -1) AS lock_first, coalesce(min(q) FILTER (lo > 150), -1) AS unstable_first, coalesce(min(q) FILTER (hi < 30 OR lo > 150), -1) AS first_alarm FROM w GROUP BY ep")
-def dual_regime_monitor(spark, d):
-    """Alarms of two regimes, either of which opens: locked (the trailing range stays low for three steps) or unstable (it stays high for two)."""
+@register("range_regimes", f"WITH {EV}, z AS (SELECT ep, q, CASE WHEN count(x) {over(4)} = 4 THEN max(x) {over(4)} - min(x) {over(4)} END AS rg FROM ev), w AS (SELECT ep, q, rg, CASE WHEN count(rg) {over(3)} = 3 THEN max(rg) {over(3)} END AS hi, CASE WHEN count(rg) {over(2)} = 2 THEN min(rg) {over(2)} END AS lo FROM z) SELECT ep, coalesce(min(q) FILTER (hi < 30), -1) AS lock_first, coalesce(min(q) FILTER (lo > 150), -1) AS unstable_first, coalesce(min(q) FILTER (hi < 30 OR lo > 150), -1) AS first_alarm FROM w GROUP BY ep")
+def range_regimes(spark, d):
+    """Alarms of two regimes of one scalar, either of which opens: locked (the trailing range stays low for three steps) or unstable (it stays high for two)."""
     e = events(spark, d).withColumn("rg", F.when(F.count("x").over(S.last(4)) == 4, W.trailing_range(S, "x", 4)))
     lock, unstable = -W.persistence(S, -F.col("rg"), 3) < 30, W.persistence(S, "rg", 2) > 150
     e = e.select("ep", "q", lock.alias("lock"), unstable.alias("unstable"))
@@ -89,8 +89,8 @@ def dual_regime_monitor(spark, d):
     return e.groupBy("ep").agg(first(F.col("lock"), "lock_first"), first(F.col("unstable"), "unstable_first"), first(F.col("lock") | F.col("unstable"), "first_alarm"))
 
 
-@register("acceleration_excess_alarm", f"WITH {EV}, z AS (SELECT ep, q, abs(x - 2 * lag(x, 1) {BY} + lag(x, 2) {BY}) AS a FROM ev), b AS (SELECT *, avg(a) OVER (PARTITION BY ep ORDER BY q ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS b, count(a) OVER (PARTITION BY ep ORDER BY q ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS n FROM z) SELECT ep, coalesce(min(q) FILTER (n = 8 AND a > 2 * b), -1) AS first FROM b GROUP BY ep")
-def acceleration_excess_alarm(spark, d):
+@register("acceleration_spikes", f"WITH {EV}, z AS (SELECT ep, q, abs(x - 2 * lag(x, 1) {BY} + lag(x, 2) {BY}) AS a FROM ev), b AS (SELECT *, avg(a) OVER (PARTITION BY ep ORDER BY q ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS b, count(a) OVER (PARTITION BY ep ORDER BY q ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS n FROM z) SELECT ep, coalesce(min(q) FILTER (n = 8 AND a > 2 * b), -1) AS first FROM b GROUP BY ep")
+def acceleration_spikes(spark, d):
     """First step whose acceleration is over twice the mean of the eight before it."""
     e = events(spark, d).withColumn("a", F.abs(W.difference(S, "x", 2)))
     before = S.by.rowsBetween(-8, -1)
@@ -98,9 +98,9 @@ def acceleration_excess_alarm(spark, d):
     return e.groupBy("ep").agg(F.coalesce(F.min(F.when((F.col("n") == 8) & (F.col("a") > 2 * F.col("b")), F.col("q"))), F.lit(-1)).alias("first"))
 
 
-@register("cold_start_guard", f"WITH {EV}, t AS (SELECT k, avg(x) AS mu, stddev_samp(x) AS sd FROM ev WHERE ep % 2 = 0 GROUP BY k), z AS (SELECT ep, q, (x - mu) / greatest(sd, 1e-9) AS z FROM ev JOIN t USING (k)), m AS (SELECT ep, q, CASE WHEN count(z) {over(4)} = 4 THEN avg(z) {over(4)} END AS m FROM z) SELECT ep, coalesce(min(q) FILTER (m > 0.8), -1) AS first FROM m GROUP BY ep")
-def cold_start_guard(spark, d):
-    """First alarm of episodes of a task without thresholds of its own: scores are standardised by prototypes of the known episodes."""
+@register("standardised_guard", f"WITH {EV}, t AS (SELECT k, avg(x) AS mu, stddev_samp(x) AS sd FROM ev WHERE ep % 2 = 0 GROUP BY k), z AS (SELECT ep, q, (x - mu) / greatest(sd, 1e-9) AS z FROM ev JOIN t USING (k)), m AS (SELECT ep, q, CASE WHEN count(z) {over(4)} = 4 THEN avg(z) {over(4)} END AS m FROM z) SELECT ep, coalesce(min(q) FILTER (m > 0.8), -1) AS first FROM m GROUP BY ep")
+def standardised_guard(spark, d):
+    """First alarm of a score that is standardised by the mean and spread of known episodes (see cold_start_monitor for tasks without a profile)."""
     e = events(spark, d)
     t = e.where("ep % 2 = 0").groupBy("k").agg(F.avg("x").alias("mu"), F.stddev_samp("x").alias("sd"))
     z = e.join(t, "k").withColumn("z", (F.col("x") - F.col("mu")) / F.greatest("sd", F.lit(1e-9)))

@@ -68,8 +68,8 @@ def _shown(rows, columns):
     return rows.select("ep", "q", *[r6(c, c) for c in ("match_distance", *columns)], "rejected", "run", "alarm", "first_alarm")
 
 
-@register("matched_acceleration_excess", EXCESS)
-def matched_acceleration_excess(spark, d):
+@register("acceleration_excess_alarm", EXCESS)
+def acceleration_excess_alarm(spark, d):
     """Alarms where the back layers accelerate more, against the front, than in any healthy route at the matched place."""
     routes = flat_routes(spark, d)
     rule = X.AccelerationExcess(bank_of(routes, EPISODES), SHAPE, THRESHOLD)

@@ -1,4 +1,4 @@
-"""Queries of the models and of exact tests; these have no SQL and are tested against direct computations."""
+"""Queries of the models and of exact tests; those without SQL are tested against direct computations."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from ..catalog import register
 from ..operators import models as M
 from ..operators import stats as A
 from ..runtime import ship
-from .common import embeddings, events, r6, table
+from .common import BY, EV, embeddings, events, r6, table
 
 
 @register("effective_rank")
@@ -34,7 +34,14 @@ def pca_whitening(spark, d):
     return e.select("vec_id", F.array(*parts).alias("components")).select("vec_id", F.col("components")[0].alias("first_component"), "components")
 
 
-@register("ridge_autoregression")
+#: The three normal equations of a ridge on two lags, solved by determinants.
+_N = {f"a{i}{j}": f"sum(c{i} * c{j}) + {20 if i == j and i else 0}" for i in range(3) for j in range(3)} | {f"y{i}": f"sum(c{i} * y)" for i in range(3)}
+_DET = lambda m: f"({m[0]} * ({m[4]} * {m[8]} - {m[5]} * {m[7]}) - {m[1]} * ({m[3]} * {m[8]} - {m[5]} * {m[6]}) + {m[2]} * ({m[3]} * {m[7]} - {m[4]} * {m[6]}))"
+_SWAP = lambda k: [f"y{i}" if j == k else f"a{i}{j}" for i in range(3) for j in range(3)]
+RIDGE = f"WITH {EV}, l AS (SELECT 1.0 AS c0, lag(x, 1) {BY} AS c1, lag(x, 2) {BY} AS c2, x AS y FROM ev), n AS (SELECT {', '.join(f'{v} AS {k}' for k, v in _N.items())} FROM l WHERE c2 IS NOT NULL)"
+
+
+@register("ridge_autoregression", RIDGE + " " + " UNION ALL ".join(f"SELECT {k} AS lag, round({_DET(_SWAP(k))} / {_DET(_SWAP(-1))}, 6) AS coefficient FROM n" for k in range(3)))
 def ridge_autoregression(spark, d):
     c = M.ridge_var(events(spark, d), "ep", "q", "x", 2, 20.0)
     return spark.createDataFrame([(i, round(v, 6)) for i, v in enumerate(c)], "lag int, coefficient double")

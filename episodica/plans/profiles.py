@@ -94,8 +94,8 @@ def guard_sql(kinds: list[tuple], limits: str | None = None, key: str = "task",
       f1 AS first_lock, f2 AS first_instability, run1 AS lock_run, run2 AS instability_run, {s6('z1::DOUBLE', 'lock_smoothed')}, {s6('z2::DOUBLE', 'instability_smoothed')}{show} FROM al"""
 
 
-@register("dual_regime_guard", guard_sql(UNIFORM))
-def dual_regime_guard(spark, d):
+@register("dual_regime_monitor", guard_sql(UNIFORM))
+def dual_regime_monitor(spark, d):
     """Both regimes with one profile for all tasks: the median layer is locked, or L5 unstable."""
     return shown(guarded(spark, d, UNIFORM))
 

@@ -408,14 +408,24 @@ def group_bootstrap(spark, d):
     return R.bootstrap(e, "g", 40).groupBy("draw").agg(r6(F.avg("e"), "stat"))
 
 
-@register("label_permutation")
+@register(
+    "label_permutation",
+    f"""WITH l AS (SELECT doc_id, source, n_chars, toxic, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM labels JOIN documents USING (doc_id)),
+    p AS (SELECT dr, source, n_chars, row_number() OVER (PARTITION BY dr, source ORDER BY CASE WHEN dr = 0 THEN r ELSE {lcg_sql('7', 'dr', 'doc_id')} END, doc_id) AS r FROM l, range(20) t(dr))
+    SELECT dr::INTEGER AS draw, sum(toxic) AS positives, {s6('avg(p.n_chars) FILTER (toxic = 1)', 'stat')} FROM p JOIN l USING (source, r) GROUP BY dr""",
+)
 def label_permutation(spark, d):
     x = _labelled(spark, d)
     p = R.permuted(x.select("doc_id", "source", "n_chars", "toxic"), "toxic", ["source"], "doc_id", 20)
     return p.groupBy("draw").agg(F.sum("toxic").alias("positives"), r6(F.avg(F.when(F.col("toxic") == 1, F.col("n_chars"))), "stat"))
 
 
-@register("crossed_bootstrap")
+def axis_sql(k: int, c: str) -> str:
+    """Draw counts of the units of an axis, whose seed is 7 + k."""
+    return f"u{k} AS (SELECT {c}, row_number() OVER (ORDER BY {c}) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT {c} FROM events)), w{k} AS (SELECT dr, {c}, count(*) AS w FROM (SELECT dr, CAST(floor({lcg_sql(str(7 + k), 'dr', 'i')} / 64) AS BIGINT) % n AS i FROM u{k}, range(20) t(dr)) JOIN u{k} USING (i) GROUP BY ALL)"
+
+
+@register("crossed_bootstrap", f"WITH {axis_sql(1, 'user_id')}, {axis_sql(2, 'event_type')} SELECT dr::INTEGER AS draw, {s6('sum(w1.w * w2.w * value) / sum(w1.w * w2.w)', 'stat')} FROM events JOIN w1 USING (user_id) JOIN w2 USING (dr, event_type) GROUP BY dr")
 def crossed_bootstrap(spark, d):
     x = table(spark, d, "events").select("user_id", F.col("event_type").alias("k"), "value")
     w = R.crossed_weights(x, "user_id", "k", 20)

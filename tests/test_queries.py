@@ -67,3 +67,57 @@ def test_pca_whitening_gives_all_components(spark, duck):
     assert x.shape[1] > 1 and len(rows) == duck.sql("SELECT count(*) FROM embeddings").fetchall()[0][0]
     assert np.allclose(x.T @ x / len(x), np.eye(x.shape[1]), atol=1e-4) and np.allclose(x.mean(0), 0, atol=1e-5)
     assert [r["first_component"] for r in rows] == x[:, 0].tolist()
+
+
+def test_mahalanobis_is_shrunk_as_ledoit_and_wolf_define(spark, duck):
+    import numpy as np
+
+    x = {i: v for i, v in duck.sql("SELECT vec_id, embedding FROM embeddings").fetchall()}
+    m = np.array([x[i] for i in sorted(x)], float)
+    c = m - m.mean(0)
+    n, p = c.shape
+    cov = c.T @ c / n
+    mu = np.trace(cov) / p
+    far, noise = ((cov - mu * np.eye(p)) ** 2).sum(), sum(((np.outer(r, r) - cov) ** 2).sum() for r in c) / n**2
+    share = min(noise, far) / far
+    inverse = np.linalg.inv((1 - share) * cov + share * mu * np.eye(p))
+    want = dict(zip(sorted(x), np.einsum("ij,jk,ik->i", c, inverse, c) / p))
+    for r in catalog.queries()["mahalanobis_density"](spark, SF).collect():
+        assert r["distance"] == pytest.approx(want[r["vec_id"]], abs=2e-6)
+
+
+def test_json_is_safe(spark, duck):
+    import json
+
+    want = dict(duck.sql("SELECT event_id, CASE WHEN value <= 300 THEN value END FROM events").fetchall())
+    rows = catalog.queries()["json_safe_encode"](spark, SF).collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        assert json.loads(r["json"]) == {"event_id": r["event_id"], "value": want[r["event_id"]]}
+
+
+def test_compressed_length_and_kernel_ridge(spark, duck):
+    import numpy as np
+
+    rows = catalog.queries()["compressed_length"](spark, SF).collect()
+    assert len(rows) == duck.sql("SELECT count(*) FROM embeddings").fetchall()[0][0] and all(0 < r["ratio"] < 2 for r in rows)
+    cells = duck.sql("SELECT c_nationkey, c_custkey % 4, c_acctbal / 1000, (c_custkey % 7)::DOUBLE FROM customer").fetchall()
+    got = {}
+    for r in catalog.queries()["kernel_ridge_loco"](spark, SF).collect():
+        got.setdefault((r["c_nationkey"], r["fold"], r["x"]), []).append(r["predicted"])
+    g = next(g for g, *_ in cells if len({f for h, f, *_ in cells if h == g}) > 1)
+    own = [(f, x, y) for h, f, x, y in cells if h == g]
+    for f, x, _ in own:
+        a, b = np.array([c[1] for c in own if c[0] != f]), np.array([c[2] for c in own if c[0] != f])
+        k = np.exp(-((a[:, None] - a) ** 2) / 2)
+        want = np.exp(-((x - a) ** 2) / 2) @ np.linalg.solve(k + np.eye(len(a)), b - b.mean()) + b.mean()
+        assert min(abs(p - want) for p in got[g, f, round(x, 6)]) < 1e-5
+
+
+def test_table_fingerprint_ignores_order_and_sees_changes(spark):
+    from episodica.sources import io
+
+    t = spark.read.parquet(f"{SF}/nation.parquet")
+    one = io.table_hash(t).head()
+    assert io.table_hash(t.orderBy("n_name")).head() == one == catalog.queries()["table_fingerprint"](spark, SF).head()
+    assert io.table_hash(t.where("n_nationkey > 0")).head() != one
