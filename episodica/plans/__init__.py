@@ -1,3 +1,3 @@
 """Queries over the reference's own operators; importing a module registers its queries."""
 
-from . import arrays, guards, inference, intrinsic, learned, matched, models, more, permutations, phased, profiles, stats, vectors, windows  # noqa: F401
+from . import arrays, cascades, guards, inference, intrinsic, learned, matched, models, more, permutations, phased, profiles, stats, vectors, windows  # noqa: F401
