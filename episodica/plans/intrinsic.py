@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..operators.windows import local_query
+from ..streaming import folds
 from ..streaming import intrinsic as I
 from ..streaming.matching import Shape
+from ..streaming.selfref import Limits, SelfReference
 from .common import RANGE, r6, s6, table
 
 SHAPE, LAYERS = Shape(4, 4, 2, 2), 2
@@ -74,3 +76,25 @@ def route_intrinsic_guard(spark, d):
     """The whole guard over routes: back layers against their own early steps, one profile for all tasks."""
     _, rows = guarded(spark, d)
     return rows.select("ep", "q", *[r6(c, c) for c in ("freeze", "acceleration_held", "periodicity_held")], *[f"first_{n}" for n in ("freeze", "acceleration", "periodicity", "turbulence", "alarm")], "mechanism")
+
+
+# ---- self-reference
+
+LIMITS = Limits(4, 3, 1.1, 0.8, 0.7)
+SELF = f"""r0 AS (SELECT vec_id, (label * 1000000 + vec_id // {RANGE})::BIGINT AS ep, [abs(x::DOUBLE) FOR x IN embedding] AS a FROM embeddings),
+r1 AS (SELECT *, (row_number() OVER (PARTITION BY ep ORDER BY vec_id) - 1)::INTEGER AS q FROM r0),
+r2 AS MATERIALIZED (SELECT ep, q, j // 16 AS l, (j // 4) % 4 AS f, (j // 2) % 2 AS u, j % 2 AS e, a[j + 1] / greatest(a[j + 1] + a[xor(j, 1) + 1], 1e-12) AS p FROM r1, range(64) t(j)),
+ac AS (SELECT ep, q, avg(m) AS o1 FROM (SELECT x.ep, x.q, x.l, x.f, sqrt(sum(power(sqrt(z.p) - 2 * sqrt(y.p) + sqrt(x.p), 2)) / 2) AS m FROM r2 x JOIN r2 y ON (x.ep, x.q, x.l, x.u, x.e, x.f + 1) = (y.ep, y.q, y.l, y.u, y.e, y.f) JOIN r2 z ON (x.ep, x.q, x.l, x.u, x.e, x.f + 2) = (z.ep, z.q, z.l, z.u, z.e, z.f) WHERE x.l >= 2 AND x.u = 1 GROUP BY ALL) GROUP BY ep, q),
+ga AS (SELECT ep, q, avg(m) AS o2 FROM (SELECT x.ep, x.q, x.l, sqrt(least(greatest(1 - sum(sqrt(x.p * y.p)), 0), 1)) AS m FROM r2 x JOIN r2 y ON (x.ep, x.q, x.l, x.e) = (y.ep, y.q, y.l, y.e) WHERE x.l < 2 AND x.f = 3 AND y.f = 3 AND x.u = 0 AND y.u = 1 GROUP BY ALL) GROUP BY ep, q),
+re AS (SELECT ep, q, avg(m) AS o3 FROM (SELECT x.ep, x.q, x.l, sqrt(least(greatest(1 - sum(sqrt(x.p * y.p)), 0), 1)) AS m FROM r2 x JOIN r2 y ON (x.ep, x.q - 1, x.l, x.e) = (y.ep, y.q, y.l, y.e) WHERE x.l < 2 AND x.f = 3 AND y.f = 3 AND x.u = 0 AND y.u = 0 GROUP BY ALL) GROUP BY ep, q),
+ob AS (SELECT ep, q, o1, o2, o3 FROM ac JOIN ga USING (ep, q) LEFT JOIN re USING (ep, q)),
+wa AS (SELECT ep, {', '.join(f'median(o{k}) AS b{k}' for k in (1, 2, 3))} FROM ob WHERE q BETWEEN 1 AND 4 GROUP BY ep),
+ra AS (SELECT ob.ep, q, {', '.join(f'CASE WHEN q >= 7 THEN median(o{k}) {frame(3)} / greatest(b{k}, 1e-12) END AS x{k}' for k in (1, 2, 3))} FROM ob JOIN wa ON wa.ep = ob.ep),
+rj AS (SELECT *, coalesce(x3 <= 1.1 AND x1 >= 0.8 AND x2 >= 0.7, false) AS alarm FROM ra)"""
+
+
+@register("self_reference_collapse", f"WITH {SELF.replace('PARTITION BY ep ORDER BY q ROWS', 'PARTITION BY ob.ep ORDER BY q ROWS')} SELECT ep, q, {s6('x1', 'churn_ratio')}, {s6('x2', 'gap_ratio')}, {s6('x3', 'response_ratio')}, q >= 4 AS warm, alarm, (q - coalesce(max(CASE WHEN NOT alarm THEN q END) OVER o, -1))::INTEGER AS run, coalesce(min(CASE WHEN alarm THEN q END) OVER o, -1) AS first_alarm FROM rj WINDOW o AS (PARTITION BY ep ORDER BY q ROWS UNBOUNDED PRECEDING)")
+def self_reference_collapse(spark, d):
+    """All three conditions of a collapse, against the episode's own warm-up."""
+    rows = folds.batch(routes(spark, d), SelfReference(LIMITS, SHAPE))
+    return rows.select("ep", "q", r6("churn_ratio", "churn_ratio"), r6("gap_ratio", "gap_ratio"), r6("response_ratio", "response_ratio"), "warm", "alarm", "run", "first_alarm")

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from episodica.operators import stats as A
 from episodica.plans import intrinsic as P
 from episodica.streaming import folds
 from episodica.streaming import intrinsic as I
+from episodica.streaming.selfref import Limits, SelfReference
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["freeze", "acceleration_held", "periodicity_held", "first_freeze", "first_acceleration", "first_periodicity", "first_turbulence", "first_alarm", "mechanism"]
@@ -69,3 +71,23 @@ def test_linear_quantile_from_counts(spark):
     df = spark.createDataFrame([(x,) for x in [3.0, 1.0, 1.0, 8.0, None, 5.0, 1.0, float("nan")]], "x double")
     for q, want in ((0.0, 1.0), (0.5, 2.0), (0.75, 4.5), (1.0, 8.0)):
         assert A.quantile_linear(df, "x", q).head()[0] == pytest.approx(want)
+
+
+def test_self_reference_stream_equals_batch(spark, streamed):
+    rule, routes = SelfReference(P.LIMITS, P.SHAPE), P.routes(spark, SF).cache()
+    want = folds.batch(routes, rule).collect()
+    assert streamed(routes, lambda df: folds.stream(df, rule)) == sorted(map(str, want))
+    assert any(r["alarm"] for r in want) and not all(r["alarm"] for r in want if r["churn_ratio"] is not None)
+    routes.unpersist()
+
+
+@pytest.mark.parametrize("frozen,churning,alarm", [(True, True, True), (False, True, False), (True, False, False)])
+def test_collapse_needs_a_frozen_state_and_churn(frozen, churning, alarm):
+    rng = np.random.default_rng(1)
+    steps = rng.random((14, 4, 4, 2, 2)) + 0.2
+    if frozen:
+        steps[7:, :2, 3, 0] = steps[6, :2, 3, 0]  # the front state stops to respond
+        steps[7:, :2, 3, 1] = steps[7:, :2, 3, 0][..., ::-1] ** 3  # and is apart from the action
+    steps[7:, 2:] = rng.random((7, 2, 4, 2, 2)) ** 4 + 1e-3 if churning else 1.0
+    out = SelfReference(Limits(4, 3, 0.2, 0.8, 0.0), P.SHAPE).fold().take(np.arange(14), {"route": steps.reshape(14, -1)})
+    assert (out["first_alarm"][-1] >= 0) == alarm and not any(out["alarm"][:7])
