@@ -1,4 +1,4 @@
-"""Queries through array stores that Spark writes from the tables, and of paths from a front to a back stage."""
+"""Queries through array stores that Spark writes from the tables, of paths from a front to a back stage, and of site graphs."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..catalog import register
 from ..functions import transfer as T
 from ..functions import vectors as V
+from ..operators import graphs as R
 from ..operators.ranked import numbered
 from ..sources import arrays as A
 from .common import RANGE, S, r6, s6, table
@@ -180,3 +181,27 @@ SCALAR = {"d1": "abs(x - x1)", "acceleration": "abs(x - 2 * x1 + x2)", "jerk": "
 def query_scalar_transfer(spark, d):
     p = along(spark, d).select("ep", "q", V.euclidean("back", "front").alias("x"))
     return T.scalar_steps(p, S, "x").select("ep", "q", *[r6(n, n) for n in SCALAR])
+
+
+# ---- the graph of a site: two tokens of 32 experts
+
+EIGEN = "(tr + {s} * sqrt(greatest(tr * tr - 4 * de, 0))) / 2"
+GRAPH = f"""s0 AS (SELECT vec_id, j // 32 AS u, j % 32 AS e, abs(embedding[j + 1]::DOUBLE) AS x FROM embeddings, range(64) t(j)),
+s1 AS MATERIALIZED (SELECT vec_id, u, e, x / greatest(sum(x) OVER (PARTITION BY vec_id, u), 1e-12) AS p, row_number() OVER (PARTITION BY vec_id, u ORDER BY x DESC, e) AS k FROM s0),
+tk AS (SELECT vec_id, u, -sum(p * ln(greatest(p, 1e-12))) AS h, max(p) AS t1, sum(p) FILTER (k <= 4) AS t4, sum(p) FILTER (k = 1) - sum(p) FILTER (k = 2) AS m FROM s1 GROUP BY ALL),
+ta AS (SELECT vec_id, avg(h) / ln(32) AS h, avg(t1) AS t1, avg(t4) AS t4, avg(m) AS m FROM tk GROUP BY vec_id),
+pr AS (SELECT a.vec_id, sum(least(a.p, b.p)) / greatest(sum(greatest(a.p, b.p)), 1e-12) AS wj, sqrt(least(greatest(1 - sum(sqrt(a.p * b.p)), 0), 1)) AS di, sum(a.p * a.p) + sum(b.p * b.p) AS tr, sum(a.p * a.p) * sum(b.p * b.p) - sum(a.p * b.p) * sum(a.p * b.p) AS de,
+  -sum((a.p + b.p) / 2 * ln(greatest((a.p + b.p) / 2, 1e-12))) / ln(32) AS hm FROM s1 a JOIN s1 b ON a.vec_id = b.vec_id AND a.e = b.e AND a.u = 0 AND b.u = 1 GROUP BY a.vec_id),
+sv AS (SELECT *, sqrt({EIGEN.format(s='1')}) AS v1, sqrt(greatest({EIGEN.format(s='-1')}, 0)) AS v2 FROM pr),
+oc AS (SELECT vec_id, max(n) / 8.0 AS mo, -sum(n / 8.0 * ln(n / 8.0)) / ln(32) AS ho, count(*) / 32.0 AS un FROM (SELECT vec_id, e, count(*) AS n FROM s1 WHERE k <= 4 GROUP BY ALL) GROUP BY vec_id)"""
+AXES = {
+    "commitment": "1 - h", "entropy": "h", "top1_mass": "t1", "top4_mass": "t4", "top12_margin": "m", "consensus": "wj", "dispersion": "di", "effective_rank": "exp(-(v1 / (v1 + v2) * ln(greatest(v1 / (v1 + v2), 1e-12)) + v2 / (v1 + v2) * ln(greatest(v2 / (v1 + v2), 1e-12))))",
+    "stable_rank": "(v1 * v1 + v2 * v2) / (v1 * v1)", "mutual_information": "hm - h", "top_occupancy": "mo", "occupancy_entropy": "ho", "support_union": "un",
+}
+
+
+@register("graph_block", f"WITH {GRAPH} SELECT vec_id, {', '.join(s6(x, n) for n, x in AXES.items())} FROM ta JOIN sv USING (vec_id) JOIN oc USING (vec_id)")
+def graph_block(spark, d):
+    """The 13 axes of each vector read as two tokens of 32 experts."""
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("site"))
+    return R.graph_block(e, "vec_id", "site", 2, 32).select("vec_id", *[r6(n, n) for n in R.AXES])

@@ -94,3 +94,20 @@ def test_anchor_scores_are_highest_at_what_the_onsets_look_like(spark):
     assert set(best.values()) == {5} and all(r["score"] <= 0 for r in got)
     with pytest.raises(ValueError, match="enough vectors"):
         H.anchor_template(df.where("ep > 5"), Series(), "onset", F.lit(True), "v", 2)
+
+
+# ---- site graphs
+
+
+def test_uniform_and_one_hot_sites(spark):
+    from episodica.operators import graphs as R
+
+    uniform, single = np.ones((5, 8)), np.eye(8)[[2] * 5]
+    rows = [(1, uniform.ravel().tolist()), (2, single.ravel().tolist()), (3, None), (4, [1.0]), (5, [float("nan")] * 40), (6, [0.0] * 40)]
+    got = {r["i"]: r for r in R.graph_block(spark.createDataFrame(rows, "i int, v array<double>"), "i", "v", 5, 8).collect()}
+    assert set(got) == {1, 2, 6} and not any(np.isnan(got[6][a]) for a in R.AXES)
+    assert [round(got[1][a], 9) for a in R.AXES[:10]] == [0, 1, 1 / 8, 1 / 2, 0, 1, 0, 1, 1, 0]
+    assert [round(got[2][a], 9) for a in R.AXES[:10]] == [1, 0, 1, 1, 1, 1, 0, 1, 1, 0]
+    spread = R.axes(np.eye(8)[None, :4])[0]  # four tokens, each on an expert of its own
+    assert spread[R.AXES.index("effective_rank")] == pytest.approx(4) and spread[R.AXES.index("consensus")] == 0
+    assert spread[R.AXES.index("mutual_information")] == pytest.approx(np.log(4) / np.log(8))
