@@ -115,3 +115,23 @@ def nearest_in_order(df: DataFrame, group: list[str], key: str, x: str, k: int)
     own = df.select(*group, key, x).join(found, [*group, x])
     best = F.slice(F.array_sort(F.filter(flat, lambda t: t["other"] != F.col(key))), 1, k)
     return own.select(*group, key, F.posexplode(best).alias("_at", "_t")).select(*group, key, F.col("_t.other").alias("other"), (F.col("_at") + 1).cast("long").alias("rank"))
+
+
+def nn_concordance(df: DataFrame, cell: list[str], key: str, x: str, label: str) -> DataFrame:
+    """(cell, rows, concordant): rows whose nearest other row of the cell in x has their label; ties go to the smaller key. Rows alone in a cell count nowhere."""
+    near = nearest_in_order(df, cell, key, x, 1).select(*cell, key, "other")
+    theirs = df.select(*cell, F.col(key).alias("other"), F.col(label).alias("_l"))
+    j = near.join(theirs, [*cell, "other"]).join(df.select(*cell, key, label), [*cell, key])
+    return j.groupBy(*cell).agg(F.count("*").alias("rows"), F.count_if(F.col("_l") == F.col(label)).alias("concordant"))
+
+
+def risk_set(steps: DataFrame, onsets: DataFrame, ep: str, q: str, onset: str, horizon: int, through: bool = False) -> DataFrame:
+    """Steps that are alive and not past their episode's event, with label: whether it comes within the horizon.
+
+    Steps before the onset count, with label 1 <= onset - q <= horizon; through: the onset's own step counts too, with
+    label 0 <= onset - q <= horizon. Episodes without an event are at risk throughout, with label false.
+    """
+    j = steps.join(onsets.select(ep, F.col(onset).alias("_onset")), ep, "left")
+    left = F.col("_onset") - F.col(q)
+    first = 0 if through else 1
+    return j.where(F.col("_onset").isNull() | (left >= first)).withColumn("label", F.coalesce(left.between(first, horizon), F.lit(False))).drop("_onset")

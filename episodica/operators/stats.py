@@ -96,6 +96,28 @@ def kaplan_meier(df: DataFrame, time: str, event: str) -> DataFrame:
     return t.select(time, "at_risk", "deaths", alive.alias("survival"))
 
 
+def stationary(cells: DataFrame, doublings: int = 6, most: int = 200) -> DataFrame:
+    """(state, share) of a chain after 2**doublings steps from all states alike, from transition rows (s, s2, p).
+
+    The matrix of at most so many states is squared on the driver; more states raise. A state without transitions stays where it is.
+    """
+    import numpy as np
+
+    rows = cells.select("s", "s2", "p").limit(most * most + 1).collect()
+    states = sorted({r[0] for r in rows} | {r[1] for r in rows})
+    if len(states) > most or len(rows) > most * most:
+        raise ValueError(f"more than {most} states")
+    at = {state: i for i, state in enumerate(states)}
+    m = np.zeros((len(states), len(states)))
+    for s, s2, p in rows:
+        m[at[s], at[s2]] += p
+    stuck = m.sum(1) == 0
+    m[stuck, stuck] = 1.0
+    share = np.linalg.matrix_power(m, 2**doublings).mean(0) if states else []
+    kind = cells.schema["s"].dataType.simpleString()
+    return cells.sparkSession.createDataFrame([(k, float(v)) for k, v in zip(states, share) if v > 0], f"state {kind}, share double")
+
+
 def transition_matrix(df: DataFrame, ep: str, order: list[str], state: str) -> DataFrame:
     """(state, next state, n, share of the state's transitions)."""
     nxt = F.lead(state).over(Window.partitionBy(ep).orderBy(*order))

@@ -115,6 +115,19 @@ def knn_join(spark, d):
     return J.nearest_in_order(events(spark, d).withColumn("g", F.col("ep") % 3), ["g", "q"], "ep", "x", 3).select("ep", "q", "other", "rank")
 
 
+@register("nn_concordance", "WITH c AS (SELECT c_custkey AS i, c_nationkey AS cell, c_acctbal AS x, c_mktsegment = 'BUILDING' AS f FROM customer), z AS (SELECT a.cell, a.f, b.f AS g FROM c a JOIN c b ON a.cell = b.cell AND a.i <> b.i QUALIFY row_number() OVER (PARTITION BY a.i ORDER BY abs(a.x - b.x), b.i) = 1) SELECT cell, count(*) AS rows, count(*) FILTER (f = g) AS concordant FROM z GROUP BY cell")
+def nn_concordance(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("i"), F.col("c_nationkey").alias("cell"), F.col("c_acctbal").alias("x"), (F.col("c_mktsegment") == "BUILDING").alias("f"))
+    return J.nn_concordance(c, ["cell"], "i", "x", "f")
+
+
+@register("risk_set", f"WITH {EV}, o AS (SELECT ep, min(q) AS o FROM ev WHERE x > 200 GROUP BY ep) SELECT q, count(*) AS at_risk, count(*) FILTER (o - q BETWEEN 1 AND 5) AS within FROM ev LEFT JOIN o USING (ep) WHERE o IS NULL OR q < o GROUP BY q")
+def risk_set(spark, d):
+    """Episodes alive and before their event at each step, and those whose event comes within five steps."""
+    r = J.risk_set(events(spark, d), _onsets(spark, d), "ep", "q", "onset", 5)
+    return r.groupBy("q").agg(F.count("*").alias("at_risk"), F.count_if("label").alias("within"))
+
+
 @register("same_seed_replay", "SELECT a.o_custkey AS k, count(*) AS pairs, round(max(abs(a.o_totalprice - b.o_totalprice)) + 1e-9, 6) + 0.0 AS widest FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderstatus = 'F' AND b.o_orderstatus = 'O' GROUP BY a.o_custkey")
 def same_seed_replay(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), "o_orderstatus", "o_totalprice")
@@ -301,6 +314,15 @@ def transition_matrix(spark, d):
     return A.transition_matrix(events(spark, d), "ep", ["q"], "k").select("s", "s2", "n", r6("p", "p"))
 
 
+_SQUARED = ", ".join(f"m{k + 1} AS MATERIALIZED (SELECT a.s, b.s2, sum(a.p * b.p) AS p FROM m{k} a JOIN m{k} b ON a.s2 = b.s GROUP BY ALL)" for k in range(4))
+
+
+@register("stationary_distribution", f"WITH {EV}, t AS (SELECT k AS s, lead(k) {BY} AS s2 FROM ev), c AS (SELECT s, s2, count(*) AS n FROM t WHERE s2 IS NOT NULL GROUP BY ALL), m0 AS MATERIALIZED (SELECT s, s2, n / sum(n) OVER (PARTITION BY s) AS p FROM c), {_SQUARED} SELECT s2 AS state, {s6('sum(p) / (SELECT count(DISTINCT s) FROM m0)', 'share')} FROM m4 GROUP BY s2")
+def stationary_distribution(spark, d):
+    """Where the chain of event types is after sixteen steps from all types alike."""
+    return A.stationary(A.transition_matrix(events(spark, d), "ep", ["q"], "k"), 4).select("state", r6("share", "share"))
+
+
 @register("symbolic_entropy", f"WITH {EV}, s AS (SELECT ep, ntile(4) OVER (PARTITION BY ep ORDER BY x, q) AS z, k FROM ev), c AS (SELECT ep, k, count(*) AS n FROM s GROUP BY ALL), p AS (SELECT ep, n / sum(n) OVER (PARTITION BY ep) AS p FROM c) SELECT ep, {s6('-sum(p * ln(p))', 'entropy')} FROM p GROUP BY ep")
 def symbolic_entropy(spark, d):
     c = events(spark, d).groupBy("ep", "k").agg(F.count("*").alias("n")).withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("ep")))

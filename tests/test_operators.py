@@ -241,3 +241,24 @@ def test_matched_controls_are_counted_without_pairs(spark):
     pool = spark.createDataFrame([("a", 1, v) for v in (1.0, 5.0, 5.0, 9.0, None)] + [("b", 1, 2.0)], "g string, q int, s double")
     got = {r["e"]: (r["controls"], r["best"], r["beaten"]) for r in J.matched_controls(cases, pool, ["g"], "q", "e", "s").collect()}
     assert got == {10: (5, 9.0, 0.4), 11: (5, 9.0, 0.0), 12: (1, 2.0, 0.5)}
+
+
+def test_stationary_of_a_known_chain(spark):
+    rows = [("a", "b", 0.5), ("a", "a", 0.5), ("b", "a", 0.25), ("b", "b", 0.75), ("c", "d", 1.0)]
+    got = {r["state"]: r["share"] for r in A.stationary(spark.createDataFrame(rows, "s string, s2 string, p double"), 7).collect()}
+    assert got["a"] == pytest.approx(0.5 / 3) and got["b"] == pytest.approx(1 / 3)  # half of all starts, as one to two
+    assert got["d"] == pytest.approx(0.5) and "c" not in got  # d keeps what reaches it
+
+
+def test_risk_set_with_and_without_the_onset(spark):
+    steps = spark.createDataFrame([(1, q) for q in range(6)] + [(2, q) for q in range(3)], "ep int, q int")
+    onsets = spark.createDataFrame([(1, 4)], "ep int, onset int")
+    for through, last, near in ((False, 3, {2, 3}), (True, 4, {2, 3, 4})):
+        got = J.risk_set(steps, onsets, "ep", "q", "onset", 2, through).collect()
+        assert {r["q"] for r in got if r["ep"] == 1} == set(range(last + 1)) and {r["q"] for r in got if r["label"]} == near
+        assert sum(r["ep"] == 2 for r in got) == 3
+
+
+def test_nearest_neighbours_agree(spark):
+    df = spark.createDataFrame([(1, "a", 0.0, True), (2, "a", 1.0, True), (3, "a", 5.0, False), (4, "b", 0.0, True)], "i int, c string, x double, f boolean")
+    assert [tuple(r) for r in J.nn_concordance(df, ["c"], "i", "x", "f").collect()] == [("a", 3, 2)]
