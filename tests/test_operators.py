@@ -262,3 +262,34 @@ def test_risk_set_with_and_without_the_onset(spark):
 def test_nearest_neighbours_agree(spark):
     df = spark.createDataFrame([(1, "a", 0.0, True), (2, "a", 1.0, True), (3, "a", 5.0, False), (4, "b", 0.0, True)], "i int, c string, x double, f boolean")
     assert [tuple(r) for r in J.nn_concordance(df, ["c"], "i", "x", "f").collect()] == [("a", 3, 2)]
+
+
+def test_kernel_ridge_of_a_large_group(spark):
+    """A group of 40,000 rows, whose kernel would be 13 GB: few values, so a small weighted kernel gives the same."""
+    i = F.col("id")
+    x = F.when(i % 11 < 9, (i % 11) * 0.7 - 1).when(i % 11 == 9, 400.25).otherwise(-5000.5)
+    df = spark.range(40_000).select(F.lit(1).alias("g"), F.when(i % 10 < 9, i % 3).alias("f"), x.alias("x"), (F.pmod(i * 7919, F.lit(13)) * 1.0).alias("y"))
+    got = M.kernel_ridge_loco(df, "g", "f", "x", "y", lam=0.5, width=1.5).groupBy("f", "x").agg(F.min("predicted").alias("a"), F.max("predicted").alias("b"), F.count("*").alias("n")).collect()
+    cells = {(r["f"], r["x"]): (r["n"], r["y"]) for r in df.groupBy("f", "x").agg(F.count("*").alias("n"), F.sum("y").alias("y")).collect()}
+    values = np.array(sorted({x for _, x in cells}))
+    k = np.exp(-((values[:, None] - values) ** 2) / (2 * 1.5**2))
+    assert sum(r["n"] for r in got) == 40_000
+    for r in got:
+        if r["f"] is None:
+            assert r["a"] is None
+            continue
+        n, y = (np.array([sum(c[t] for (f, at), c in cells.items() if f != r["f"] and at == v) for v in values], float) for t in (0, 1))
+        mean = y.sum() / n.sum()
+        a = np.linalg.solve(k + 0.5 * np.diag(1 / n), y / n - mean)
+        want = k[list(values).index(r["x"])] @ a + mean
+        assert abs(r["a"] - want) < 1e-8 and abs(r["b"] - want) < 1e-8
+
+
+def test_kernel_ridge_without_values(spark):
+    rows = [(1, 0, 1.0, 2.0), (1, 0, None, 3.0), (1, 1, 1.5, 4.0), (2, 0, 1.0, 2.0), (None, 0, 1.0, 2.0), (None, 1, 1.0, 4.0), (None, 1, None, 4.0), (None, 1, 99.0, None)]
+    df = spark.createDataFrame(rows, "g int, f int, x double, y double")
+    got = {(r["g"], r["f"], r["x"], r["y"]): r["predicted"] for r in M.kernel_ridge_loco(df, "g", "f", "x", "y").collect()}
+    assert len(got) == len(rows)
+    assert got[1, 0, 1.0, 2.0] == pytest.approx(4.0) and got[1, 0, None, 3.0] is None and got[2, 0, 1.0, 2.0] is None
+    assert got[1, 1, 1.5, 4.0] is None  # its others have a missing value
+    assert got[None, 1, 1.0, 4.0] == pytest.approx(2.0) and got[None, 1, 99.0, None] == pytest.approx(2.0) and got[None, 0, 1.0, 2.0] is None
