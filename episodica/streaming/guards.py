@@ -226,9 +226,9 @@ class ColdFold:
             nearest = np.argsort(far, kind="stable")[: a.neighbours]
             self.near = [int(a.tasks[k]) for k in nearest]
             self.cutoffs = [a.ratio * float(np.mean(self.early)), float(np.quantile(np.array(a.cutoffs)[nearest], a.cutoff_quantile, method="higher"))]
-        known = math.isfinite(self.cutoffs[0])
         one = {"changes": False, "high": False, "lock_width": a.width, "instability_width": a.width, "lock_confirmations": a.confirmations[0], "instability_confirmations": a.confirmations[1]}
-        one |= {"lock_threshold": -self.cutoffs[0] if known else math.inf, "instability_threshold": self.cutoffs[1] if known else math.inf}
+        lock, unstable = self.cutoffs
+        one |= {"lock_threshold": -lock if math.isfinite(lock) else math.inf, "instability_threshold": unstable if math.isfinite(unstable) else math.inf}
         out = self.guard.take(q, {"base": x["base"], "watched": x["watched"]} | {k: np.full(len(q), v) for k, v in one.items()})
         ready = q >= a.prefix - 1
         out["state"] = np.where(~ready & (out["state"] == "normal"), "calibrating", out["state"])
@@ -269,7 +269,8 @@ def cold_reference(steps: DataFrame, limits: DataFrame, quantile: float, prefix:
     s = W.Series()
     width = how.get("width", 4)
     smooth = steps.select("ep", "q", W.trailing_mean(s, "base", width).alias("m"), F.when(F.col("q") < prefix, F.col("base")).alias("e"))
-    ratio = smooth.groupBy("ep").agg((F.min("m") / F.avg("e")).alias("ratio"))
+    still = F.lit(float("inf"))  # an episode that did not move at first tells no ratio: it stands above all that do
+    ratio = smooth.groupBy("ep").agg(F.min("m").alias("m"), F.avg("e").alias("e")).select(F.when(F.col("e") > 0, F.col("m") / F.col("e")).when(F.col("m").isNotNull() & (F.col("e") == 0), still).alias("ratio"))
     value = A.quantile_higher(ratio, "ratio", quantile, name="value").head()["value"]
     return ColdStart(float(value), tuple(r["task"] for r in rows), tuple(tuple(r["v"]) for r in rows), tuple(r["instability_threshold"] for r in rows), prefix, **how)
 
