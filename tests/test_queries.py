@@ -140,3 +140,23 @@ def test_same_rows_as_sql_with_short_episodes(spark, short, name):
     df, want = catalog.queries()[name](spark, d), con.sql(catalog.oracle_sql()[name])
     got = sorted(tuple(plain(r[c]) for c in want.columns) for r in df.collect())
     assert got == sorted(tuple(map(plain, r)) for r in want.fetchall())
+
+
+@pytest.mark.parametrize("block", [1, 7, 40, 25_000])
+@pytest.mark.parametrize("name", ["path_speed"])
+def test_whole_labels(spark, short, duck, monkeypatch, name, block):
+    """Results of whole labels do not depend on the blocks of ids in which they are ordered."""
+    from episodica.plans import common
+
+    monkeypatch.setattr(common, "BLOCK", block)
+    d, con = short
+    want = con.sql(catalog.oracle_sql()[name])
+    got = sorted(tuple(plain(r[c]) for c in want.columns) for r in catalog.queries()[name](spark, d).collect())
+    assert got == sorted(tuple(map(plain, r)) for r in want.fetchall())
+
+
+def test_paths_are_of_whole_labels(spark, duck):
+    """As many steps as vectors but one (two) for each label, and every member but the first, over all sites of four."""
+    sizes = dict(duck.sql("SELECT label, count(*) FROM embeddings GROUP BY label").fetchall())
+    rows = {r["label"]: r for r in catalog.queries()["path_speed"](spark, SF).collect()}
+    assert {k: round(r["path"] / r["speed"]) for k, r in rows.items()} == {k: n - 1 for k, n in sizes.items()}
