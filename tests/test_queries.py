@@ -143,7 +143,7 @@ def test_same_rows_as_sql_with_short_episodes(spark, short, name):
 
 
 @pytest.mark.parametrize("block", [1, 7, 40, 25_000])
-@pytest.mark.parametrize("name", ["path_speed", "route_acceleration"])
+@pytest.mark.parametrize("name", ["path_speed", "route_acceleration", "velocity_turn"])
 def test_whole_labels(spark, short, duck, monkeypatch, name, block):
     """Results of whole labels do not depend on the blocks of ids in which they are ordered."""
     from episodica.plans import common
@@ -161,3 +161,4 @@ def test_paths_are_of_whole_labels(spark, duck):
     rows = {r["label"]: r for r in catalog.queries()["path_speed"](spark, SF).collect()}
     assert {k: round(r["path"] / r["speed"]) for k, r in rows.items()} == {k: n - 1 for k, n in sizes.items()}
     assert set(sizes) == {r["label"] for r in catalog.queries()["route_acceleration"](spark, SF).collect()}
+    assert catalog.queries()["velocity_turn"](spark, SF).count() == sum(n - 2 for n in sizes.values())
