@@ -143,7 +143,7 @@ def test_same_rows_as_sql_with_short_episodes(spark, short, name):
 
 
 @pytest.mark.parametrize("block", [1, 7, 40, 25_000])
-@pytest.mark.parametrize("name", ["path_speed", "route_acceleration", "velocity_turn", "layer_disagreement", "conditional_graph"])
+@pytest.mark.parametrize("name", ["path_speed", "route_acceleration", "velocity_turn", "layer_disagreement", "conditional_graph", "perturbation_response"])
 def test_whole_labels(spark, short, duck, monkeypatch, name, block):
     """Results of whole labels do not depend on the blocks of ids in which they are ordered."""
     from episodica.plans import common
@@ -164,3 +164,4 @@ def test_paths_are_of_whole_labels(spark, duck):
     assert catalog.queries()["velocity_turn"](spark, SF).count() == sum(n - 2 for n in sizes.values())
     assert {r["label"]: r["pairs"] for r in catalog.queries()["layer_disagreement"](spark, SF).collect()} == {k: n // 4 * 6 + math.comb(n % 4, 2) for k, n in sizes.items()}
     assert set(sizes) == {r["label"] for r in catalog.queries()["conditional_graph"](spark, SF).collect()}
+    assert set(sizes) == {r["label"] for r in catalog.queries()["perturbation_response"](spark, SF).collect()}
