@@ -46,6 +46,8 @@ SUSPECT = re.compile(r"[0-9@$!|+(€£.\-_*~']|(.)\1\1")
 COST_LEET, COST_DROP, COST_REPEAT, COST_SPACE = -1.5, -1.0, -0.7, -3.0
 ALPHABET = "\0abcdefghijklmnopqrstuvwxyzàâäáãçéèêëíìîïñóòôöõúùûüßœæ"
 KNOWN = frozenset(ALPHABET[1:])
+#: Letters with one reading each: known ones, none of which comes twice in a row.
+RUN = re.compile(rf"(?:([{ALPHABET[1:]}])(?!\1)){{3,}}")
 DOUBLED, TRIPLED = re.compile(r"(.)\1"), re.compile(r"(.)\1\1")
 CODE = {c: i for i, c in enumerate(ALPHABET)}
 SIZE = len(ALPHABET) + 1  # the last is any other letter
@@ -56,13 +58,17 @@ for _c, _i in CODE.items():
         _MAP[ord(_c.upper())] = _i
 
 #: Letters that characters are used for, the first and the last of each, by code.
-_SIGNS = [np.zeros(0x20AD, np.int64), np.zeros(0x20AD, np.int64)]
+_OTHER = 0x20AD  # stands for all characters from it on
+_SIGNS = [np.zeros(_OTHER + 1, np.int64), np.zeros(_OTHER + 1, np.int64)]
 for _signs, _at in zip(_SIGNS, (0, -1)):
     _signs[: len(_MAP)] = _MAP
     for _c, _x in LEET.items():
         _signs[ord(_c)] = CODE[_x[_at]]
-_IS_SEPARATOR = np.zeros(0x20AD, bool)
-_IS_SEPARATOR[[ord(_c) for _c in SEPARATORS]] = True
+#: What a character adds to its word: 1 unless it is a separator or space, and 2^32 if it is or stands for a letter.
+_ADDS = ((_SIGNS[0] > 0) | (np.arange(_OTHER + 1) >= len(_MAP))).astype(np.int64) << 32
+_ADDS += 1
+_ADDS[[ord(_c) for _c in SEPARATORS + " "]] -= 1
+_LONE = (1 << 32) + 1
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -100,9 +106,12 @@ class CharModel:
     def restore(self, token: str) -> str:
         """Likeliest word behind a token, by Viterbi over its character lattice."""
         log, options_of, last = self.log, self.options, len(token) - 1
-        # state: (last letter but one, last letter); value: (log probability, (text before, last letter))
+        # state: (last letter but one, last letter); value: (log probability, (text before, letters))
         states: dict = {(0, 0): (0.0, None)}
-        for i, ch in enumerate(token):
+        i = -1
+        while i < last:
+            i += 1
+            ch = token[i]
             found = options_of.get(ch)
             if found is None:
                 found = options_of[ch] = self.readings_of(ch)
@@ -110,7 +119,11 @@ class CharModel:
             drop = inside if 0 < i < last else edge
             if len(states) == 1 and len(options) == 1 and drop is None:  # a letter in one context
                 [((a, b), (score, text))] = states.items()
-                if not text or text[1] != ch:
+                if not text or text[1][-1] != ch:
+                    if run := RUN.match(token, i):  # what one context has cost so far decides nothing
+                        part, i = run[0], run.end() - 1
+                        states = {(CODE[part[-2]], CODE[part[-1]]): (0.0, (text, part))}
+                        continue
                     [(x, cost, k)] = options
                     states = {(b, k): (score + cost + log[a][b][k], (text, x))}
                     continue
@@ -124,9 +137,9 @@ class CharModel:
                         after[b, k] = (s, (text, x))
                 # nothing: a separator, or the letter before once more
                 none = drop
-                if text and i and text[1] == ch:
+                if text and i and text[1][-1] == ch:
                     none = COST_REPEAT
-                elif text and ch in LEET and text[1] in LEET[ch]:
+                elif text and ch in LEET and text[1][-1] in LEET[ch]:
                     none = COST_LEET + COST_REPEAT
                 if none is not None:
                     s = score + none
@@ -141,35 +154,45 @@ class CharModel:
         return "".join(reversed(out))
 
 
+def spelled(low: str) -> list[str]:
+    """Words spelled with separators, in one piece each."""
+    if any(m in low for m in (" ", ".", "-", "_", "*", "~")):
+        return [re.sub(r"[ .\-_*~]+", "", m[0]) for m in SPELLED.finditer(low)]
+    return []
+
+
 def tokens(text: str) -> list[str]:
     """Lower-case white-space tokens; words spelled with separators are added in one piece."""
     low = text.lower()
-    out = low.split()
-    if any(m in low for m in (" ", ".", "-", "_", "*", "~")):
-        out += [re.sub(r"[ .\-_*~]+", "", m[0]) for m in SPELLED.finditer(low)]
-    return out
+    return low.split() + spelled(low)
+
+
+def tokens_and_spans(text: str, model: CharModel) -> set[str]:
+    """The tokens, and those with open white space between them."""
+    low = text.lower()
+    words = low.split()
+    return {*words, *spelled(low), *spans_of(words, model)}
 
 
 def open_spans(text: str, model: CharModel) -> set[str]:
     """Tokens with open white space between them: a space between lone letters, a line feed elsewhere. None without letters."""
-    words = text.lower().split()
+    return spans_of(text.lower().split(), model)
+
+
+def spans_of(words: list[str], model: CharModel) -> set[str]:
     if len(words) < 2:
         return set()
-    low = " ".join(words)
-    u = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
-    gap = np.flatnonzero(u == 32)
-    known, small = u < 0x20AD, np.minimum(u, 0x20AC)
+    low = f" {' '.join(words)} "  # a boundary on either side
+    small = np.frombuffer(low.encode(), np.uint8) if low.isascii() else np.minimum(np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32), _OTHER)
+    space = np.flatnonzero(small == 32)
+    gap = space[1:-1]
     is_open = np.zeros(len(gap), bool)
-    t = model.table
+    t, near = model.table.ravel(), [small[gap + k] for k in (-2, -1, 1, 2)]
     for signs in _SIGNS if "1" in low or "|" in low else _SIGNS[:1]:
-        x = np.where(known, signs[small], 0)
-        x = np.concatenate([[0], x, [0]])  # a boundary on either side
-        a, b, c, d = x[gap - 1], x[gap], x[gap + 2], x[gap + 3]
-        is_open |= (b > 0) & (c > 0) & (COST_SPACE + t[a, b, c] + t[b, c, d] > t[a, b, 0] + t[b, 0, c] + t[0, c, d])
-    starts = np.append(0, gap + 1)
-    letter = (x[1:-1] > 0) | (u >= len(_MAP))
-    sizes = np.add.reduceat((~np.where(known, _IS_SEPARATOR[small], False) & (u != 32)).astype(np.int64), starts)
-    alone = (sizes == 1) & (np.add.reduceat(letter.astype(np.int64), starts) == 1)
+        a, b, c, d = (signs[x] for x in near)
+        ab, cd = (a * SIZE + b) * SIZE, c * SIZE + d  # numbers of (a, b, boundary) and (boundary, c, d)
+        is_open |= (b > 0) & (c > 0) & (COST_SPACE + t[ab + c] + t[b * SIZE**2 + cd] > t[ab] + t[b * SIZE**2 + c] + t[cd])
+    alone = np.add.reduceat(_ADDS[small], space[:-1]) == _LONE
     lone = alone[1:] & alone[:-1]
     is_open |= lone
     at = np.flatnonzero(is_open)
@@ -215,8 +238,16 @@ def inner_forms(token: str) -> tuple[str, ...]:
     return (core, inner) if any(map(LEET.__contains__, before + after)) else (core,)
 
 
+def plain_word(token: str) -> str | None:
+    """The word that is a token's only reading, if it is letters alone (but for a mark at its end), none of them three times in a row."""
+    word = token if token.isalpha() else token[:-1] if token[-1] in ".,;:?" and token[:-1].isalpha() else None
+    return None if word is None or TRIPLED.search(word) else word
+
+
 def readings(token: str, model: CharModel) -> set[str]:
     """The token's plain reading, and its restored one if its lattice has more than one path."""
+    if (word := plain_word(token)) is not None:
+        return {word}
     core = token.strip(EDGE)
     found = {core} if core else set()
     for t in inner_forms(token):
@@ -235,7 +266,7 @@ def features_of(words) -> set[str]:
     for w in words:
         if len(w) > 1:
             out.add("=" + w)
-            out.update(w[:k] for k in range(3, min(8, len(w)) + 1))
+            out.update([w[:k] for k in range(3, min(8, len(w)) + 1)])
     return out
 
 
@@ -280,30 +311,52 @@ class Scorer:
         self.model, self.weights, self.bias = CharModel(counts), weights, bias
         self.index = {f: i for i, f in enumerate(weights)}
         self.values = list(weights.values())
-        self.stems = {f.removeprefix("=")[:3] for f in weights}  # what a word must begin with to have any feature
+        # what a word must begin with to have any feature, or any but its first three letters
+        self.stems, self.longer = ({f.removeprefix("=")[:k] for f in weights} for k in (3, 4))
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.none: set[str] = set()  # tokens without any feature
 
     def present(self, text: str | None) -> set[int]:
         found: set[int] = set()
         if not text:
             return found
-        cache, index, stems = self.cache, self.index, self.stems
-        if len(cache) > 400_000:
+        cache, none, stems = self.cache, self.none, self.stems
+        if len(cache) + len(none) > 400_000:
             cache.clear()
-        for t in {*tokens(text), *open_spans(text, self.model)}:
+            none.clear()
+        for t in tokens_and_spans(text, self.model) - none:
             hit = cache.get(t)
             if hit is None:
-                core = t if t.isalpha() else t[:-1] if t[-1] in ".,;:?" and t[:-1].isalpha() else None
-                if core and core[:3] not in stems and not TRIPLED.search(core):
-                    cache[t] = ()  # a plain word, its own reading
+                if t.isalpha() and t[:3] not in stems and not TRIPLED.search(t):
+                    none.add(t)  # a plain word, its own reading
+                    continue
+                hit = self.features(t)
+                if not hit:
+                    none.add(t)
                     continue
-                words = words_of_span(t, self.model) if " " in t or "\n" in t else readings(t, self.model)
-                some = [w for w in words if w[:3] in stems]
-                hit = cache[t] = tuple([index[f] for f in features_of(some) if f in index]) if some else ()
-            if hit:
-                found.update(hit)
+                cache[t] = hit
+            found.update(hit)
         return found
 
+    def features(self, t: str) -> tuple[int, ...]:
+        """Numbers of the features of a token or span."""
+        stems, longer, at = self.stems, self.longer, self.index.get
+        if " " in t or "\n" in t:
+            words = words_of_span(t, self.model)
+        elif (word := plain_word(t)) is not None:
+            words = (word,)
+        else:
+            words = readings(t, self.model)
+        hit = []
+        for w in words:
+            if len(w) > 1 and w[:3] in stems:
+                if w[:4] in longer:
+                    hit.append(at("=" + w))
+                    hit += [at(w[:k]) for k in range(3, min(8, len(w)) + 1)]
+                else:
+                    hit.append(at(w[:3]))
+        return tuple([i for i in hit if i is not None])
+
     def score(self, text: str | None) -> float:
         z = self.bias + sum(self.values[i] for i in self.present(text))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
@@ -329,7 +382,7 @@ def fit(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id", text_
             for y, text in zip(*(c.to_pylist() for c in b.columns)):
                 size[y] += 1
                 own: set[str] = set()
-                for t in {*tokens(text or ""), *open_spans(text or "", model)}:
+                for t in tokens_and_spans(text or "", model):
                     if t not in seen:
                         seen[t] = features(t, model)
                     own |= seen[t]

@@ -699,3 +699,22 @@ def test_scores_are_those_of_the_formula(spark):
     for i, t in enumerate(texts):
         ps = [max(c[x] - lattice.DISCOUNT, 0) / n + lattice.DISCOUNT * v / n * total("▁" + x) for x in t.split()]
         assert got[i] == pytest.approx(sum(map(math.log10, ps)) + math.log10(len(texts) / n))
+
+
+def test_toxicity_runs_of_letters_are_decoded_as_one():
+    """Decoding in runs, and spans from texts in either encoding, give what letter by letter gives."""
+    from episodica.llm import toxicity as X
+
+    model = X.CharModel(X.trigrams("you are an idiot stop it now, the table is stable and a fool would follow " * 40))
+    whole = ["stable\ntable", "id\niot", "1d10t\nstable", "f00l\nwould\nfollow", "sttable", "|\nstable\n|", "über\nstable", "st-able"]
+    fast = [model.restore(w) for w in whole]
+    held, X.RUN = X.RUN, X.re.compile(r"(?!)")
+    try:
+        assert fast == [model.restore(w) for w in whole]
+    finally:
+        X.RUN = held
+    text = "you are an id iot and s t u p i d the ta ble 1 d | o t"
+    assert X.open_spans(text, model) == X.open_spans("%中% " + text, model) and X.open_spans(text, model)
+    scorer = X.Scorer(X.trigrams(text), {"=idiot": 2.0, "idio": 1.0, "stu": 0.5}, 0.0)
+    for t in ("idiot", "idiots.", "stuff", "other", "1d10t"):
+        assert set(scorer.features(t)) == {scorer.index[f] for f in X.features(t, scorer.model) if f in scorer.index}
