@@ -293,3 +293,13 @@ def test_kernel_ridge_without_values(spark):
     assert got[1, 0, 1.0, 2.0] == pytest.approx(4.0) and got[1, 0, None, 3.0] is None and got[2, 0, 1.0, 2.0] is None
     assert got[1, 1, 1.5, 4.0] is None  # its others have a missing value
     assert got[None, 1, 1.0, 4.0] == pytest.approx(2.0) and got[None, 1, 99.0, None] == pytest.approx(2.0) and got[None, 0, 1.0, 2.0] is None
+
+
+def test_quantised_probability_of_a_long_vector(spark):
+    """Totals are computed once, not for each entry: 20,000 entries would be 400 million."""
+    n = 20_000
+    df = spark.createDataFrame([(1, [float(i % 4) for i in range(n)]), (2, [0.0, 0.0]), (3, None)], "k int, a array<double>")
+    got = {r["k"]: r["q"] for r in df.select("k", V.quantised(V.normalised("a"), 9).alias("q")).collect()}
+    p = np.arange(n) % 4 / (np.arange(n) % 4).sum()
+    want = (np.round(np.sqrt(p) * 511) / 511) ** 2
+    assert np.allclose(got[1], want / want.sum(), rtol=1e-12) and got[2] == [0.5, 0.5] and got[3] is None
